@@ -29,7 +29,7 @@ from filequarry.llm.common import slices, small_batches, written
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Frequent pre-tokens sent to each task, and the longest of them in characters.
-HOT, HOT_CHARS = 100_000, 64
+HOT, HOT_CHARS = 200_000, 64
 #: Distinct pre-tokens a task holds before it hands on its counts.
 HELD = 200_000
 
@@ -88,7 +88,7 @@ def piece_counts(units: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         tok = load(path)[0]
         for part in slices(batches, "unit"):
-            got = tok.encode_batch(part.column("unit").to_pylist(), add_special_tokens=False)
+            got = tok.encode_batch_fast(part.column("unit").to_pylist(), add_special_tokens=False)
             yield pa.record_batch({"unit": part.column("unit"), "n": part.column("n"), "pieces": pa.array([len(e.ids) for e in got], pa.int64())})
 
     return units.mapInArrow(encode, "unit string, n long, pieces long")

@@ -27,49 +27,116 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from filequarry.llm.common import slices, scratch_path, shuffle_partitions, small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Distinct words a task remembers.
-HELD = 200_000
+#: White space to Python's str.split, not to the tokenizer.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Distinct words a task remembers, and how many of the first (the frequent ones) it keeps when full.
+HELD, KEPT = 600_000, 300_000
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
 SCHEMA = "doc_id long, block int, start_in_block long, n_tokens int, ids array<int>"
 
 _loaded: dict = {}
 
 
+#: A mark at the end of a word, after a letter or digit, is a pre-token of its own.
+MARKS = frozenset(".,;:!?")
+
+
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    """Words of each text: all that the tokenizer splits at is white space to str.split.
+
+    Texts of Latin-1 are lower-cased here as the tokenizer does, so fewer words are distinct;
+    not where that could make up a special string.
+    """
+    out = []
+    for t in texts:
+        if not t:
+            out.append([])
+            continue
+        if "<|" not in t and (t.isascii() or latin(t)):
+            t = t.lower()
+        out.append(WORD.findall(t) if SEPARATORS.search(t) else t.split())
+    return out
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def gather(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``at`` of ``flat``, cut by ``length``, in turn, and their lengths."""
+    own = length[at]
+    first = (np.cumsum(length) - length)[at]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(first - (ends - own), own)], own
+
+
 class WordEncoder:
-    """Ids of word lists; each distinct word goes through the library once."""
+    """Ids of word lists; a distinct word goes through the library once while it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self):
-        self.index, self.length, self.flat, self.known = {}, np.empty(0, np.int64), np.empty(0, np.int32), 0
+        added = self.tok.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
+        # a special string between words keeps them apart in one call; one call for each word costs far more
+        self.between = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.index, self.length, self.flat = {}, np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def forget(self):
+        self.index = dict(list(self.index.items())[:KEPT])
+        self.length = self.length[:KEPT]
+        self.flat = self.flat[: int(self.length.sum())]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words`` in turn and the number of ids of each."""
+        alone = not self.between or self.special.search(" ".join(words))
+        if alone:
+            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((i for ids in got for i in ids), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+        mark, string = self.between
+        ids = np.array(self.tok.encode_batch_fast([string.join(words)], add_special_tokens=False)[0].ids, np.int32)
+        at = np.flatnonzero(ids == mark)
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def add(self, words: list[str], ids: np.ndarray, length: np.ndarray):
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def learn(self, words: list[str]):
+        joint = [w for w in words if len(w) > 1 and w[-1] in MARKS and w[-2].isalnum()]
+        parts = [p for w in joint for p in (w[:-1], w[-1])]
+        plain = list(dict.fromkeys(w for w in (*set(words).difference(joint), *parts) if w not in self.index))
+        for k in range(0, len(plain), 2000):
+            self.add(plain[k : k + 2000], *self.encode(plain[k : k + 2000]))
+        if joint:
+            ids, length = gather(self.flat, self.length, np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)))
+            self.add(joint, ids, length.reshape(-1, 2).sum(axis=1))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in turn, and the number of ids of each word."""
         if len(self.index) > HELD:
-            self.clear()
-        new = list(set(words).difference(self.index))
-        if new:
-            got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.length = np.concatenate([self.length, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.int32)])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
-        first = (np.cumsum(self.length) - self.length)[at]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(first - (ends - length), length)], length
+            self.forget()
+        at = list(map(self.index.get, words))
+        if None in at:
+            gaps = [k for k, i in enumerate(at) if i is None]
+            self.learn(list(dict.fromkeys(words[k] for k in gaps)))
+            for k in gaps:
+                at[k] = self.index[words[k]]
+        return gather(self.flat, self.length, np.array(at, np.int64))
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts with the end id after each, and the number of ids of each text."""
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
-    words = [WORD.findall(t) if t else [] for t in texts]
+    words = words_of(texts)
     ids, length = _loaded[path]([w for ws in words for w in ws])
     ends = np.concatenate([[0], np.cumsum(length)])
     last = np.cumsum([len(ws) for ws in words], dtype=np.int64)
