@@ -1,13 +1,67 @@
-"""Pipeline placeholder, filled in as its operators arrive."""
+"""Five stages from raw documents to token files; each works on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from filequarry.llm import decontamination, langid, minhash, mixing, token_output
+from filequarry.llm.common import written
+from filequarry.llm.queries import table, tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose language is less certain than this go.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language; text without letters and text in no one language goes."""
+    labelled = langid.identify(docs.select(*COLUMNS), langid.learn(docs))
+    return labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the smallest id, of each group of near duplicates."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    docs = docs.select(*COLUMNS)
+    return docs.join(written(kept, "kept"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that cover a benchmark item."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
+    docs = docs.select(*COLUMNS)
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("bad_id")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size"), "copies")
+    copies = written(copies.groupBy("mixed_id").agg(F.max("copies").alias("copies")), "copies")
+    docs = docs.select(*COLUMNS)
+    taken = docs.join(copies, docs.doc_id.eqNullSafe(F.col("mixed_id")))
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files; returns what is read back from them."""
+    return token_output.token_output(docs, tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("token_output", tokens),
+]
+
+#: SQL can't express the stages (a trained model, signatures, tiling, a tokenizer).
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

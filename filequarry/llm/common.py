@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step inside a task handles at a time.
@@ -61,19 +60,46 @@ def slices(batches: Iterable[pa.RecordBatch], text_column: str, limit: int = SLI
             yield batch.slice(start, end - start)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered for one task up to ``bound`` distinct words."""
-
-    def __init__(self, seed: int = 0, bound: int = 400_000):
-        self.seed, self.bound, self.seen = seed, bound, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen, seed = self.seen, self.seed
-        if len(seen) > self.bound:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w, seed)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+_BASE = 0x9E3779B97F4A7C13 | 3
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, up to the n-th at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            _powers.append(out)
+    return _powers
+
+
+#: All of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def hash_words(texts: list[str | None], lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes outside ``space``, ASCII white space) of all texts in
+    turn, and where each text's words begin and end in them. ``lower``: A-Z count as a-z."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    edge = np.flatnonzero(np.diff(space[data], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
+    hashes = mix64((total[ends] - total[starts]) * down[starts])
+    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+    return hashes, bounds
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -83,12 +109,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` word hashes; fewer words give the whole run as one."""
-    k = min(n, len(words))
-    if not k:
-        return np.empty(0, np.uint64)
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix64(out ^ words[i : len(words) - k + 1 + i])
+def shingle_sets(texts: list[str | None], n: int, lower: bool = True) -> list[np.ndarray]:
+    """The distinct hashes of each text's runs of ``n`` words, ascending; fewer words count as one run."""
+    words, bounds = hash_words(texts, lower)
+    if len(words) >= n:
+        runs = np.full(len(words) - n + 1, n, np.uint64)
+        for i in range(n):
+            runs = mix64(runs ^ words[i : len(words) - n + 1 + i])
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n:
+            out.append(np.unique(runs[a : b - n + 1]))
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                one = mix64(one ^ words[k : k + 1])
+            out.append(one)
+        else:
+            out.append(np.empty(0, np.uint64))
     return out
