@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, token_counts, token_output
+from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output
 
 
 def tokenizer(name: str) -> str:
@@ -86,6 +86,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
@@ -96,5 +101,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op9_language, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output)}
 ORACLE_SQL = {"op4_chat": OP4_SQL}
