@@ -73,7 +73,9 @@ def stretches(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.nd
     anchor = (key[start] & np.uint64(_LOW)).astype(np.int64)
     first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(start, prepend=-9) != 1))
     lo, count = start[first], np.diff(first, append=len(start))
-    return joined, np.searchsorted(ends, lo, "right"), lo, count, np.stack([anchor[first], h[anchor[first]].view(np.int64)])
+    # anchors are least hashes: hash again, or their high bits would hardly differ
+    again = mix64(h[anchor[first]] ^ np.uint64(_BASE)).view(np.int64)
+    return joined, np.searchsorted(ends, lo, "right"), lo, count, np.stack([anchor[first], again])
 
 
 def suffix_order(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
