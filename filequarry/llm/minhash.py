@@ -8,13 +8,17 @@ rows and a minimum down the columns.
 Documents with equal shingle sets form a class; only its smallest id goes on. Classes that agree
 on a band share a bucket. Round one links each member of a bucket to the bucket's leader, the
 member that shares most buckets with others (the origin, where copies have one), and confirms
-the links on full shingle sets. Round two looks, within buckets that still hold more than one
-component, at all pairs of different components whose signatures agree enough, and confirms
-those. Pairs inside one component cannot change the result. Buckets of more than ``BLOCK``
-members are compared in blocks, so no task holds a bucket whole and no pair is skipped.
+the links on full shingle sets. Jaccard distance is a metric, so whatever links to a document
+linked to a leader has an index of at least 2 t - 1 with that leader. Round two takes each
+leader's family, the members with that index, and compares those in different components with
+one another on full sets inside a task, by counting shared shingles; only links leave the task.
+Round three looks, within buckets that still hold more than one component, at the pairs of
+different components without a family in common whose signatures agree enough, and confirms
+those. Pairs inside one component cannot change the result. Families and buckets of more than
+``BLOCK`` members are compared in blocks, so no task holds one whole and no pair is skipped.
 
 With 25 bands of 5 a pair at the threshold of 0.85 meets with probability 1 - 4e-7, and the
-signature test of round two passes it with probability 1 - 3e-7; both rise with similarity.
+signature test of round three passes it with probability 1 - 3e-7; both rise with similarity.
 
 Null, empty and blank texts: 0 shingles, a component of their own. Fewer words than a shingle
 count as one shingle. Rows that share an id are one document. A null id is linked with nothing:
@@ -34,9 +38,11 @@ from filequarry.llm.components import components
 BANDS, ROWS = 25, 5
 POSITIONS_LOG2 = 20
 BLOCK = 2048
+#: Shingles of a family in a block, which bounds a task's memory.
+BLOCK_SHINGLES = 2_000_000
 #: Up to so many ids are broadcast to pick texts before a join; more go through a shuffled join.
 BROADCAST_IDS = 500_000
-#: Standard deviations that the signature test of round two allows below the threshold.
+#: Standard deviations that the signature test of round three allows below the threshold.
 SLACK = 5.0
 
 _ranks: dict = {}
@@ -89,8 +95,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return picked
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, linked: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets satisfy 100 * intersection >= percent * union, and
+    whether they do so for ``linked`` percent, too."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = _texts_of(docs, ids)
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("other")), "a").sortWithinPartitions("a")
@@ -105,29 +112,95 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
                 if a[i] != last:
                     last, own = a[i], shingle_sets([other[i].as_py()], words)[0]
                 both = len(s) + len(own) - len(np.union1d(s, own)) if len(s) and len(own) else 0
-                if both and 100 * both >= percent * (len(s) + len(own) - both):
-                    found.append((a[i], b[i]))
-            yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+                every = len(s) + len(own) - both
+                if both and 100 * both >= percent * every:
+                    found.append((a[i], b[i], 100 * both >= linked * every))
+            x, y, z = zip(*found) if found else ((), (), ())
+            yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "linked": pa.array(z, pa.bool_())})
 
-    return written(joined.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "links")
+    return written(joined.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, linked boolean"), "links")
+
+
+def _family_links(docs: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links on full sets between members of a family in different components.
+
+    families: leader, id, n, component, only of leaders with more than one component.
+    """
+    weight = families.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = families.join(weight, "leader").withColumn("block", own).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.col("leader").alias("bucket"), F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "id", "component")
+    rows = rows.join(_texts_of(docs, families.select("id")), "id")
+
+    def links_of(ids, component, block, sets, across):
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        names, label, count = np.unique(component, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        value, at = np.unique(np.concatenate(sets), return_inverse=True)
+        of = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(at, kind="stable")
+        holders, first = of[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(value)))])
+        begin = np.cumsum(size) - size
+        done = np.zeros(len(sets), bool)
+        for i in np.flatnonzero(label != count.argmax()).tolist():
+            done[i] = True
+            mine = at[begin[i] : begin[i] + size[i]]
+            many = first[mine + 1] - first[mine]
+            ends = np.cumsum(many)
+            spots = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - many), many)
+            both = np.bincount(holders[spots], minlength=len(sets))
+            ok = ~done & (label != label[i]) & (100 * both >= percent * (size + size[i] - both))
+            if across:
+                ok &= block != block[i]
+            # one link to each other component is enough
+            for j in {int(label[j]): j for j in np.flatnonzero(ok).tolist()}.values():
+                yield int(ids[i]), int(ids[j])
+
+    def run(batches):
+        key, held = None, []
+
+        def emit():
+            if len(held) > 1:
+                ids, component, block, sets = zip(*held)
+                found = list(links_of(ids, np.array(component), np.array(block), list(sets), key[1] != key[2]))
+                if found:
+                    yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+        for part in slices(batches, "text"):
+            sets = shingle_sets(part.column("text").to_pylist(), words)
+            cols = [part.column(c).to_pylist() for c in ("bucket", "p", "q", "id", "component", "block")]
+            for (*k, i, c, b), own in zip(zip(*cols), sets):
+                if k != key:
+                    yield from emit()
+                    key, held = k, []
+                held.append((i, c, b, own))
+        yield from emit()
+
+    dealt = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return written(dealt.select("bucket", "p", "q", "id", "component", "block", "text").mapInArrow(run, "a long, b long"), "family-links")
 
 
 def _near(members: DataFrame, least: int, percent: int) -> DataFrame:
     """a, b: pairs of one bucket and different components that agree on ``least`` coordinates.
 
-    members: bucket, p, q (the blocks compared), block, id, n, component, sig.
+    members: bucket, p, q (the blocks compared), block, id, n, component, families, sig.
     """
 
-    def pairs_of(ids, n, block, component, sig, across):
+    def pairs_of(ids, n, block, component, families, sig, across):
         m = len(ids)
         names, label, count = np.unique(component, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
         rare = np.flatnonzero(label != count.argmax())
+        leaders = {f: k for k, f in enumerate({f for fs in families for f in fs or ()})}
+        within = np.zeros((m, len(leaders) + 1), bool)
+        for i, fs in enumerate(families):
+            within[i, [leaders[f] for f in fs or ()]] = True
         done = np.zeros(m, bool)
         for i in rare.tolist():
             done[i] = True
-            can = ~done & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            can = ~within[:, within[i]].any(axis=1) & ~done & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if across:
                 can &= block != block[i]
             at = np.flatnonzero(can)
@@ -159,7 +232,7 @@ def _near(members: DataFrame, least: int, percent: int) -> DataFrame:
             if g.num_rows > 1:
                 sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint16).reshape(g.num_rows, -1)
                 cols = [g.column(c).to_numpy() for c in ("id", "n", "block", "component")]
-                out.update((max(x), min(x)) for x in pairs_of(*cols, sig, g.column("p")[0].as_py() != g.column("q")[0].as_py()))
+                out.update((max(x), min(x)) for x in pairs_of(*cols, g.column("families").to_pylist(), sig, g.column("p")[0].as_py() != g.column("q")[0].as_py()))
         if out:
             yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
@@ -188,23 +261,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     led = member.join(leader, "bucket").filter("id <> leader.id AND 100 * least(n, leader.n) >= :p * greatest(n, leader.n)".replace(":p", str(percent)))
     tried = written(led.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     same = classes.filter("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b")).distinct()
-    links = _confirmed(docs, tried, words, percent)
+    near = _confirmed(docs, tried, words, max(1, 2 * percent - 100), percent)
+    links = near.filter("linked").select("a", "b")
 
-    # what the leaders left apart
+    # what the leaders left apart: inside families
     part = written(components(links), "components")
     member = member.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    family = near.select(F.col("a").alias("leader"), F.col("b").alias("id"))
+    known = member.select("id", "n", "component").distinct()
+    family = written(family.unionByName(near.select(F.col("a").alias("leader"), F.col("a").alias("id"))).distinct().join(known, "id"), "families")
+    parted = family.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leader")
+    links = links.unionByName(_family_links(docs, family.join(parted, "leader", "left_semi"), words, percent))
+
+    # and between families, inside buckets
+    part = written(components(links), "components")
+    within = family.groupBy("id").agg(F.collect_set("leader").alias("families"))
+    member = member.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_ = member.join(mixed, "bucket", "left_semi").join(reps.select("id", "sig"), "id").withColumn("blocks", blocks).withColumn("block", own)
+    open_ = member.join(mixed, "bucket", "left_semi").join(reps.select("id", "sig"), "id").join(within, "id", "left").withColumn("blocks", blocks).withColumn("block", own)
     open_ = open_.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("bucket", F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "id", "n", "component", "sig")
+    open_ = open_.select("bucket", F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "id", "n", "component", "families", "sig")
     share, k = percent / 100, BANDS * ROWS
     least = int(k * share - SLACK * (k * share * (1 - share)) ** 0.5)
-    near = _near(open_, least, percent)
     tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    near = written(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_confirmed(docs, near, words, percent)).unionByName(same)
+    further = written(_near(open_, least, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_confirmed(docs, further, words, percent, percent).select("a", "b")).unionByName(same)
 
     # ids that share a row's class but not its id are linked through the class
     found = components(links)
