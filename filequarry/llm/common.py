@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step inside a task handles at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to Python's str.split, not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Distinct words a task remembers, and how many of the first (the frequent ones) it keeps when full.
-HELD, KEPT = 600_000, 300_000
+HELD, KEPT = 400_000, 250_000
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
 SCHEMA = "doc_id long, block int, start_in_block long, n_tokens int, ids array<int>"
 
