@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, the smallest id, of each group of near duplicates."""
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     docs = docs.select(*COLUMNS)
-    return docs.join(written(kept, "kept"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    # as many ids as documents: never broadcast
+    return docs.join(written(kept, "kept").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size"), "copies")
     copies = written(copies.groupBy("mixed_id").agg(F.max("copies").alias("copies")), "copies")
     docs = docs.select(*COLUMNS)
-    taken = docs.join(copies, docs.doc_id.eqNullSafe(F.col("mixed_id")))
+    taken = docs.join(copies.hint("merge"), docs.doc_id.eqNullSafe(F.col("mixed_id")))
     return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 

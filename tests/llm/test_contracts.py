@@ -102,3 +102,76 @@ def test_op10(spark, docs):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         assert got[d] == {"doc_id": d, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes())}
         start += len(ids)
+
+
+def test_op1(spark, docs):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    got = rows(spark, "op1_decontamination")
+    whole = {i: " ".join(words(t)) for i, t in items}
+    for d, t, *_ in docs:
+        text = f" {' '.join(words(t))} "
+        assert got[d]["contaminated"] or not any(f" {w} " in text for w in whole.values())
+        if got[d]["contaminated"]:
+            seen = set(words(t))
+            assert len(seen & set(whole[got[d]["item_id"]].split())) >= 0.6 * len(set(whole[got[d]["item_id"]].split())) * 0.9
+
+
+def test_op2(spark, docs):
+    got, texts = rows(spark, "op2_fingerprints"), {}
+    for k, (d, t, *_) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)]
+        half = len(t) // 2
+        assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == sha(t[: len(t) - half] + after[1][:half])
+        texts.setdefault(t, set()).add(got[d]["fingerprint"])
+        assert 0 <= got[d]["near_next"] <= 1 and (got[d]["near_next"] == 1 or t != after[1])
+    assert all(len(f) == 1 for f in texts.values())
+    long = [r for r in got.values() if r["n_chars"] > 300]
+    assert sum(r["near_edited"] > r["near_next"] + 0.1 for r in long) > 0.97 * len(long)
+
+
+def test_op5(spark, docs):
+    got = rows(spark, "op5_minhash")
+    sets = {}
+    for d, t, *_ in docs:
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+        assert got[d]["n_shingles"] == len(sets[d])
+    root = {d: d for d in sets}
+    while True:
+        before = dict(root)
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert {d: r["component_id"] for d, r in got.items()} == root
+    assert all(r["kept"] == (d == root[d]) for d, r in got.items())
+
+
+@pytest.mark.parametrize("group", [2048, 2])
+def test_op8(spark, docs, group, monkeypatch):
+    from collections import Counter
+
+    from filequarry.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    got = rows(spark, "op8_suffix_dedup")
+    raw = {d: t.encode() for d, t, *_ in docs}
+    count = Counter(b[i : i + 200] for b in raw.values() for i in range(len(b) - 199))
+    for d, b in raw.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        assert got[d] == {"doc_id": d, "n_bytes": len(b), "n_removed": sum(gone), "n_spans": spans, "kept_sha256": sha(kept)}
+
+
+def test_op9(spark, docs):
+    got = rows(spark, "op9_language")
+    held = [(d, lang) for d, _, _, lang in docs if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert {d for d, r in got.items() if r["held_out"]} == {d for d, _ in held}
+    assert sum(got[d]["lang_pred"] == lang for d, lang in held) >= 0.95 * len(held)
