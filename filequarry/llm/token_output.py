@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to Python's str.split, not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Distinct words a task remembers, and how many of the first (the frequent ones) it keeps when full.
-HELD, KEPT = 400_000, 250_000
+HELD, KEPT = 600_000, 400_000
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
 SCHEMA = "doc_id long, block int, start_in_block long, n_tokens int, ids array<int>"
 
@@ -113,8 +113,9 @@ class WordEncoder:
         joint = [w for w in words if len(w) > 1 and w[-1] in MARKS and w[-2].isalnum()]
         parts = [p for w in joint for p in (w[:-1], w[-1])]
         plain = list(dict.fromkeys(w for w in (*set(words).difference(joint), *parts) if w not in self.index))
-        for k in range(0, len(plain), 2000):
-            self.add(plain[k : k + 2000], *self.encode(plain[k : k + 2000]))
+        if plain:
+            got = [self.encode(plain[k : k + 2000]) for k in range(0, len(plain), 2000)]
+            self.add(plain, *(np.concatenate(x) for x in zip(*got)))
         if joint:
             ids, length = gather(self.flat, self.length, np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)))
             self.add(joint, ids, length.reshape(-1, 2).sum(axis=1))
@@ -151,7 +152,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_column: s
 
     def encode(batches):
         block, at = TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             ids, n = encode_texts(part.column("text").to_pylist(), path, end_id)
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
