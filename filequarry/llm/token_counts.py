@@ -99,8 +99,17 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
     spark = docs.sparkSession
     small_batches(spark)
     pieces = written(piece_counts(pre_token_counts(docs, path, text), path), "pre-tokens")
-    top = pieces.filter(F.length("unit") <= HOT_CHARS).orderBy(F.desc("n"), "unit").limit(hot)
-    known = spark.sparkContext.broadcast({r.unit: r.pieces for r in top.select("unit", "pieces").collect()})
+    # a cut in frequency that at most ``hot`` pass: ordering with a limit would bring that many of each partition to the driver
+    step = F.floor(F.log2("n") * 16)
+    short = pieces.filter(F.length("unit") <= HOT_CHARS).withColumn("step", step)
+    least, left = None, hot
+    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # a thousand steps at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    top = short.filter(F.col("step") >= (1 << 40 if least is None else least)).select("unit", "pieces").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), top.column("pieces").to_pylist())))
 
     def spread(batches):
         special, get, part_id, row = load(path)[1], known.value.get, TaskContext.get().partitionId(), 0
