@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filequarry.llm.common import mix64, shingle_sets, slices, small_batches, written
-from filequarry.llm.components import components
+from filequarry.llm.components import components, merged
 
 BANDS, ROWS = 25, 5
 POSITIONS_LOG2 = 20
@@ -260,9 +260,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     leader = member.join(standing, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("standing", -F.col("id"))).alias("leader"))
     led = member.join(leader, "bucket").filter("id <> leader.id AND 100 * least(n, leader.n) >= :p * greatest(n, leader.n)".replace(":p", str(percent)))
     tried = written(led.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    same = classes.filter("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b")).distinct()
+    # rows that share an id link their classes
+    own_class = classes.groupBy("id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
+    same = classes.join(own_class.filter("class < last").select("id", F.col("class").alias("b")), "id").select(F.col("class").alias("a"), "b")
     near = _confirmed(docs, tried, words, max(1, 2 * percent - 100), percent)
-    links = near.filter("linked").select("a", "b")
+    links = near.filter("linked").select("a", "b").unionByName(same)
 
     # what the leaders left apart: inside families
     part = written(components(links), "components")
@@ -271,10 +273,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     known = member.select("id", "n", "component").distinct()
     family = written(family.unionByName(near.select(F.col("a").alias("leader"), F.col("a").alias("id"))).distinct().join(known, "id"), "families")
     parted = family.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leader")
-    links = links.unionByName(_family_links(docs, family.join(parted, "leader", "left_semi"), words, percent))
+    part = written(merged(part, _family_links(docs, family.join(parted, "leader", "left_semi"), words, percent)), "components")
 
     # and between families, inside buckets
-    part = written(components(links), "components")
     within = family.groupBy("id").agg(F.collect_set("leader").alias("families"))
     member = member.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
@@ -287,10 +288,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     least = int(k * share - SLACK * (k * share * (1 - share)) ** 0.5)
     tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     further = written(_near(open_, least, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_confirmed(docs, further, words, percent, percent).select("a", "b")).unionByName(same)
+    part = merged(part, _confirmed(docs, further, words, percent, percent).filter("linked").select("a", "b"))
 
-    # ids that share a row's class but not its id are linked through the class
-    found = components(links)
-    out = sets.join(found, "id", "left")
+    # copies are in the component of their class
+    found = own_class.select("id", "class").join(part.select(F.col("id").alias("class"), "component"), "class", "left")
+    out = sets.join(found.select("id", F.coalesce("component", "class").alias("component")), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
