@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from filequarry.functions import paths
+
 
 def selected(proposals: DataFrame, least: float = 0.7, with_modified: bool = True) -> DataFrame:
     """Pending, approved and edited proposals sure enough, or of unknown confidence."""
@@ -36,6 +38,16 @@ def cascade_folder_renames(files: DataFrame, renames: list[tuple[str, str]]) ->
     return files.withColumn("path", path)
 
 
+def moves_after_renames(moves: DataFrame, renames: DataFrame) -> DataFrame:
+    """``moves`` (file_id, current_value, proposed_value) as they read once ``renames`` (id and the same
+    columns) have run: a renamed file is moved from its new path, under its new name. The first
+    rename of a file by id counts."""
+    first = renames.groupBy("file_id", "current_value").agg(F.min_by("proposed_value", "id").alias("renamed"))
+    target = F.concat(paths.parent(F.col("proposed_value")), F.lit("/"), paths.name(F.col("renamed")))
+    out = moves.join(first, ["file_id", "current_value"], "left")
+    return out.withColumns({"current_value": F.coalesce("renamed", "current_value"), "proposed_value": F.coalesce(target, "proposed_value")}).drop("renamed")
+
+
 def gap_sessions(log: DataFrame, key: str = "user_id", gap: int = 300) -> DataFrame:
     """key, session, started, ended, n: entries more than ``gap`` seconds after the last one begin a session."""
     order = Window.partitionBy(key).orderBy("ts", "event_id")

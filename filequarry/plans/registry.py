@@ -331,6 +331,25 @@ def hygiene_stem(spark, sf_dir):
     return files(spark, sf_dir).select("id", text.hygienic(F.col("stem")).alias("clean"), text.needs_hygiene(F.col("stem")).alias("needed"))
 
 
+RENAMED_SQL = f"{HYGIENE_SQL} <> '' AND {HYGIENE_SQL} <> stem"
+CLEAN_SQL = f"{HYGIENE_SQL} || lower(extension)"
+
+
+@query(f"""SELECT id, path AS current_value, dir || '/' || {CLEAN_SQL} AS proposed_value, 0.5::DOUBLE AS confidence FROM files
+WHERE {RENAMED_SQL} AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 1)""")
+def hygiene_renames(spark, sf_dir):
+    return naming.hygiene_renames(files(spark, sf_dir), proposals(spark, sf_dir).filter("proposal_type = 'rename'"))
+
+
+@query(f"""SELECT id AS file_id, CASE WHEN {RENAMED_SQL} THEN dir || '/' || {CLEAN_SQL} ELSE path END AS current_value,
+  '/corpus/moved/' || lang || '/' || CASE WHEN {RENAMED_SQL} THEN {CLEAN_SQL} ELSE filename END AS proposed_value FROM files WHERE extension <> '.txt'""")
+def moves_after_renames(spark, sf_dir):
+    f = files(spark, sf_dir)
+    renames = naming.hygiene_renames(f, f.filter("false").select(F.col("id").alias("file_id"))).withColumn("file_id", F.col("id"))
+    moves = f.filter("extension <> '.txt'").select(F.col("id").alias("file_id"), F.col("path").alias("current_value"), F.concat(F.lit("/corpus/moved/"), "lang", F.lit("/"), "filename").alias("proposed_value"))
+    return execution.moves_after_renames(moves, renames)
+
+
 @query("SELECT id, id % 8 IN (0, 2, 6) AS useless FROM files")
 def useless_stem(spark, sf_dir):
     return files(spark, sf_dir).select("id", text.useless(F.col("stem")).alias("useless"))
