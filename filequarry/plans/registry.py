@@ -435,8 +435,7 @@ def collision_resolve(spark, sf_dir):
 
 @query()
 def spelling_variants(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.slice(F.split("text", " "), 1, 40)).alias("stem"))
-    return naming.spelling(naming.token_frequency(words).filter("n >= 5"))
+    return naming.spelling(naming.token_frequency(table(spark, sf_dir, "documents").select(F.col("text").alias("stem"))))
 
 
 # ---------------------------------------------------------------- logs
