@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from filequarry.llm.common import PUNCTUATION, hash_words, mix64, slices, small_batches
+from filequarry.operators.scratch import saved
 
 SEED, THRESHOLD = 5, 0.6
 BLOCK_BYTES = 32 << 20
@@ -148,26 +149,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thres
     blocks = size // BLOCK_BYTES + 1
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    if blocks > 1:
+        # written once with a key of each row, so that all passes agree on it
+        rows = saved(rows.mapInArrow(_keyed, f"key long, id {kind}, text string"), "docs")
     parts = []
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
         shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block.collect()], seed))
-        parts.append(rows.mapInArrow(_tiler(shared, seed), f"key long, id {kind}, {OUT}"))
+        part = rows.mapInArrow(_tiler(shared, seed), f"key long, id {kind}, {OUT}")
+        if blocks > 1:
+            part = saved(part, "block")
+            shared.unpersist()
+        parts.append(part)
     if blocks == 1:
         out = parts[0]
     else:
-        best = F.max(F.struct("coverage", -F.col("item_id"), "n_tiles"))
+        best = F.max(F.struct("coverage", (-F.col("item_id")).alias("item"), "n_tiles"))
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
         out = every.groupBy("key").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.sum("n_items").alias("n_items"), best.alias("best"))
-        out = out.select("id", "n_words", "n_items", (-F.col("best.col2")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.n_tiles").alias("n_tiles"))
+        out = out.select("id", "n_words", "n_items", (-F.col("best.item")).alias("item_id"), F.col("best.coverage").alias("coverage"), F.col("best.n_tiles").alias("n_tiles"))
     return out.select(F.col("id").alias(id_column), "n_words", "n_items", "item_id", "coverage", "n_tiles", (F.col("coverage") >= threshold).alias("contaminated"))
 
 
+def _keyed(batches):
+    first = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        key = pa.array(np.arange(first, first + batch.num_rows), pa.int64())
+        yield pa.record_batch({"key": key, "id": batch.column("id"), "text": batch.column("text")})
+        first += batch.num_rows
+
+
 def _tiler(shared, seed: int):
     def run(batches):
-        items, part_id, row = shared.value, TaskContext.get().partitionId(), 0
+        items = shared.value
         for part in slices(batches, "text"):
             words, bounds = hash_words(part.column("text").to_pylist(), space=PUNCTUATION)
             marks = {n: items.hits(words, n) for n in items.lengths}
@@ -176,9 +192,9 @@ def _tiler(shared, seed: int):
                 own = {n: at[slice(*np.searchsorted(at, [a, b - n + 1]))] - a for n, at in marks.items()}
                 found = cover(words[a:b], own, items, seed) if any(map(len, own.values())) else []
                 best = min(found, key=lambda f: (-f[0], f[1])) if found else (0.0, None, 0)
-                got.append((part_id << 33 | row, b - a, len(found), best[1], best[0], best[2]))
-                row += 1
-            key, n, shares, item, share, count = zip(*got)
-            yield pa.record_batch({"key": pa.array(key, pa.int64()), "id": part.column("id"), "n_words": pa.array(n, pa.int64()), "n_items": pa.array(shares, pa.int64()), "item_id": pa.array(item, pa.int64()), "coverage": pa.array(share, pa.float64()), "n_tiles": pa.array(count, pa.int64())})
+                got.append((b - a, len(found), best[1], best[0], best[2]))
+            n, shares, item, share, count = zip(*got)
+            key = part.column("key") if "key" in part.schema.names else pa.nulls(len(n), pa.int64())
+            yield pa.record_batch({"key": key, "id": part.column("id"), "n_words": pa.array(n, pa.int64()), "n_items": pa.array(shares, pa.int64()), "item_id": pa.array(item, pa.int64()), "coverage": pa.array(share, pa.float64()), "n_tiles": pa.array(count, pa.int64())})
 
     return run

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+from filequarry.llm import decontamination
 from filequarry.operators import naming
 from filequarry.plans import registry
 
@@ -41,3 +42,14 @@ def test_spelling_equals_brute_force(spark):
 
 def test_spelling_of_no_tokens(spark):
     assert naming.spelling(spark.createDataFrame([], "token string, n long")).collect() == []
+
+
+def test_several_blocks_of_items_equal_one(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)]
+    texts = [(j, f"before {items[j][1]} between {items[(j + 1) % 40][1]} after") for j in range(30)] + [(30, None), (31, "clean text"), (5, items[7][1]), (5, items[7][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    got = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
+    assert len(got) == len(texts) and got == want and sum(r[-1] for r in got) == 32
