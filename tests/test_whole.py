@@ -53,3 +53,8 @@ def test_several_blocks_of_items_equal_one(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
     got = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
     assert len(got) == len(texts) and got == want and sum(r[-1] for r in got) == 32
+
+
+def test_padded_series_are_found(spark, tmp_path):
+    got = registry.QUERIES["sequence_detect_all"](spark, documents(spark, tmp_path, ["a"] * 25)).filter("base = 'IMG'").collect()
+    assert [(r.n, r.lowest, r.highest, r.width) for r in got] == [(4, 0, 24, 4)]
