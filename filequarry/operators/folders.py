@@ -41,6 +41,28 @@ def outliers(files: DataFrame, most: int = 5) -> DataFrame:
     return odd.withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "dir", "category", "dominant", "rank")
 
 
+def misfits(files: DataFrame, root: str, most: int = 5, most_at_root: int = 20) -> DataFrame:
+    """id, dir, category, dominant, by_category, by_tags, rank: files that don't fit their folder.
+
+    In folders of four files or more, those of another category than the dominant one, then those
+    whose tags (ai_tags) have none of the folder's eight theme tags, largest first. In the folder
+    ``root`` every file, those with tags first, then the largest.
+    """
+    files = files.withColumn("tags", F.transform(F.coalesce("ai_tags", F.array().cast("array<string>")), F.lower))
+    tags = files.select("id", "dir", F.explode(F.slice("tags", 1, 5)).alias("tag"))
+    themes = top_per_folder(tags, "tag", 8).groupBy("dir").agg(F.collect_list("tag").alias("theme"))
+    known = summary(files).select("dir", "n", "dominant").join(themes, "dir", "left")
+    at_root = F.col("dir") == root
+    by_category = F.coalesce((F.col("category") != F.col("dominant")) & (F.col("category") != "other"), F.lit(False))
+    by_tags = (F.size("tags") > 0) & F.coalesce(~F.arrays_overlap("tags", "theme"), F.lit(False))
+    odd = files.join(known, "dir").withColumns({"by_category": by_category, "by_tags": by_tags})
+    odd = odd.filter(at_root | (F.col("n") >= 4) & (F.col("by_category") | F.col("by_tags")))
+    first = F.when(at_root, F.size("tags") == 0).otherwise(~F.col("by_category"))
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy(first, F.desc(F.coalesce("size_bytes", F.lit(0))), "id"))
+    kept = odd.withColumn("rank", rank).filter(F.col("rank") <= F.when(at_root, most_at_root).otherwise(most))
+    return kept.select("id", "dir", "category", "dominant", "by_category", "by_tags", "rank")
+
+
 def tree_delta(files: DataFrame, moves: DataFrame) -> DataFrame:
     """dir, before, after: file counts of folders before and after moves (file_id, to_dir)."""
     before = files.select("dir", F.lit(1).alias("before"), F.lit(0).alias("change"))

@@ -269,6 +269,19 @@ def folder_outliers(spark, sf_dir):
     return folders.outliers(categorised(spark, sf_dir))
 
 
+@query(f""", {SUMMARY_SQL}, tags AS (SELECT id, dir, unnest(ai_tags[1:5]) AS tag FROM files),
+ranked AS (SELECT dir, tag, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, min(id), tag) AS k FROM tags GROUP BY dir, tag),
+themes AS (SELECT dir, list(tag) AS theme FROM ranked WHERE k <= 8 GROUP BY dir),
+odd AS (SELECT f.id, f.dir, size_bytes, n, {CATEGORY_SQL} AS category, CASE WHEN most >= 0.6 * n THEN top END AS dominant,
+  coalesce(most >= 0.6 * n AND {CATEGORY_SQL} <> top, false) AS by_category, len(ai_tags) > 0 AND coalesce(NOT list_has_any(ai_tags, theme), false) AS by_tags
+  FROM files f JOIN folders g ON g.dir = f.dir LEFT JOIN themes t ON t.dir = f.dir)
+SELECT id, dir, category, dominant, by_category, by_tags, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY dir ORDER BY by_category DESC, size_bytes DESC, id) AS rank FROM odd WHERE n >= 4 AND (by_category OR by_tags)) WHERE rank <= 5""")
+def folder_misfits(spark, sf_dir):
+    """Outliers by category or tags; ``folder_outliers`` is held to SQL of the first kind only."""
+    return folders.misfits(categorised(spark, sf_dir), "/corpus")
+
+
 @query("""SELECT dir, count(*) FILTER (w = 'b') AS before, CAST(greatest(sum(CASE w WHEN 'm' THEN -1 ELSE 1 END), 0) AS BIGINT) AS after FROM (
   SELECT dir, 'b' AS w FROM files UNION ALL SELECT dir, 'm' FROM files WHERE id % 4 = 0 UNION ALL SELECT '/corpus/moved/' || lang, 'p' FROM files WHERE id % 4 = 0) GROUP BY dir""")
 def tree_delta(spark, sf_dir):

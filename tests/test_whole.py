@@ -4,7 +4,7 @@ import difflib
 import random
 
 from filequarry.llm import decontamination
-from filequarry.operators import naming
+from filequarry.operators import folders, naming
 from filequarry.plans import registry
 
 
@@ -58,3 +58,16 @@ def test_several_blocks_of_items_equal_one(spark, monkeypatch):
 def test_padded_series_are_found(spark, tmp_path):
     got = registry.QUERIES["sequence_detect_all"](spark, documents(spark, tmp_path, ["a"] * 25)).filter("base = 'IMG'").collect()
     assert [(r.n, r.lowest, r.highest, r.width) for r in got] == [(4, 0, 24, 4)]
+
+
+def test_tag_outliers_and_root_files(spark):
+    rows = [(i, "/r/a", "image" if i % 2 else "video", 10 + i, ["beach", "sun"]) for i in range(6)] + [(6, "/r/a", "image", 900, None)]
+    rows += [(10 + i, "/r/b", "image", 10, [f"t{k}" for k in range(8)][i:] * 2) for i in range(5)] + [(15, "/r/b", "document", 1, ["t0"]), (16, "/r/b", "image", 99, ["odd"]), (17, "/r/b", "other", 99, [])]
+    rows += [(20 + i, "/r", "image", i, ["a"] if i < 2 else []) for i in range(3)]
+    got = folders.misfits(spark.createDataFrame(rows, "id long, dir string, category string, size_bytes long, ai_tags array<string>"), "/r").orderBy("dir", "rank").collect()
+    assert [(r.id, r.dominant, r.by_category, r.by_tags) for r in got if r.dir == "/r/b"] == [(15, "image", True, False), (16, "image", False, True)]
+    assert [r.id for r in got if r.dir == "/r"] == [21, 20, 22]
+    assert not [r for r in got if r.dir == "/r/a" and r.by_tags]
+    mixed = [(i, "/r/c", ("image", "video")[i % 2], 1, [f"c{i % 8}", f"c{(i + 1) % 8}"]) for i in range(10)] + [(10, "/r/c", "image", 1, ["zzz"])]
+    got = folders.misfits(spark.createDataFrame(mixed, "id long, dir string, category string, size_bytes long, ai_tags array<string>"), "/r").collect()
+    assert [(r.id, r.dominant, r.by_category, r.by_tags, r.rank) for r in got] == [(10, None, False, True, 1)]
