@@ -409,7 +409,7 @@ def folder_names(spark, sf_dir):
 
 @query("""SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes % 1024 = 0 THEN (size_bytes // 1024) || ' KB' ELSE format('{:.1f} KB', size_bytes / 1024.0::DOUBLE) END AS shown FROM files WHERE size_bytes < 1048576""")
 def human_size(spark, sf_dir):
-    return files(spark, sf_dir).filter("size_bytes < 1048576").select("id", text.human_size(F.col("size_bytes")).alias("shown"))
+    return files(spark, sf_dir).select("id", text.human_size(F.col("size_bytes")).alias("shown"))
 
 
 @query("""SELECT id, path, regexp_replace(path, '/[^/]*$', '') AS parent, filename AS name, extension AS suffix, stem, [source, lang] AS chain FROM

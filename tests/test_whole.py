@@ -71,3 +71,9 @@ def test_tag_outliers_and_root_files(spark):
     mixed = [(i, "/r/c", ("image", "video")[i % 2], 1, [f"c{i % 8}", f"c{(i + 1) % 8}"]) for i in range(10)] + [(10, "/r/c", "image", 1, ["zzz"])]
     got = folders.misfits(spark.createDataFrame(mixed, "id long, dir string, category string, size_bytes long, ai_tags array<string>"), "/r").collect()
     assert [(r.id, r.dominant, r.by_category, r.by_tags, r.rank) for r in got] == [(10, None, False, True, 1)]
+
+
+def test_sizes_of_long_documents_are_shown(spark, tmp_path):
+    texts = ["x" * n for n in (1000, 1048575, 1048576, 3 << 19, 20 << 20)]
+    got = registry.QUERIES["human_size"](spark, documents(spark, tmp_path, texts)).orderBy("id").collect()
+    assert [r.shown for r in got] == ["1000 B", "1024.0 KB", "1 MB", "1.5 MB", "20 MB"]
