@@ -8,7 +8,8 @@ email, ip, card, phone: the leftmost non-overlapping matches of the patterns bel
 fail their check are dropped without another try.
 url: ``scheme://user:secret@host`` (credentials in an address). account: after a cue such as
 ``iban``, ``account``, ``acct``, ``ssn``, an identifier of 6 to 34 letters, digits and hyphens
-with at least 4 digits.
+with at least 4 digits, or an IBAN in groups with spaces between, of its country's length and with
+right check digits.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans.
 """
@@ -35,8 +36,14 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
-ACCOUNT = re.compile(r"(?:[\x20:#.=]|no|number|is|nr){1,4}([A-Za-z0-9](?:[A-Za-z0-9-]{4,32})[A-Za-z0-9])(?![A-Za-z0-9-])", re.IGNORECASE)
-URL = re.compile(r"://[^\s/@:]{1,64}:[^\s/@]{1,64}@[A-Za-z0-9.-]+")
+SEPARATORS = r"(?:[\x20:#.=]|no|number|is|nr)+"
+ACCOUNT = re.compile(SEPARATORS + r"([A-Za-z0-9](?:[A-Za-z0-9-]{4,32})[A-Za-z0-9])(?![A-Za-z0-9-])", re.IGNORECASE)
+#: An IBAN in groups of four; which groups belong to it is settled by its country's length.
+IBAN = re.compile(SEPARATORS + r"([A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{1,4}){2,8})", re.IGNORECASE)
+IBAN_LENGTHS = {w[:2]: int(w[2:]) for w in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18
+FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15
+PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20""".split()}
+URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")  # the next "://" ends a scan, so nothing is read twice
 
 
 def automaton():
@@ -60,6 +67,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def grouped_iban(text: str, start: int, stop: int) -> int:
+    """Where the IBAN from ``start`` ends, or 0 if there is none with its country's length and check digits."""
+    size, at = IBAN_LENGTHS.get(text[start : start + 2].upper(), 0), start
+    code = ""
+    while at < stop and len(code) < size:
+        code += text[at].strip()
+        at += 1
+    if not size or len(code) < size or text[at : at + 1].isalnum():
+        return 0
+    return at if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
+
+
 def find(text: str, cues) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text, by kind as in ALL_KINDS, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in ALL_KINDS}
@@ -94,7 +113,10 @@ def find(text: str, cues) -> list[tuple[str, int, int]]:
                     found["url"].append((start, m.end()))
                     url_to = m.end()
         elif what == "cue":
-            if end >= account_to and (m := ACCOUNT.match(text, end + 1)) and len(NOT_DIGIT.sub("", m[1])) >= 4:
+            if end >= account_to and (m := IBAN.match(text, end + 1)) and (stop := grouped_iban(text, m.start(1), m.end(1))):
+                found["account"].append((m.start(1), stop))
+                account_to = stop
+            elif end >= account_to and (m := ACCOUNT.match(text, end + 1)) and len(NOT_DIGIT.sub("", m[1])) >= 4:
                 found["account"].append(m.span(1))
                 account_to = m.end(1)
         else:

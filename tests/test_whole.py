@@ -3,7 +3,7 @@
 import difflib
 import random
 
-from filequarry.llm import decontamination
+from filequarry.llm import decontamination, pii
 from filequarry.operators import folders, naming
 from filequarry.plans import registry
 
@@ -77,3 +77,16 @@ def test_sizes_of_long_documents_are_shown(spark, tmp_path):
     texts = ["x" * n for n in (1000, 1048575, 1048576, 3 << 19, 20 << 20)]
     got = registry.QUERIES["human_size"](spark, documents(spark, tmp_path, texts)).orderBy("id").collect()
     assert [r.shown for r in got] == ["1000 B", "1024.0 KB", "1 MB", "1.5 MB", "20 MB"]
+
+
+def test_grouped_ibans_separators_and_long_secrets():
+    def spans(text, kind):
+        return [text[a:b] for k, a, b in pii.find(text, pii.automaton()) if k == kind]
+
+    assert spans("IBAN DE89 3704 0044 0532 0130 00 was paid", "account") == ["DE89 3704 0044 0532 0130 00"]
+    assert spans("IBAN: GB82 WEST 1234 5698 7654 32.", "account") == ["GB82 WEST 1234 5698 7654 32"]
+    assert spans("IBAN DE88 3704 0044 0532 0130 00", "account") == []
+    assert spans("account number is: 123456", "account") == spans("acct 123456", "account") == ["123456"]
+    url = "https://user:" + "s" * 200 + "@host.example"
+    assert spans(f"see {url} now", "url") == [url]
+    assert spans("://a:" * 100_000, "url") == [] == spans("account" + " " * 100_000, "account")
