@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one vectorised step inside a task handles at a time.
 SLICE_BYTES = 512 << 10
@@ -39,6 +39,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one in so many rows; so there are fewer hot keys than this.
+HOT_SHARE = 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with a written ``table`` that knows by ``weight`` how many rows each key has.
+
+    Hot keys, fewer than ``HOT_SHARE`` by their definition, are broadcast so that their rows stay
+    where they are; all others go through a shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.filter(F.col(weight) * HOT_SHARE > total)
+    rest = table.filter(F.col(weight) * HOT_SHARE <= total)
+    here = rows.join(F.broadcast(hot), keys)
+    return here.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys).select(here.columns))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches: long texts make the default 10,000 rows too many for a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -128,3 +145,69 @@ def shingle_sets(texts: list[str | None], n: int, lower: bool = True) -> list[np
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def joined_batches(batches: Iterable[pa.RecordBatch], text_column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes of text: small ones are joined, large ones cut as by ``slices``."""
+    held, size = [], 0
+    for part in slices(batches, text_column, limit):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column(text_column))).as_py() or 0
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"]] = True  # not <, | and >, of which special strings consist
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: UTF-8 forms of white space beyond ASCII by last byte, and U+001C to U+001F: nothing is cut after these.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+
+
+def _wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space beyond ASCII (or may be to some)."""
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    pair = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    pair |= (three == 0xE1) & (((two == 0x9A) & (one == 0x80)) | ((two == 0xA0) & (one == 0x8E)))
+    pair |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8B) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    pair |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+    return pair | ((three == 0xE3) & (two == 0x80) & (one == 0x80)) | ((one >= 0x1C) & (one <= 0x1F))
+
+
+def units_of(texts: pa.Array, keep_case: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of all texts, the number of each unit in turn, and the bounds of each text's.
+
+    A unit is white space and the characters after it, cut before an ASCII mark that follows a letter
+    or digit of Latin-1, too. Tokenizers that split at white space, letters and marks break at each of these
+    places, so their pre-tokens lie inside units. keep_case: texts whose A-Z stay (None: all).
+    """
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    n = len(texts)
+    _, offsets, body = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body is not None and ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    if not len(data):
+        return [], np.empty(0, np.int64), np.zeros(n + 1, np.int64)
+    space = _SPACE[data]
+    letter = _ALNUM[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & letter[:-1])
+    maybe = np.flatnonzero(cut)
+    maybe = maybe[_WIDE[data[maybe - 1]]]
+    cut[maybe[_wide_space(data, maybe)]] = False
+    cut[ends[:-1][ends[:-1] < len(data)]] = True
+    at = np.flatnonzero(cut)
+    if keep_case is not None:
+        upper = (data >= 65) & (data <= 90)
+        if keep_case.any():
+            upper &= ~np.repeat(keep_case, np.diff(ends))
+        data = data + upper.astype(np.uint8) * np.uint8(32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    found = words.dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(at, ends)

@@ -2,21 +2,24 @@
 
 Where to look. Each window of ``length`` bytes is owned by the least hash among its 32-byte grams
 (its anchor, the leftmost on ties); neighbouring windows with one anchor form a stretch. Equal
-windows have equal anchors, so a window repeats only if its anchor does. Three passes over the
-texts find (1) anchors that occur twice, (2) the stretches of those, (3) the bytes of stretches
-that have to be compared: those that occur once while their anchor has others. A stretch that
-occurs as a whole more than once repeats as a whole. Sets of anchors go from pass to pass as bit
-tables of bounded size; what they let through wrongly is dropped by the exact counts.
-
-Comparison, within a task for whole groups of one anchor: a suffix array of the stretches by
-two-stage sorting. Suffixes smaller than their successors are sorted directly, by ``length``
-bytes; the others are induced by scanning the buckets of first bytes in order; then adjacent
-common prefixes of ``length`` bytes mark the repeats. Groups of more than ``GROUP`` stretches
-are sorted in parts, whose windows then meet by hash across the parts, so no task holds a hot
-group and no repeat is missed.
+windows have equal anchors, so a window repeats only if its anchor does. Two passes over the texts
+find the anchors that occur twice and the stretches of those. The anchors go from the first to the
+second as a bit table of bounded size; what it lets through wrongly falls out by the exact counts
+(past some 2**29 anchors it lets more and more through: the second pass then writes more, no more).
+
+Comparison, within a task for whole groups of one anchor: each different stretch once, with its
+number of occurrences, in a suffix array by two-stage sorting. Suffixes smaller than their
+successors are sorted directly, by ``length`` bytes; the others are induced by scanning the buckets
+of first bytes in order; then adjacent common prefixes of ``length`` bytes mark the repeats.
+
+An anchor with more than ``GROUP`` different stretches is divided first. Its windows are told apart
+by where they have the anchor; all windows of one half of those places share the bytes around the
+anchor, so the two halves of each stretch are grouped anew by those bytes, and so on until a group
+is small or one window wide. Equal windows always stay in one group, halves that are alone fall
+out, and equal halves count once: the work grows with the number of stretches, not of their pairs.
 
 Null counts as empty. Texts shorter than ``length`` lose nothing. Equal rows are copies of each
-other. Offsets are bytes of UTF-8.
+other. Offsets are bytes of UTF-8. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from filequarry.llm.common import mix64, shuffle_partitions, slices, small_batches, written
+from filequarry.llm.common import join_hot, mix64, shuffle_partitions, slices, small_batches, written
 
 GRAM = 32
 #: Bits for each anchor in a bit table, and the log2 of its most bits (64 MB).
 SIEVE_BITS, SIEVE_MOST = 16, 29
 GROUP = 2048
+#: Stretches a task remembers, so as not to hand on their bytes again.
+SEEN = 500_000
+#: Up to so many anchors with many stretches are broadcast; more go through a shuffled join.
+BROADCAST_ANCHORS = 100_000
 #: Bytes of stretches sorted in one array; a group is never cut.
 SORTED_BYTES = 4 << 20
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,10 +204,11 @@ def repeated(parts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.n
     return owner, order - begin[owner], np.cumsum(new) - 1
 
 
-def _rows(docs: DataFrame, length: int, schema: str, emit) -> DataFrame:
-    """One row for each stretch, as ``emit`` makes them of its text's id and check, start, windows, anchor and bytes."""
+def _rows(docs: DataFrame, length: int, schema: str, make) -> DataFrame:
+    """One row for each stretch, as the function that ``make`` gives for a task makes them of its text's id and check, start, windows, anchor and bytes."""
 
     def run(batches):
+        emit = make()
         for part in slices(batches, "text", 512 << 10):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             joined, owner, lo, count, anchor = stretches(texts, length)
@@ -242,113 +250,185 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     small_batches(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("check"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    sc = spark.sparkContext
 
     def only_anchor(part, texts, joined, owner, lo, count, anchor):
         return pa.record_batch({"anchor": pa.array(anchor[1])})
 
-    every = _rows(rows, length, "anchor long", only_anchor)
+    every = _rows(rows, length, "anchor long", lambda: only_anchor)
     again = written(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    wanted = sc.broadcast(_sieve(again))
-
-    def described(part, texts, joined, owner, lo, count, anchor):
-        at = np.flatnonzero(_in_sieve(wanted.value, anchor[1]))
-        ctx = [_context(joined, *x, length) for x in zip(lo[at].tolist(), count[at].tolist(), anchor[0][at].tolist())]
-        base = np.cumsum([0, *map(len, texts)])
-        own = pa.array(owner[at])
-        return pa.record_batch({"id": part.column("id").take(own), "check": part.column("check").take(own), "start": pa.array((lo - base[owner])[at].astype(np.int32)), "windows": pa.array(count[at].astype(np.int32)), "anchor": pa.array(anchor[1][at]), "ctx": pa.array(ctx, pa.int64())})
-
-    found = _rows(rows, length, f"id {kind}, check int, start int, windows int, anchor long, ctx long", described)
-    found = written(found, "stretches")
-    groups = found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.first(F.struct("id", "check", "start")).alias("one"))
-    by_anchor = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum("n").alias("all")).filter("all > 1")
-    groups = written(groups.join(by_anchor, "anchor"), "groups")
-    compare = groups.filter("kinds > 1 AND least = 1")
-    opened = sc.broadcast(_sieve(compare.select("anchor").distinct()))
-
-    def with_bytes(part, texts, joined, owner, lo, count, anchor):
-        at = np.flatnonzero(_in_sieve(opened.value, anchor[1]))
-        ctx, held, seen = [], [], set()
-        keep = []
-        for k, s, c, a, h in zip(at.tolist(), lo[at].tolist(), count[at].tolist(), anchor[0][at].tolist(), anchor[1][at].tolist()):
-            digest = _context(joined, s, c, a, length)
-            if (h, digest) not in seen:
-                seen.add((h, digest))
-                keep.append(k)
+    wanted = spark.sparkContext.broadcast(_sieve(again))
+
+    def describer():
+        seen = set()
+
+        def described(part, texts, joined, owner, lo, count, anchor):
+            at = np.flatnonzero(_in_sieve(wanted.value, anchor[1]))
+            ctx, held = [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            for s, c, a, h in zip(lo[at].tolist(), count[at].tolist(), anchor[0][at].tolist(), anchor[1][at].tolist()):
+                digest = _context(joined, s, c, a, length)
                 ctx.append(digest)
-                held.append(joined[s : s + c + length - 1])
-        return pa.record_batch({"anchor": pa.array(anchor[1][keep]), "ctx": pa.array(ctx, pa.int64()), "bytes": pa.array(held, pa.binary())})
-
-    held = _rows(rows, length, "anchor long, ctx long, bytes binary", with_bytes)
-    parts = F.ceil(F.col("kinds") / GROUP).cast("int")
-    meta = compare.select("anchor", "ctx", "n", parts.alias("parts"), F.pmod("ctx", parts).alias("part"))
-    held = held.join(meta, ["anchor", "ctx"])
-    sorted_ = written(_compared(held, length), "compared")
-
-    # windows of groups sorted in parts meet across the parts
-    across = sorted_.filter("whash IS NOT NULL")
-    met = across.groupBy("anchor", "whash").agg(F.count("*").alias("times")).filter("times > 1")
-    partial = sorted_.filter("whash IS NULL").select("anchor", "ctx", "offset", "windows")
-    partial = partial.unionByName(across.filter("n = 1").join(met, ["anchor", "whash"]).select("anchor", "ctx", "offset", "windows"))
-    single = groups.filter("n = 1").select("anchor", "ctx", "one")
-    some = partial.join(single, ["anchor", "ctx"]).select("one.id", "one.check", (F.col("one.start") + F.col("offset")).alias("start"), "windows")
-    whole = found.join(groups.filter("n > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("id", "check", "start", "windows")
-    spans = whole.unionByName(some).groupBy("id", "check").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+                if (h, digest) in seen:
+                    held.append(None)
+                else:
+                    seen.add((h, digest))
+                    held.append(joined[s : s + c + length - 1])
+            base = np.cumsum([0, *map(len, texts)])
+            own = pa.array(owner[at])
+            return pa.record_batch({
+                "id": part.column("id").take(own), "check": part.column("check").take(own), "start": pa.array((lo - base[owner])[at].astype(np.int32)),
+                "windows": pa.array(count[at].astype(np.int32)), "anchor": pa.array(anchor[1][at]), "ctx": pa.array(ctx, pa.int64()),
+                "place": pa.array((anchor[0] - lo)[at].astype(np.int32)), "bytes": pa.array(held, pa.binary()),
+            })
+
+        return described
+
+    found = _rows(rows, length, f"id {kind}, check int, start int, windows int, anchor long, ctx long, place int, bytes binary", describer)
+    found = written(found, "stretches")
+    counts = written(found.groupBy("anchor", "ctx").agg(F.count("*").alias("n")), "groups")
+    held = found.filter("bytes IS NOT NULL").select("anchor", "ctx", F.lit(0).cast("long").alias("n"), "place", "bytes")
+    # one row for each different stretch with its count, and its bytes from each task that met it
+    held = held.unionByName(counts.select("anchor", "ctx", "n"), allowMissingColumns=True)
+    crowded = written(counts.groupBy("anchor").count().filter(F.col("count") > GROUP).select("anchor"), "crowded")
+    crowds = crowded.count()
+    few = held
+    if crowds:
+        list_ = F.broadcast(crowded) if crowds <= BROADCAST_ANCHORS else crowded
+        few = held.join(list_, "anchor", "left_anti")
+    marks = _compared(few, length, ["anchor", "ctx"])
+    if crowds:
+        marks = marks.unionByName(_in_halves(held.join(list_, "anchor", "left_semi"), length))
+    marks = written(marks, "marks")
+
+    spans = join_hot(found.select("id", "check", "start", "anchor", "ctx"), marks, ["anchor", "ctx"], "n")
+    spans = spans.select("id", "check", F.inline("runs"), "start")
+    spans = spans.groupBy("id", "check").agg(F.collect_set(F.struct((F.col("start") + F.col("offset")).alias("start"), "windows")).alias("spans"))
     spans = spans.withColumnsRenamed({"id": "span_id", "check": "span_check"})
     joined = rows.join(spans, rows.id.eqNullSafe(F.col("span_id")) & rows.check.eqNullSafe(F.col("span_check")), "left")
     return _removed(joined.select("id", "text", "spans"), length, kind).withColumnRenamed("id", id_column)
 
 
-def _compared(held: DataFrame, length: int) -> DataFrame:
-    """anchor, ctx, n, offset, windows of repeated windows (of stretches that occur once), or, for groups
-    in parts, one row for each distinct window of a part with its hash."""
-    schema = "anchor long, ctx long, n long, offset int, windows int, whash long"
+RUNS = "runs array<struct<offset: int, windows: int>>"
+
+
+def _compared(held: DataFrame, length: int, key: list[str]) -> DataFrame:
+    """key, n, runs: the repeated windows of each different stretch.
+
+    held: key (group and member, longs), n, bytes; a member's count and bytes come in rows of their
+    own, the bytes perhaps several times. Groups are whole: dealt by the first key.
+    """
+    group_key, member_key = key
+    run_type = pa.list_(pa.struct([("offset", pa.int32()), ("windows", pa.int32())]))
 
     def run(batches):
-        group, size, last, done = [], 0, None, None
+        held, size = [], 0  # (group, member, n, bytes) of whole groups
+        members, last = {}, None
+
+        def close():
+            """The group that ended joins those held, if it can repeat."""
+            if len(members) > 1 or any(n > 1 for n, _ in members.values()):
+                held.extend((last, m, n, body) for m, (n, body) in members.items())
+                return sum(len(body) for _, body in members.values())
+            return 0
 
         def flush():
-            if not group:
+            if not held:
                 return
-            anchor, ctx, n, parts, body = (list(x) for x in zip(*group))
+            group, member, n, body = (list(x) for x in zip(*held))
             windows = np.fromiter(map(len, body), np.int64, len(body)) - length + 1
             owner, offset, cls = repeated(body, windows, length)
-            many = np.bincount(cls)
-            in_parts = np.array(parts)[owner] > 1
-            single = np.array(n)[owner] == 1
-            rows = []
-            # whole groups: runs of repeated windows
-            hit = np.flatnonzero((many[cls] > 1) & single & ~in_parts)
+            times = np.bincount(cls, weights=np.array(n, float)[owner])
+            hit = np.flatnonzero(times[cls] > 1)
             hit = hit[np.lexsort((offset[hit], owner[hit]))]
             o, f = owner[hit], offset[hit]
             cut = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(f, prepend=-9) != 1))
-            for i, c in zip(cut.tolist(), np.diff(cut, append=len(hit)).tolist()):
-                rows.append((anchor[o[i]], ctx[o[i]], 1, int(f[i]), c, None))
-            # groups in parts: every window with its hash
-            for i in np.flatnonzero(in_parts).tolist():
-                k, f1 = int(owner[i]), int(offset[i])
-                h = xxhash.xxh3_64_intdigest(body[k][f1 : f1 + length])
-                rows.append((anchor[k], ctx[k], n[k], f1, 1, h - (1 << 64) if h >> 63 else h))
-            if rows:
-                cols = list(zip(*rows))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.record_batch({name: pa.array(c, t) for name, c, t in zip(("anchor", "ctx", "n", "offset", "windows", "whash"), cols, types)})
+            many = np.diff(cut, append=len(hit))
+            runs = pa.StructArray.from_arrays([pa.array(f[cut].astype(np.int32)), pa.array(many.astype(np.int32))], ["offset", "windows"])
+            own = o[cut]
+            first = np.flatnonzero(np.diff(own, prepend=-1) != 0)
+            which = own[first]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), runs)
+            out = {group_key: pa.array(np.array(group, np.int64)[which]), member_key: pa.array(np.array(member, np.int64)[which])}
+            yield pa.record_batch({**out, "n": pa.array(np.array(n, np.int64)[which]), "runs": lists.cast(run_type)})
 
         for batch in batches:
-            for a, c, n, p, part, body in zip(*(batch.column(x).to_pylist() for x in ("anchor", "ctx", "n", "parts", "part", "bytes"))):
-                if (a, part) != last:
+            for g, m, n, body in zip(*(batch.column(x).to_pylist() for x in (group_key, member_key, "n", "bytes"))):
+                if g != last:
+                    size += close()
+                    members, last = {}, g
                     if size > SORTED_BYTES:
                         yield from flush()
-                        group, size = [], 0
-                    last, done = (a, part), set()
-                if c not in done:  # a stretch may come from several slices
-                    done.add(c)
-                    group.append((a, c, n, p, body))
-                    size += len(body)
+                        held, size = [], 0
+                own = members.get(m, (0, None))
+                members[m] = (own[0] + n, body if own[1] is None else own[1])
+        close()
         yield from flush()
 
-    dealt = held.repartition(shuffle_partitions(held.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.select("anchor", "ctx", "n", "parts", "part", "bytes").mapInArrow(run, schema)
+    dealt = held.repartition(shuffle_partitions(held.sparkSession), group_key).sortWithinPartitions(group_key)
+    return dealt.select(group_key, member_key, "n", "bytes").mapInArrow(run, f"{group_key} long, {member_key} long, n long, {RUNS}")
+
+
+HALF = "anchor long, ctx long, n long, place int, lo int, hi int, off int, bytes binary, group long, member long"
+
+
+def _in_halves(held: DataFrame, length: int) -> DataFrame:
+    """anchor, ctx, n, runs of the stretches of crowded anchors.
+
+    held: anchor, ctx, n, place (of the anchor in the stretch), bytes, in rows as for ``_compared``.
+    lo, hi: the places in a window that the anchor has in a half; off: where a half starts in its stretch.
+    """
+
+    def run(batches):
+        def signed(h):
+            return h - (1 << 64) if h >> 63 else h
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                place, body, mid = r["place"], r["bytes"], (r["lo"] + r["hi"]) // 2
+                windows = len(body) - length + 1
+                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                    # window f has the anchor at place - f
+                    first, last = max(0, place - hi), min(windows - 1, place - lo)
+                    if lo > hi or first > last:
+                        continue
+                    half = body[first : last + length]
+                    # what every window with the anchor in lo..hi holds
+                    common = body[place - lo : place + length - hi]
+                    group = xxhash.xxh3_64_intdigest(common, xxhash.xxh3_64_intdigest(f"{r['anchor']} {lo} {hi}"))
+                    member = xxhash.xxh3_64_intdigest(half, place - first)
+                    out.append((r["anchor"], r["ctx"], r["n"], place - first, lo, hi, r["off"] + first, half, signed(group), signed(member)))
+            if out:
+                cols = list(zip(*out))
+                types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int64(), pa.int64()]
+                names = [x.split()[0] for x in HALF.split(", ")]
+                yield pa.record_batch({k: pa.array(v, t) for k, v, t in zip(names, cols, types)})
+
+    whole = held.groupBy("anchor", "ctx").agg(F.max("n").alias("n"), F.max("place").alias("place"), F.max("bytes").alias("bytes"))
+    open_ = whole.select("anchor", "ctx", "n", "place", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), F.lit(0).alias("off"), "bytes")
+    done = []
+    while True:
+        halves = written(open_.mapInArrow(run, HALF), "halves")
+        members = halves.groupBy("group", "member").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+        members = written(members, "members")
+        sizes = members.groupBy("group").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("rows").alias("rows")).filter("all > 1")
+        sizes = written(sizes, "sizes")
+        small = join_hot(members.select("group", "member", "n", "bytes"), sizes.filter(F.col("kinds") <= GROUP).select("group", "kinds"), ["group"], "kinds")
+        marks = written(_compared(small.drop("kinds"), length, ["group", "member"]), "half-marks")
+        marks = marks.join(members.select("group", "member", "rows"), ["group", "member"]).select("group", "member", "rows", "runs")
+        back = join_hot(halves.select("group", "member", "anchor", "ctx", "n", "off"), written(marks, "half-marks"), ["group", "member"], "rows")
+        moved = F.transform("runs", lambda r: F.struct((r["offset"] + F.col("off")).alias("offset"), r["windows"].alias("windows")))
+        done.append(written(back.select("anchor", "ctx", "n", moved.alias("runs")), "half-marks"))
+        # groups one window wide have one member, so the halving ends
+        open_ = join_hot(halves.drop("member"), sizes.filter(F.col("kinds") > GROUP).select("group", "rows"), ["group"], "rows").drop("group", "rows")
+        open_ = written(open_, "open")
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def _removed(joined: DataFrame, length: int, kind: str) -> DataFrame:
