@@ -6,9 +6,10 @@ groups and pages of set sizes, and the page index that lets a reader skip pages
 ``start`` of a document, the ids of all documents before it, is its start in the block plus the
 totals of earlier blocks; it needs the metadata columns only.
 
-Words between ASCII white space are encoded by the library once per task and remembered within a
-bound: the tokenizer drops white space, splits at it and treats each word alone, so the ids of a
-text are those of its words in turn.
+Units, white space with the word after it and marks apart, are found in the text's bytes, numbered
+by Arrow's dictionary encoding, encoded by the library once per task and remembered within a bound:
+the tokenizer drops white space and breaks wherever one unit ends, so the ids of a text are those
+of its units in turn.
 
 Null text is empty: only the end id is written. Rows with equal ids stay apart, ordered by text;
 a null id sorts first. An empty table gives an empty folder that reads as no rows.
@@ -21,49 +22,23 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from filequarry.llm.common import slices, scratch_path, shuffle_partitions, small_batches
+from filequarry.llm.common import joined_batches, scratch_path, shuffle_partitions, small_batches, units_of
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: White space to Python's str.split, not to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Distinct words a task remembers, and how many of the first (the frequent ones) it keeps when full.
+#: Distinct units a task remembers, and how many of the first (the frequent ones) it keeps when full.
 HELD, KEPT = 600_000, 400_000
+#: Text bytes encoded at a time: the more, the fewer distinct units are looked up again.
+ENCODED_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
 SCHEMA = "doc_id long, block int, start_in_block long, n_tokens int, ids array<int>"
 
-_loaded: dict = {}
-
-
-#: A mark at the end of a word, after a letter or digit, is a pre-token of its own.
-MARKS = frozenset(".,;:!?")
-
-
-def words_of(texts: list[str | None]) -> list[list[str]]:
-    """Words of each text: all that the tokenizer splits at is white space to str.split.
+#: White space and Latin-1 letters: no normalization but the case, and no break inside.
+LETTERS = re.compile(r"[\x20\x09-\x0D]*[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
 
-    Texts of Latin-1 are lower-cased here as the tokenizer does, so fewer words are distinct;
-    not where that could make up a special string.
-    """
-    out = []
-    for t in texts:
-        if not t:
-            out.append([])
-            continue
-        if "<|" not in t and (t.isascii() or latin(t)):
-            t = t.lower()
-        out.append(WORD.findall(t) if SEPARATORS.search(t) else t.split())
-    return out
-
-
-def latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+_loaded: dict = {}
 
 
 def gather(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,74 +50,80 @@ def gather(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return flat[np.arange(total) + np.repeat(first - (ends - own), own)], own
 
 
-class WordEncoder:
-    """Ids of word lists; a distinct word goes through the library once while it is remembered."""
+class UnitEncoder:
+    """Ids of units; a distinct unit goes through the library once while it is remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         added = self.tok.get_added_tokens_decoder()
         self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
-        # a special string between words keeps them apart in one call; one call for each word costs far more
+        # a special string between units keeps them apart in one call; one call for each unit costs far more
         self.between = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
-        self.index, self.length, self.flat = {}, np.empty(0, np.int64), np.empty(0, np.int32)
+        # the bytes of a letter as the model knows them
+        form = self.tok.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: "".join(x for x, _ in form(chr(c))) for c in range(0xAA, 0x100) if chr(c).isalpha() and chr(c).islower()}
+        # the first entry stands for the end of a text
+        self.index, self.length, self.flat = {None: 0}, np.ones(1, np.int64), np.array([end_id], np.int32)
 
     def forget(self):
         self.index = dict(list(self.index.items())[:KEPT])
         self.length = self.length[:KEPT]
         self.flat = self.flat[: int(self.length.sum())]
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of ``words`` in turn and the number of ids of each."""
-        alone = not self.between or self.special.search(" ".join(words))
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``units`` in turn and the number of ids of each."""
+        alone = not self.between or self.special.search(" ".join(units))
         if alone:
-            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
             return np.fromiter((i for ids in got for i in ids), np.int32), np.fromiter(map(len, got), np.int64, len(got))
         mark, string = self.between
-        ids = np.array(self.tok.encode_batch_fast([string.join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ids = np.array(self.tok.encode_batch_fast([string.join(units)], add_special_tokens=False)[0].ids, np.int32)
         at = np.flatnonzero(ids == mark)
         return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
 
-    def add(self, words: list[str], ids: np.ndarray, length: np.ndarray):
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def learn(self, words: list[str]):
-        joint = [w for w in words if len(w) > 1 and w[-1] in MARKS and w[-2].isalnum()]
-        parts = [p for w in joint for p in (w[:-1], w[-1])]
-        plain = list(dict.fromkeys(w for w in (*set(words).difference(joint), *parts) if w not in self.index))
-        if plain:
-            got = [self.encode(plain[k : k + 2000]) for k in range(0, len(plain), 2000)]
-            self.add(plain, *(np.concatenate(x) for x in zip(*got)))
-        if joint:
-            ids, length = gather(self.flat, self.length, np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)))
-            self.add(joint, ids, length.reshape(-1, 2).sum(axis=1))
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and the number of ids of each word."""
+    def words(self, units: list[str]) -> tuple[list[int], list[int]]:
+        """As ``encode`` for units of Latin-1 letters: one pre-token each, so the model alone is asked."""
+        ids, length = [], []
+        for u in units:
+            u = u.strip().lower()
+            got = self.tok.model.tokenize(u if u.isascii() else u.translate(self.letters))
+            ids += [t.id for t in got]
+            length.append(len(got))
+        return ids, length
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Where each of the distinct ``units`` is held."""
         if len(self.index) > HELD:
             self.forget()
-        at = list(map(self.index.get, words))
-        if None in at:
-            gaps = [k for k, i in enumerate(at) if i is None]
-            self.learn(list(dict.fromkeys(words[k] for k in gaps)))
-            for k in gaps:
-                at[k] = self.index[words[k]]
-        return gather(self.flat, self.length, np.array(at, np.int64))
-
-
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts with the end id after each, and the number of ids of each text."""
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    words = words_of(texts)
-    ids, length = _loaded[path]([w for ws in words for w in ws])
-    ends = np.concatenate([[0], np.cumsum(length)])
-    last = np.cumsum([len(ws) for ws in words], dtype=np.int64)
-    upto = ends[last]
-    return np.insert(ids, upto, end_id), np.diff(upto, prepend=0) + 1
+        plain, new = [], []
+        for u in units:
+            if u not in self.index:
+                (plain if LETTERS.fullmatch(u) else new).append(u)
+        if plain or new:
+            got = [self.words(plain), *(self.encode(new[k : k + 2000]) for k in range(0, len(new), 2000))]
+            ids, length = (np.concatenate([np.array(x, np.int64) for x in xs]) for xs in zip(*got))
+            self.index.update(zip((*plain, *new), range(len(self.index), len(self.index) + len(length))))
+            self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts with the end id after each, and the number of ids of each text.
+
+    A-Z are lower-cased before, as the tokenizer does, so fewer units are distinct; not in texts
+    where that could make up a special string.
+    """
+    if (path, end_id) not in _loaded:
+        _loaded[path, end_id] = UnitEncoder(path, end_id)
+    encoder = _loaded[path, end_id]
+    units, unit, bounds = units_of(texts, pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False))
+    at = np.insert(encoder.places(units)[unit], bounds[1:], 0)
+    ids, length = gather(encoder.flat, encoder.length, at)
+    ends = np.cumsum(length)[bounds[1:] + np.arange(len(texts))]
+    return ids, np.diff(ends, prepend=0)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> None:
@@ -152,8 +133,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_column: s
 
     def encode(batches):
         block, at = TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text", 1 << 20):
-            ids, n = encode_texts(part.column("text").to_pylist(), path, end_id)
+        for part in joined_batches(batches, "text", ENCODED_BYTES):
+            ids, n = encode_texts(part.column("text"), path, end_id)
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "block": pa.array(np.full(len(n), block), pa.int32()), "start_in_block": pa.array(at + ends[:-1], pa.int64()), "n_tokens": pa.array(n, pa.int32()), "ids": lists})
