@@ -5,7 +5,8 @@ positions, and coordinate k is the least rank under the second permutation shift
 k. All coordinates of a shingle are one contiguous row of ranks, so a signature is a gather of
 rows and a minimum down the columns.
 
-Documents with equal shingle sets form a class; only its smallest id goes on. Classes that agree
+Documents with equal shingle sets form a class; only one of its rows goes on, by a number of its own:
+its smallest id, or a number past all ids where another class has that one. Classes that agree
 on a band share a bucket. Round one links each member of a bucket to the bucket's leader, the
 member that shares most buckets with others (the origin, where copies have one), and confirms
 the links on full shingle sets. Jaccard distance is a metric, so whatever links to a document
@@ -15,14 +16,15 @@ one another on full sets inside a task, by counting shared shingles; only links
 Round three looks, within buckets that still hold more than one component, at the pairs of
 different components without a family in common whose signatures agree enough, and confirms
 those. Pairs inside one component cannot change the result. Families and buckets of more than
-``BLOCK`` members are compared in blocks, so no task holds one whole and no pair is skipped.
+``BLOCK`` members are compared in blocks, so no task holds one whole and no pair is skipped: members
+of the most frequent component go to one block each, only the others to all blocks.
 
 With 25 bands of 5 a pair at the threshold of 0.85 meets with probability 1 - 4e-7, and the
 signature test of round three passes it with probability 1 - 3e-7; both rise with similarity.
 
 Null, empty and blank texts: 0 shingles, a component of their own. Fewer words than a shingle
-count as one shingle. Rows that share an id are one document. A null id is linked with nothing:
-component null, kept. An empty table gives no rows.
+count as one shingle. Rows that share an id are one document: whatever one of them links to is linked
+with all. A null id is linked with nothing: component null, kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from filequarry.llm.common import mix64, shingle_sets, slices, small_batches, written
+from filequarry.llm.common import join_hot, mix64, shingle_sets, slices, small_batches, written
 from filequarry.llm.components import components, merged
 
 BANDS, ROWS = 25, 5
@@ -42,6 +44,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 2_000_000
 #: Up to so many ids are broadcast to pick texts before a join; more go through a shuffled join.
 BROADCAST_IDS = 500_000
+#: Pairs of one leader that meet in a task.
+SALTED = 4096
 #: Standard deviations that the signature test of round three allows below the threshold.
 SLACK = 5.0
 
@@ -66,7 +70,7 @@ def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, d1, d2 (a digest of the set), bands, sig."""
+    """id, check, n, d1, d2 (a digest of the set), bands, sig."""
 
     def run(batches):
         weight = mix64(np.arange(1, ROWS + 1, dtype=np.uint64))
@@ -78,29 +82,40 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
             full = [len(s) > 0 for s in sets]
             yield pa.record_batch({
-                "id": part.column("id"),
+                "id": part.column("id"), "check": part.column("check"),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]),
                 "bands": pa.array([k if f else [] for k, f in zip(keys.tolist(), full)], pa.list_(pa.int64())),
                 "sig": pa.array([s.tobytes() for s in sigs.astype(np.uint16)], pa.binary()),
             })
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "id long, check long, n long, d1 long, d2 long, bands array<bigint>, sig binary")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents in ``ids``, one row each."""
-    ids = written(ids.distinct(), "ids")
-    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    return picked
+class Texts:
+    """The texts of classes: docs (id, check, text), nodes (node, id, check); repeats: some rows are equal."""
 
+    def __init__(self, docs: DataFrame, nodes: DataFrame, repeats: bool):
+        self.docs, self.nodes, self.repeats = docs, nodes, repeats
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, linked: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets satisfy 100 * intersection >= percent * union, and
-    whether they do so for ``linked`` percent, too."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    texts = _texts_of(docs, ids)
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("other")), "a").sortWithinPartitions("a")
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id, text: the text of each class in ``ids``, one row each."""
+        ids = written(self.nodes.join(ids.distinct().select(F.col("id").alias("node")), "node").select("node", "id", "check"), "ids")
+        picked = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["id", "check"]).select(F.col("node").alias("id"), "text")
+        return picked.dropDuplicates(["id"]) if self.repeats else picked
+
+
+def _confirmed(texts: Texts, pairs: DataFrame, words: int, percent: int, linked: int) -> DataFrame:
+    """Those of ``pairs`` (a, b; a written table) whose full sets satisfy 100 * intersection >= percent * union,
+    and whether they do so for ``linked`` percent, too."""
+    both = texts.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+    # a leader of many pairs has its text in several places
+    many = written(pairs.groupBy("a").agg(F.count("*").alias("pairs")), "pairs-of")
+    salts = F.ceil(F.col("pairs") / SALTED).cast("int")
+    salted = join_hot(pairs, many, ["a"], "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("pairs")
+    other = both.select(F.col("id").alias("a"), F.col("text").alias("other")).join(many, "a")
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("pairs")
+    joined = salted.join(both.select(F.col("id").alias("b"), F.col("text").alias("text")), "b").join(other, ["a", "salt"]).sortWithinPartitions("a")
 
     def run(batches):
         last, own = None, None
@@ -121,16 +136,40 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, link
     return written(joined.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, linked boolean"), "links")
 
 
-def _family_links(docs: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
+def _cells(members: DataFrame, key: str, limit: F.Column, carried: list[str]) -> DataFrame:
+    """key, p, q, block and ``carried``: the members of each group dealt to cells in which they are compared.
+
+    members: key, id, component and what ``limit`` (the number of blocks for its rows) aggregates. Members
+    of the group's most frequent component (main) go to one block each, p = q = -1 - block; the others to
+    each of these, as another ``block``, and to the cells of pairs p <= q of their own blocks. Within a
+    cell of p = q >= 0 all are compared, in the others those of different ``block``.
+    """
+    share = written(members.groupBy(key, "component").agg(F.count("*").alias("c"), limit.alias("b")), "shares")
+    main = F.max_by(F.struct("component", "b"), F.struct("c", "component"))
+    sizes = share.groupBy(key).agg(main.alias("m"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+    sizes = sizes.select(key, F.col("m.component").alias("main"), F.ceil("m.b").cast("int").alias("mains"), F.ceil(F.col("b") - F.col("m.b")).cast("int").alias("others"), "c")
+    rows = join_hot(members, written(sizes, "sizes"), [key], "c")
+    is_main = F.col("component") == F.col("main")
+    draw = F.xxhash64("id")
+    own = F.pmod(draw, F.when(is_main, F.greatest("mains", F.lit(1))).otherwise(F.greatest("others", F.lit(1)))).cast("int")
+
+    def cell(p, q, block):
+        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), block.cast("int").alias("block"))
+
+    to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: cell(-1 - k, -2 - k, F.lit(1)))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: cell(F.least(k, "own"), F.greatest(k, "own"), F.col("own")))
+    cells = F.when(is_main, F.array(cell(-1 - F.col("own"), -2 - F.col("own"), F.lit(0)))).otherwise(F.concat(to_mains, to_others))
+    return rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select(key, "cell.p", "cell.q", "cell.block", *carried)
+
+
+def _family_links(texts: Texts, families: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links on full sets between members of a family in different components.
 
     families: leader, id, n, component, only of leaders with more than one component.
     """
-    weight = families.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = families.join(weight, "leader").withColumn("block", own).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.col("leader").alias("bucket"), F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "id", "component")
-    rows = rows.join(_texts_of(docs, families.select("id")), "id")
+    limit = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    rows = _cells(families, "leader", limit, ["id", "component"]).withColumnRenamed("leader", "bucket")
+    rows = rows.join(texts.of(families.select("id")), "id")
 
     def links_of(ids, component, block, sets, across):
         size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -243,16 +282,21 @@ def _near(members: DataFrame, least: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id_column, n_shingles, component_id, kept: one row for each row of ``docs``."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("check"), F.col(text).alias("text"))
     signed = written(_signed(docs, words), "signatures")
     sets = signed.select("id", "n", "d1", "d2")
+    full = signed.filter("n > 0 AND id IS NOT NULL").select("id", "check", "n", "d1", "d2")
 
     digest = ["n", "d1", "d2"]
-    firsts = sets.filter("n > 0 AND id IS NOT NULL").groupBy(*digest).agg(F.min("id").alias("class"))
-    classes = written(sets.filter("n > 0").join(firsts, digest).select("id", "class"), "classes")
+    nodes = _numbered(full.groupBy(*digest).agg(F.min(F.struct("id", "check")).alias("one"), F.count("*").alias("copies")), full)
+    classes = join_hot(full.select("id", *digest), nodes.select(*digest, F.col("node").alias("class"), "copies"), digest, "copies").select("id", "class")
+    by_id = written(classes.groupBy("id").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.count("*").alias("rows")), "ids")
+    texts = Texts(docs, nodes, not by_id.filter("rows > 1").isEmpty())
 
     # classes that share a bucket with another
-    reps = signed.join(firsts.select(*digest, F.col("class").alias("id")), [*digest, "id"], "left_semi").dropDuplicates(["id"])
+    reps = signed.join(nodes.select("id", "check", *digest, "node"), ["id", "check", *digest]).drop("id", "check").withColumnRenamed("node", "id")
+    if texts.repeats:
+        reps = reps.dropDuplicates(["id"])
     member = reps.select("id", "n", F.explode("bands").alias("bucket"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     member = written(member.join(crowd, "bucket"), "members")
@@ -261,9 +305,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     led = member.join(leader, "bucket").filter("id <> leader.id AND 100 * least(n, leader.n) >= :p * greatest(n, leader.n)".replace(":p", str(percent)))
     tried = written(led.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     # rows that share an id link their classes
-    own_class = classes.groupBy("id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
-    same = classes.join(own_class.filter("class < last").select("id", F.col("class").alias("b")), "id").select(F.col("class").alias("a"), "b")
-    near = _confirmed(docs, tried, words, max(1, 2 * percent - 100), percent)
+    forks = by_id.filter("class < last").select("id", F.col("class").alias("b"))
+    same = classes.join(forks, "id").select(F.col("class").alias("a"), "b").distinct()
+    near = _confirmed(texts, tried, words, max(1, 2 * percent - 100), percent)
     links = near.filter("linked").select("a", "b").unionByName(same)
 
     # what the leaders left apart: inside families
@@ -273,25 +317,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     known = member.select("id", "n", "component").distinct()
     family = written(family.unionByName(near.select(F.col("a").alias("leader"), F.col("a").alias("id"))).distinct().join(known, "id"), "families")
     parted = family.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leader")
-    part = written(merged(part, _family_links(docs, family.join(parted, "leader", "left_semi"), words, percent)), "components")
+    parted = written(family.join(parted, "leader", "left_semi"), "parted")
+    part = written(merged(part, _family_links(texts, parted, words, percent)), "components")
 
     # and between families, inside buckets
     within = family.groupBy("id").agg(F.collect_set("leader").alias("families"))
     member = member.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_ = member.join(mixed, "bucket", "left_semi").join(reps.select("id", "sig"), "id").join(within, "id", "left").withColumn("blocks", blocks).withColumn("block", own)
-    open_ = open_.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("bucket", F.least("block", "against").alias("p"), F.greatest("block", "against").alias("q"), "block", "id", "n", "component", "families", "sig")
+    open_ = written(member.join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "component"), "open")
+    open_ = _cells(open_, "bucket", F.count("*") / BLOCK, ["id", "n", "component"])
+    open_ = open_.join(reps.select("id", "sig"), "id").join(within, "id", "left")
+    open_ = open_.select("bucket", "p", "q", "block", "id", "n", "component", "families", "sig")
     share, k = percent / 100, BANDS * ROWS
     least = int(k * share - SLACK * (k * share * (1 - share)) ** 0.5)
     tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     further = written(_near(open_, least, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    part = merged(part, _confirmed(docs, further, words, percent, percent).filter("linked").select("a", "b"))
+    part = merged(part, _confirmed(texts, further, words, percent, percent).filter("linked").select("a", "b"))
 
-    # copies are in the component of their class
-    found = own_class.select("id", "class").join(part.select(F.col("id").alias("class"), "component"), "class", "left")
-    out = sets.join(found.select("id", F.coalesce("component", "class").alias("component")), "id", "left")
+    # copies are in the component of their class; numbers past all ids are never the least of one
+    label = nodes.select(*digest, "copies", "node").join(part.withColumnRenamed("id", "node"), "node", "left")
+    label = written(label.select(*digest, "copies", F.coalesce("component", "node").alias("component")), "labels")
+    found = join_hot(full.select("id", *digest), label, digest, "copies").groupBy("id").agg(F.min("component").alias("component"))
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return sets.join(found, "id", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _numbered(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """n, d1, d2, id, check (of one of its rows), copies and node of each class.
+
+    node is the id, or, for all but one of the classes with that id, a number past all ids. Those are
+    linked with the id's other class, so they are never the least of a component.
+    """
+    classes = written(classes.select("n", "d1", "d2", "one.id", "one.check", "copies"), "classes")
+    forked = classes.groupBy("id").agg(F.count("*").alias("kinds"), F.min(F.struct("n", "d1", "d2")).alias("head")).filter("kinds > 1")
+    forked = written(forked.select("id", "kinds", "head"), "forked")
+    if forked.isEmpty():
+        return classes.withColumn("node", F.col("id"))
+    top = rows.agg(F.max("id")).first()[0]
+    some = join_hot(classes, forked, ["id"], "kinds")
+    node = F.when(F.col("head") == F.struct("n", "d1", "d2"), F.col("id")).otherwise(F.lit(top) + 1 + F.monotonically_increasing_id())
+    some = some.withColumn("node", node).drop("kinds", "head")
+    return written(classes.join(forked, "id", "left_anti").withColumn("node", F.col("id")).unionByName(some), "classes")
