@@ -7,10 +7,12 @@ each phrase by the hash of its symbols. The phrase names are the next level's sy
 phrase is cut depends on a few neighbours only, so equal substrings get equal names inside,
 wherever they stand.
 
-The fingerprint keeps, for each of ``SLOTS`` parts of the hash range, 16 bits of the least name
-from level two up, and of what any run repeats (short texts give their lower levels, too). The share
-j of equal slots among those that either text fills estimates the Jaccard index of the names;
-likeness is 2 j / (1 + j), so a text and one that keeps half of it come near one half.
+The fingerprint keeps, for each of ``SLOTS`` parts of the hash range, 16 bits of the least name of
+all levels, of symbols and of what any run repeats, too. Names of symbols and of the first level are
+common to most texts, so their ranks are raised by ``RAISED`` powers of two: they fill slots where
+a text has few higher names and hardly count where it has many, by one rule for every length. The
+share j of equal slots among those that either text fills estimates the (weighted) Jaccard index of
+the names; likeness is 2 j / (1 + j), so a text and one that keeps half of it come near one half.
 
 Null counts as empty; the empty text fills no slot, and two empty texts are alike (1).
 """
@@ -26,22 +28,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from filequarry.llm.common import mix64, shuffle_partitions, slices, small_batches, written
 
-SLOTS, LEVELS, ROUNDS = 64, 12, 4
-#: Texts of fewer code points also give their symbols and first-level names.
-SHORT = 48
+SLOTS, ROUNDS = 64, 4
+#: By how many bits the ranks of names are raised: of symbols, of the first level, of all above.
+RAISED = (6, 3, 0)
 _ONE = np.uint64(1)
 
 
-def phrase_names(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level (owner, name): the index of the text and the 64-bit name of each phrase."""
+def phrase_names(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, owner, name), symbols first: the index of the text and the 64-bit name of each phrase.
+
+    A level has at most half the phrases of the one below, and one in the end, where a text stops.
+    """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     symbols, owner = mix64(points.astype(np.uint64) + _ONE), np.repeat(np.arange(len(texts)), lengths)
-    short = lengths[owner] < SHORT
-    out = [(owner[short], mix64(symbols[short]))]
-    for level in range(1, LEVELS + 1):
-        if not len(symbols):
-            break
+    out = [(0, owner, mix64(symbols))]
+    level = 0
+    while len(symbols):
+        level += 1
         first = np.diff(owner, prepend=-1) != 0
         new = first.copy()
         new[1:] |= symbols[1:] != symbols[:-1]
@@ -50,7 +54,7 @@ def phrase_names(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         symbols, owner, first = symbols[at], owner[at], first[at]
         again = run > 1
         if again.any():
-            out.append((owner[again], symbols[again]))  # what repeats, however often
+            out.append((level, owner[again], symbols[again]))  # what repeats, however often
         symbols[again] = mix64(symbols[again] ^ mix64(run[again].astype(np.uint64)))
 
         label = symbols
@@ -73,10 +77,8 @@ def phrase_names(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         symbols = mix64(np.add.reduceat(spread, cut) ^ np.uint64(level))
         owner = owner[cut]
 
-        count = np.bincount(owner, minlength=len(texts))
-        done = count[owner] == 1
-        kept = np.ones(len(owner), bool) if level > 1 else done | (lengths[owner] < SHORT)
-        out.append((owner[kept], symbols[kept]))
+        out.append((level, owner, symbols))
+        done = np.bincount(owner, minlength=len(texts))[owner] == 1
         symbols, owner = symbols[~done], owner[~done]
     return out
 
@@ -85,12 +87,15 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     """One row of SLOTS 16-bit values for each text, 0 where a slot has no name."""
     out = np.zeros((len(texts), SLOTS), np.uint16)
     for start in range(0, len(texts), 1 << 15):
-        named = phrase_names(texts[start : start + (1 << 15)])
-        if named:
-            owner, name = (np.concatenate(x) for x in zip(*named))
-            name = mix64(name) >> np.uint64(16)
-            key = np.sort(owner.astype(np.uint64) << np.uint64(48) | name)
-            slot = key >> np.uint64(42)  # owner and the top six bits of the name
+        keys = []
+        for level, owner, name in phrase_names(texts[start : start + (1 << 15)]):
+            name = mix64(name)
+            # six bits of slot, 36 of rank, raised
+            rank = ((name >> np.uint64(22)) & np.uint64((1 << 36) - 1)) << np.uint64(RAISED[min(level, len(RAISED) - 1)])
+            keys.append(owner.astype(np.uint64) << np.uint64(48) | (name >> np.uint64(58)) << np.uint64(42) | rank)
+        key = np.sort(np.concatenate(keys))
+        if len(key):
+            slot = key >> np.uint64(42)  # owner and slot
             at = np.flatnonzero(np.diff(slot, prepend=~slot[:1]) != 0)
             least = (mix64(key[at] & np.uint64((1 << 48) - 1)) & np.uint64(0xFFFF)).astype(np.uint16)
             out.reshape(-1)[start * SLOTS + slot[at].astype(np.int64)] = np.maximum(least, 1)
