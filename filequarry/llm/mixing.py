@@ -1,20 +1,19 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Each source's target is its weight's share of all words, at most ``most`` times its own size;
-what is above is shared again by weight. Blocks of equal size are apportioned to the sources by
-the highest quotients target / (2 n + 1), then each source's blocks to its shards the same way,
-so every shard has an integer quota it can fill alone. A shard is a seeded part of a source's
-documents; its stream is its documents in seeded order, from a seeded start, round and round,
-and its blocks are cut from that stream. The first quota blocks from the start are taken, so a
-document is taken whole (some times over) save at the ends, and never more than ``most`` times.
+what is above is shared again by weight. Blocks of ``block`` words (a fixed number, whatever the
+table's size) are apportioned to the sources by the highest quotients target / (2 n + 1), then each
+source's blocks to its shards the same way, so every shard has an integer quota it can fill alone.
+A shard is a seeded part of a source's documents; they follow one another in seeded order, and the
+shard is cut into blocks from there. A quota above a shard's size takes the whole shard, as often as
+it fits, and the blocks of the rest are those that a seeded permutation of the block numbers puts
+first. So a document is taken in parts of its blocks, and never more than ``most`` times.
 
-Blocks are at most 1024 words and small against the corpus and the smallest source, so a
-source's words come within a block of its target for each shard at its limit.
+A source's words come within a block or two, for each of its shards, of its target.
 
 Null text or no words: size 0, taken 0. Null source is a source of its own, the last. Rows with
 equal ids stay apart (ordered by size; equal ones are interchangeable). An empty table gives no rows.
-The sources are collected to apportion among them: their number is that of a mix's weights,
-``MAX_SOURCES`` at most, else an error.
+One row for each source comes to the driver, to apportion among them: as many as a mix has weights.
 """
 
 from __future__ import annotations
@@ -26,9 +25,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from filequarry.llm.common import written
 
-MAX_SOURCES = 1_000_000
-SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
-BLOCK_WORDS, MAX_BLOCKS_LOG2 = 1024, 20
+#: Words of a shard, about, and of a block.
+SHARD_WORDS, BLOCK_WORDS = 2_000_000, 16
+#: Up to so many sources or shards are broadcast; more go through a shuffled join.
+BROADCAST_ROWS = 100_000
+#: Multipliers of the permutations of block numbers: primes above any shard's number of blocks.
+PRIMES = (2147483647, 1000000007, 998244353, 1000000009)
 
 
 def word_count(text) -> F.Column:
@@ -84,60 +86,59 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return got
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, block: int = BLOCK_WORDS, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """id_column, source, size, source_size, target, taken, copies: one row for each row of ``docs``.
 
     ``weights`` repeat over the sources in code point order, null last. ``taken`` counts words,
-    ``copies`` whole documents: the times round, and one more if at least half of it is in the rest.
+    ``copies`` whole documents: the times round, and one more if the block of its middle word is in the rest.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sized = written(sized, "sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.source_size for r in rows]
-    total = sum(sizes)
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most)
-    least = min((s for s in sizes if s), default=1)
-    block = max(1, min(BLOCK_WORDS, total >> MAX_BLOCKS_LOG2, least // 16))
-    caps = [-(-most * s // block) for s in sizes]
-    quota = sainte_lague(goal, (total + block // 2) // block, caps)
-    plan = [(r.source, s, g, q, min(MAX_SHARDS, s // SHARD_WORDS + 1)) for r, s, g, q in zip(rows, sizes, goal, quota)]
-    per_source = spark.createDataFrame(plan, "source string, source_size long, target double, quota long, shards long")
+    quota = sainte_lague(goal, (sum(sizes) + block // 2) // block, [-(-most * s // block) for s in sizes])
+    plan = [(i, r.source, r.source_size, g, q, r.source_size // SHARD_WORDS + 1) for i, (r, g, q) in enumerate(zip(rows, goal, quota))]
+    per_source = spark.createDataFrame(plan, "number long, source string, source_size long, target double, quota long, shards long")
+    per_source = F.broadcast(per_source) if len(plan) <= BROADCAST_ROWS else per_source
 
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.col("shards"))
-    dealt = sized.withColumnRenamed("source", "own").join(F.broadcast(per_source), F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("shard", shard)
+    dealt = sized.withColumnRenamed("source", "own").join(per_source, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("shard", shard)
 
     def divide(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard", ignore_index=True)
         words = [int(x) for x in cells["words"]]
         cells["blocks"] = sainte_lague(words, int(cells["quota"].iloc[0]), [-(-most * w // block) for w in words])
-        return cells[["source", "shard", "words", "blocks"]]
-
-    cells = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
-    cells = cells.groupBy("source").applyInPandas(divide, "source string, shard long, words long, blocks long")
-
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "id"), "id", "size")
-    placed = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    cell = cells.select(F.col("source").alias("s"), F.col("shard").alias("k"), "words", F.least(F.col("blocks") * block, most * F.col("words")).alias("take"))
-    placed = placed.join(F.broadcast(cell), F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
-    # MAX_SHARDS cells a source at most
+        return cells[["number", "shard", "words", "blocks"]]
 
+    cells = dealt.groupBy("number", "shard", "quota").agg(F.sum("size").alias("words"))
+    cells = written(cells.groupBy("number").applyInPandas(divide, "number long, shard long, words long, blocks long"), "quotas")
+    take = F.least(F.col("blocks") * block, most * F.col("words"))
     words = F.greatest("words", F.lit(1))
-    rest = F.col("take") % words
-    turns = F.floor(F.col("take") / words)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), words)
-    begin = F.col("end") - F.col("size")
-
-    def overlap(lo, hi):
-        return F.greatest(F.least(F.col("end"), hi) - F.greatest(begin, lo), F.lit(0))
-
-    part = overlap(start, F.least(start + rest, words)) + overlap(F.lit(0), start + rest - words)
-    out = placed.withColumn("part", part).withColumn("turns", turns)
+    cell = cells.select("number", "shard", F.floor(take / words).alias("turns"), F.round(take % words / block).cast("long").alias("rest"), F.ceil(words / block).alias("all"))
+    cell = F.broadcast(cell) if cell.count() <= BROADCAST_ROWS else cell
+
+    order = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "id"), "id", "size")
+    placed = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(cell, ["number", "shard"])
+    multiplier = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(seed), F.lit("prime"), "number", "shard"), F.lit(len(PRIMES))) + 1).cast("int"))
+    shift = F.pmod(F.xxhash64(F.lit(seed), F.lit("shift"), "number", "shard"), F.lit(1 << 31))
+    placed = placed.withColumns({"begin": F.col("end") - F.col("size"), "multiplier": multiplier, "shift": shift})
+
+    def chosen(number):
+        """Whether the permutation puts a block among the first ``rest``."""
+        return F.pmod(number * F.col("multiplier") + F.col("shift"), F.col("all")) < F.col("rest")
+
+    def chosen_words(total, number):
+        inside = F.least("end", (number + 1) * block) - F.greatest("begin", number * block)
+        return total + F.when(chosen(number), inside).otherwise(F.lit(0))
+
+    numbers = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))
+    part = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(numbers, F.lit(0).cast("long"), chosen_words)).otherwise(F.lit(0))
+    out = placed.withColumn("part", part)
     return out.select(
         F.col("id").alias(id_column), "source", "size", "source_size", "target",
         (F.col("turns") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        (F.col("turns") + ((F.col("part") * 2 >= F.col("size")) & (F.col("part") > 0)).cast("long")).cast("int").alias("copies"),
+        (F.col("turns") + ((F.col("size") > 0) & chosen(F.floor((F.col("begin") + F.col("end")) / (2 * block)))).cast("long")).cast("int").alias("copies"),
     )
