@@ -7,8 +7,8 @@ Transitions between the languages of neighbouring words are learned, too, so the
 pass labels code-switched text word by word. A text's language is the one with the largest mean
 posterior; that mean is the score.
 
-Training takes a bounded sample: ``PER_LANGUAGE`` texts of each language, by seeded hash of the
-id, up to ``SAMPLE_WORDS`` words of each, joined in stretches of different languages so that
+Training takes a bounded sample: at most ``PER_LANGUAGE`` texts of each language, by hash of the id
+and text, up to ``SAMPLE_WORDS`` words of each (no language is left out, however many there are), joined in stretches of different languages so that
 transitions are seen; maximum likelihood by AdaGrad. Learning never sees a held-out document.
 
 Null texts and those without a letter are ``und`` with score 0. Rows keep their number. Labels that
@@ -23,21 +23,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from filequarry.llm.common import mix64, slices, small_batches
+from filequarry.llm.common import mix64, slices, small_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 PER_LANGUAGE, SAMPLE_WORDS, LEXICON = 150, 150, 2000
-MAX_LANGUAGES = 256
 EPOCHS, BATCH, STEP = 6, 64, 0.2
 #: Distinct words whose scores a task remembers.
 HELD = 300_000
 CHUNK = 128
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower case; numerals that stand alone are no words."""
+    found = WORD.findall(text.lower()) if text else []
+    return found if not text or text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words in turn, and where each word's begin."""
     raw = [b"^" + w.encode() + b"$" for w in words]
@@ -99,7 +104,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     """rows: (text, language), a bounded sample."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
-    words = [(WORD.findall(t.lower())[:SAMPLE_WORDS], languages.index(lang)) for t, lang in rows]
+    words = [(words_of(t)[:SAMPLE_WORDS], languages.index(lang)) for t, lang in rows]
     counts: dict[int, Counter] = defaultdict(Counter)
     for ws, k in words:
         counts[k].update(ws)
@@ -241,7 +246,7 @@ class Labeller:
     def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [("und", 0.0)] * len(texts)
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) for t in texts]
         post, bounds = self.posteriors(words)
         total = np.add.reduceat(np.concatenate([post, np.zeros((1, post.shape[1]))]), np.minimum(bounds[:-1], len(post)), axis=0)
         out = []
@@ -263,14 +268,15 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     """A model from a bounded sample of the documents that are not held out."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     fit = rows.filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    names = [r.lang for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not names:
+    # Spark keeps the first of each language within each partition before it shuffles them
+    key = ["lang", "id", "check"]
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", "check"), "id", "check")
+    fit = fit.withColumn("check", F.xxhash64("text"))
+    picks = fit.select(*key).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language).select(*key).distinct()
+    picks = written(picks, "sample")
+    if picks.isEmpty():
         return Model([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
-    picks = [fit.filter(F.col("lang") == n).select("id").orderBy(F.xxhash64("id"), "id").limit(per_language) for n in names]
-    ids = picks[0]
-    for p in picks[1:]:
-        ids = ids.unionByName(p)
-    chosen = fit.join(F.broadcast(ids.distinct()), "id", "left_semi")  # MAX_LANGUAGES * per_language ids at most
+    chosen = fit.join(F.broadcast(picks), key, "left_semi").dropDuplicates(key)  # per_language for each language at most
     # the sample's words, not whole texts, come to the driver
     head = F.slice(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), 1, 2 * SAMPLE_WORDS)
     return train([(r.words, r.lang) for r in chosen.select("id", F.array_join(head, " ").alias("words"), "lang").orderBy("id", "words").collect()])
