@@ -13,11 +13,13 @@ documents, none is left out.
 
 Items with fewer tokens than a seed are matched whole. Null, empty or blank texts and items match
 nothing. Rows of ``docs`` that repeat each get a row; among equal coverages the smallest item id
-is named. An empty benchmark or table gives coverage 0 or no rows.
+is named, an item without id last. An empty benchmark or table gives coverage 0 or no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,42 +41,88 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(item start, text start, length) of greedy tiles of at least ``least`` equal tokens."""
-    used_i, used_t = [False] * len(item), [False] * len(text)
+def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(item start, text start, length) of greedy tiles of at least ``least`` equal tokens, the longest
+    first, then the first in item and text."""
+    used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool)
     out, length = [], max(least, min(20, len(item)))
     while True:
-        table: dict[int, list[int]] = {}
-        for k in _free(used_t, length):
-            table.setdefault(hash(tuple(text[k : k + length])), []).append(k)
-        found, longest = [], 0
-        for i in _free(used_i, length):
-            for k in table.get(hash(tuple(item[i : i + length])), ()):
-                n = 0
-                while i + n < len(item) and k + n < len(text) and item[i + n] == text[k + n] and not used_i[i + n] and not used_t[k + n]:
-                    n += 1
-                if n >= length:
-                    found.append((n, i, k))
-                    longest = max(longest, n)
+        found = _matches(item, text, used_i, used_t, length)
+        longest = -found[0][0] if found else 0
         if longest > 2 * length:
             length = longest  # a very long match: search again at its length
             continue
-        for n, i, k in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not any(used_i[i : i + n]) and not any(used_t[k : k + n]):
-                used_i[i : i + n] = used_t[k : k + n] = [True] * n
+        while found:
+            n, i, k = heapq.heappop(found)
+            n = -n
+            taken = used_i[i : i + n] | used_t[k : k + n]
+            if not taken.any():
+                used_i[i : i + n] = used_t[k : k + n] = True
                 out.append((i, k, n))
+                if not len(_free(used_i, length)):
+                    break
+                continue
+            # what earlier tiles leave of the match
+            edge = np.flatnonzero(np.diff(taken, prepend=True, append=True))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a >= length:
+                    heapq.heappush(found, (a - b, i + a, k + a))
         if length == least:
             return out
         length = length // 2 if length > 2 * least else length - 1
 
 
-def _free(used: list[bool], length: int):
+def _matches(item: np.ndarray, text: np.ndarray, used_i: np.ndarray, used_t: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """A heap of (-length, item start, text start) of the matches of free tokens that can't be extended,
+    found by Karp-Rabin fingerprints of all free windows."""
+    i_at, t_at = _free(used_i, length), _free(used_t, length)
+    if not len(i_at) or not len(t_at):
+        return []
+    t_hash = _rolled(text, length)[t_at]
+    order = np.argsort(t_hash, kind="stable")
+    t_hash, t_at = t_hash[order], t_at[order]
+    i_hash = _rolled(item, length)[i_at]
+    lo, hi = np.searchsorted(t_hash, i_hash), np.searchsorted(t_hash, i_hash, "right")
+    found = []
+    for i, a, b in zip(i_at.tolist(), lo.tolist(), hi.tolist()):
+        k = t_at[a:b]
+        if not len(k):
+            continue
+        if i and not used_i[i - 1]:
+            # only where a match begins: not where the tokens before are free and equal, too
+            before = k - 1
+            k = k[(before < 0) | used_t[before] | (text[before] != item[i - 1])]
+        n, live = np.zeros(len(k), np.int64), np.arange(len(k))
+        for step in range(len(item) - i):
+            at = k[live] + step
+            inside = at < len(text)
+            at = np.minimum(at, len(text) - 1)
+            live = live[inside & (text[at] == item[i + step]) & ~used_t[at]] if not used_i[i + step] else live[:0]
+            if not len(live):
+                break
+            n[live] += 1
+        found.extend((-x, i, y) for x, y in zip(n.tolist(), k.tolist()) if x >= length)
+    heapq.heapify(found)
+    return found
+
+
+_KR = 0x9E3779B97F4A7C13 | 3
+
+
+def _rolled(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin fingerprints, modulo 2**64, of all windows of n tokens."""
+    out = np.zeros(len(tokens) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(_KR) + tokens[k : len(tokens) - n + 1 + k]
+    return out
+
+
+def _free(used: np.ndarray, length: int) -> np.ndarray:
     """Starts of all windows of ``length`` without a used token."""
-    run = 0
-    for k, u in enumerate(used):
-        run = 0 if u else run + 1
-        if run >= length:
-            yield k - length + 1
+    if len(used) < length:
+        return np.empty(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(total[length:] == total[:-length])
 
 
 class Items:
@@ -117,22 +165,30 @@ def cover(words: np.ndarray, hits: dict[int, np.ndarray], items: Items, seed: in
                     own.setdefault(o, {}).setdefault(n, []).append(k)
     out = []
     for o, by in own.items():
-        item = items.tokens[o].tolist()
+        item = items.tokens[o]
         n = min(seed, len(item))
         if n not in by:
             continue
-        part, last = [], -1
-        for k in by[n]:
-            if k > last:
-                part.append(-1 - k)  # a token of its own between stretches
-                last = k
-            part += words[last : k + n].tolist()
-            last = k + n
-        found = tiles(item, part, n)
+        at = np.array(by[n])
+        inside = np.zeros(len(words) + 1, np.int64)
+        np.add.at(inside, at, 1)
+        np.add.at(inside, at + n, -1)
+        seeded = np.flatnonzero(np.cumsum(inside))
+        # stretches of seeds one after the other; no tile passes the gap between two
+        gap = np.flatnonzero(np.diff(seeded) > 1) + 1
+        found = tiles(item, np.insert(words[seeded], gap, absent(item)), n)
         out.append((sum(x for *_, x in found) / len(item), items.ids[o], len(found)))
     return out
 
 
+def absent(item: np.ndarray) -> np.uint64:
+    """A token that is not in ``item``."""
+    token = np.uint64(1)
+    while (item == token).any():
+        token += np.uint64(1)
+    return token
+
+
 def runs_at(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     out = np.full(len(at), n, np.uint64)
     for i in range(n):
@@ -191,7 +247,7 @@ def _tiler(shared, seed: int):
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = {n: at[slice(*np.searchsorted(at, [a, b - n + 1]))] - a for n, at in marks.items()}
                 found = cover(words[a:b], own, items, seed) if any(map(len, own.values())) else []
-                best = min(found, key=lambda f: (-f[0], f[1])) if found else (0.0, None, 0)
+                best = min(found, key=lambda f: (-f[0], f[1] is None, f[1] or 0)) if found else (0.0, None, 0)
                 got.append((b - a, len(found), best[1], best[0], best[2]))
             n, shares, item, share, count = zip(*got)
             key = part.column("key") if "key" in part.schema.names else pa.nulls(len(n), pa.int64())
