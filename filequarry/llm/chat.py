@@ -1,10 +1,11 @@
 """Chat formatting: records of many layouts to canonical turns, then to one marked string.
 
-A record is a variant. The field paths it has, out of those any mapping reads, are hashed to a
-fingerprint; the fingerprint selects a declarative mapping (which path holds the turns or the
-prompt and the answer, which keys hold role and text) that makes canonical turns. A record whose
-fingerprint no mapping has gets no turns and the mapping name null. All of it is built-in
-functions, one shuffle where turns come as rows.
+A record is a variant. Its nested field paths, values and types left out, are hashed to a
+fingerprint (``layout_fingerprint``). Where they are exactly those of a declarative mapping (which
+path holds the turns or the prompt and the answer, which keys hold role and text), its fingerprint
+selects that mapping; a record with further fields takes the first mapping, in the order given, all
+of whose paths it has, null values included. A record that fits none gets null for layout and turns.
+All of it is built-in functions, one shuffle where turns come as rows.
 
 Template, for each turn: ``<|im_start|>role``, a newline, the text, ``<|im_end|>``, a newline.
 Control strings inside a text or role get a backslash after their first character, and those with
@@ -12,12 +13,14 @@ backslashes there one more, so ``unescape`` gives back every text exactly. In ro
 and a newline are written as two characters, too.
 
 Null text or role counts as empty. Equal turn numbers are ordered by role, then text; a null turn
-number comes first and null ids form one conversation. No rows give no rows.
+number comes first and null ids form one conversation. Null turns give a null string and mask, no
+turns empty ones. No rows give no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,16 +56,25 @@ class Mapping:
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
 
+    foreign: bool = True
+    """Whether roles go by other names, in ``ROLES``."""
+
     @property
-    def paths(self) -> list[str]:
-        return [f"{self.turns}[0].{self.role}", f"{self.turns}[0].{self.text}"] if self.turns else [p for p, _ in self.fields]
+    def shape(self) -> str:
+        """The nested field paths of a record that has the mapping's paths and no more, as ``shape`` gives them."""
+        if not self.turns:
+            return f"OBJECT<{', '.join(sorted(p[2:] for p, _ in self.fields))}>"
+        out = f"ARRAY<OBJECT<{', '.join(sorted((self.role, self.text)))}>>"
+        for name in reversed(self.turns[2:].split(".")):
+            out = f"OBJECT<{name}: {out}>"
+        return out
 
 
 #: Layouts known so far; further ones are passed to ``canonical_turns``.
 MAPPINGS = (
     Mapping("messages", "$.messages", "role", "content"),
     Mapping("conversations", "$.conversations", "from", "value"),
-    Mapping("turns", "$.turns", "role", "text"),
+    Mapping("turns", "$.turns", "role", "text", foreign=False),
     Mapping("prompt_completion", fields=(("$.prompt", "user"), ("$.completion", "assistant"))),
     Mapping("prompt_response", fields=(("$.prompt", "user"), ("$.response", "assistant"))),
     Mapping("instruction", fields=(("$.instruction", "user"), ("$.output", "assistant"))),
@@ -70,39 +82,47 @@ MAPPINGS = (
     Mapping("question_answer", fields=(("$.question", "user"), ("$.answer", "assistant"))),
     Mapping("nested_data", "$.data.messages", "role", "content"),
 )
-#: Names of roles in other layouts.
+#: Names of roles in other layouts; rows made to records by ``rows_to_records`` keep theirs.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def vocabulary(mappings: tuple[Mapping, ...]) -> list[str]:
-    return sorted({p for m in mappings for p in m.paths})
+def shape(record: Column) -> Column:
+    """The record's nested field paths, keys in order: its schema without the types of single values."""
+    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]+\))?", "")
+
+
+def fits(record: Column, m: Mapping) -> Column:
+    """Whether the record has all paths of the mapping, be their values null."""
+    if not m.turns:
+        return _all(F.try_variant_get(record, p, "variant").isNotNull() for p, _ in m.fields)
+    inner = F.schema_of_variant(F.try_variant_get(record, m.turns, "variant"))
+    return _all(inner.rlike(f"^ARRAY<OBJECT<(.*, )?{k}: ") for k in (m.role, m.text))
 
 
-def fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Hash of the field paths, known to some mapping, that the record has with a value."""
-    found = F.concat_ws("\n", *(F.when(F.try_variant_get(record, p, "string").isNotNull(), F.lit(p)) for p in vocabulary(mappings)))
-    return F.xxhash64(found)
+def _all(tests) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
 
 
 def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Adds layout (the mapping's name) and turns, array of struct(role, text)."""
+    """Adds layout_fingerprint, layout (the mapping's name) and turns, array of struct(role, text);
+    columns of these names are replaced, all others kept."""
     v = F.col(record)
-    chosen = {m.name: F.xxhash64(F.lit("\n".join(sorted(m.paths)))) for m in mappings}
-    layout = F.coalesce(*(F.when(F.col("layout_fingerprint") == h, F.lit(name)) for name, h in chosen.items()))
+    print_ = F.xxhash64(shape(v))
+    exact = [F.when(print_ == F.xxhash64(F.lit(m.shape)), F.lit(m.name)) for m in mappings]
+    layout = F.coalesce(*exact, *(F.when(fits(v, m), F.lit(m.name)) for m in mappings))
 
     def turns(m: Mapping) -> Column:
         if m.turns:
             got = F.try_variant_get(v, m.turns, f"array<struct<{m.role}: string, {m.text}: string>>")
-            return F.transform(got, lambda t: turn(t[m.role], t[m.text]))
-        return F.array(*(turn(F.lit(role), F.try_variant_get(v, p, "string")) for p, role in m.fields))
+            return F.transform(got, lambda t: turn(m, t[m.role], t[m.text]))
+        return F.array(*(turn(m, F.lit(role), F.try_variant_get(v, p, "string")) for p, role in m.fields))
 
-    def turn(role: Column, text: Column) -> Column:
-        named = F.coalesce(*(F.when(role == a, F.lit(b)) for a, b in ROLES.items()), role, F.lit(""))
-        return F.struct(named.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    def turn(m: Mapping, role: Column, text: Column) -> Column:
+        others = [F.when(role == a, F.lit(b)) for a, b in ROLES.items()] if m.foreign else []
+        return F.struct(F.coalesce(*others, role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    picked = F.coalesce(*(F.when(F.col("layout") == m.name, turns(m)) for m in mappings))
-    out = records.withColumn("layout_fingerprint", fingerprint(v, mappings)).withColumn("layout", layout)
-    return out.withColumn("turns", picked).drop("layout_fingerprint")
+    out = records.withColumns({"layout_fingerprint": print_, "layout": layout})
+    return out.withColumn("turns", F.coalesce(*(F.when(F.col("layout") == m.name, turns(m)) for m in mappings)))
 
 
 def rows_to_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -125,20 +145,24 @@ def _compare(a: Column, b: Column, keys: tuple[str, ...]) -> Column:
 
 def format_turns(records: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds formatted (string) and loss_mask (array of struct(start, end), code points of assistant texts)."""
-    piece = F.transform(turns, lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END)))
-    head = F.transform(turns, lambda t: F.length(escape_role(t["role"])) + len(START) + 1)
-    size = F.transform(turns, lambda t: F.length(escape(t["text"])))
+
+    def piece(t: Column) -> Column:
+        return F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END))
+
+    def sizes(t: Column) -> Column:
+        head, size = F.length(escape_role(t["role"])) + len(START) + 1, F.length(escape(t["text"]))
+        return F.struct(head.alias("h"), size.alias("s"), (t["role"] == "assistant").alias("own"))
+
     spans = F.aggregate(
-        F.arrays_zip(F.col("_head").alias("h"), F.col("_size").alias("s"), F.col(turns).getField("role").alias("r")),
+        F.transform(turns, sizes),
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans")),
         lambda acc, x: F.struct(
             (acc["at"] + x["h"] + x["s"] + len(END)).alias("at"),
-            F.when(x["r"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["h"]).alias("start"), (acc["at"] + x["h"] + x["s"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+            F.when(x["own"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["h"]).alias("start"), (acc["at"] + x["h"] + x["s"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    out = records.withColumn("formatted", F.array_join(piece, "")).withColumn("_head", head).withColumn("_size", size)
-    return out.withColumn("loss_mask", spans).drop("_head", "_size")
+    return records.withColumn("formatted", F.array_join(F.transform(turns, piece), "")).withColumn("loss_mask", spans)
 
 
 def read_back(formatted: Column) -> Column:
