@@ -1,17 +1,18 @@
 """Token counts: pieces per distinct pre-token, joined to per-document pre-token frequencies.
 
-A pre-token here is a run of white space with the non-space run after it (or trailing white
-space alone). The byte-level splitting rule always breaks before a white-space run that follows
-other characters, and nothing it matches crosses that point, so the pieces of a text are the sum
-of the pieces of its pre-tokens. Special strings of the tokenizer are cut out first and count
-one each, as the library does by default.
-
-Distinct pre-tokens are counted over the whole corpus and encoded once. The most frequent
-``hot`` of them (a fixed bound) are sent to every task, which sums their pieces on the spot;
+Texts are cut into units (white space with the word after it, marks apart), which are numbered by
+Arrow's dictionary encoding; the tokenizer's own splitting rule cuts each distinct unit into
+pre-tokens. It breaks wherever one unit ends, so the pre-tokens of a text are those of its units.
+Special strings of the tokenizer are cut out first and count one each, as the library does by
+default.
+
+Distinct pre-tokens are counted over the whole corpus and their pieces counted once. Frequent
+ones, at most ``hot`` (a fixed bound), are sent to every task, which sums their pieces on the spot;
 the rest go through a shuffled join, so neither a frequent nor a rare pre-token is dropped and no
-key of the join is hot. Token ids are never kept.
+key of the join is hot. What a document has in hand stays out of that join. Token ids are never kept.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows and ids each give a row.
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows and ids each give a row; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -19,60 +20,93 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from filequarry.llm.common import slices, small_batches, written
+from filequarry.llm.common import joined_batches, slices, small_batches, units_of, written
 
-#: Unicode White_Space, as the splitting rule's \s; Python's own \s also has U+001C to U+001F.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PRE_TOKEN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Frequent pre-tokens sent to each task, and the longest of them in characters.
 HOT, HOT_CHARS = 200_000, 64
-#: Distinct pre-tokens a task holds before it hands on its counts.
-HELD = 200_000
+#: Distinct pre-tokens and units a task holds before it hands on its counts or starts anew.
+HELD = 300_000
+TEXT_BYTES = 2 << 20
+#: One pre-token to any rule of this kind: letters of Latin-1, a space before them or none.
+WORD = re.compile(r" ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
 
 _loaded: dict = {}
 
 
-def load(path: str):
-    """The tokenizer and the pattern of its special strings (None: it has none)."""
-    if path not in _loaded:
+class Rule:
+    """A tokenizer's special strings, its splitting rule, and its pieces of a pre-token."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        added = list(tok.get_added_tokens_decoder().values())
+        self.tok = Tokenizer.from_file(path)
+        added = list(self.tok.get_added_tokens_decoder().values())
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
             raise ValueError("added tokens that touch their surroundings can't be counted apart")
         strings = sorted((t.content for t in added), key=lambda s: (-len(s), s))
-        _loaded[path] = tok, re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.split = self.tok.pre_tokenizer.pre_tokenize_str
+        self.form = {c: "".join(x for x, _ in self.split(chr(c))) for c in (32, *range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if WORD.fullmatch(" " + chr(c)) or c == 32}
+
+    def pre_tokens(self, unit: str) -> list[str]:
+        if WORD.fullmatch(unit):
+            return [unit]
+        return [unit[a:b] for _, (a, b) in self.split(unit)]
+
+    def pieces(self, pre_tokens: list[str]) -> list[int]:
+        """Tokens of each; words of letters go straight to the model, as nothing else applies to them."""
+        out, rest = [0] * len(pre_tokens), []
+        for k, u in enumerate(pre_tokens):
+            if self.tok.normalizer is None and WORD.fullmatch(u):
+                out[k] = len(self.tok.model.tokenize(u.translate(self.form)))
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tok.encode_batch_fast([pre_tokens[k] for k in rest], add_special_tokens=False)):
+            out[k] = len(e.ids)
+        return out
+
+
+def load(path: str) -> Rule:
+    if path not in _loaded:
+        _loaded[path] = Rule(path)
     return _loaded[path]
 
 
-def pre_tokens(text: str, special: re.Pattern | None) -> tuple[list[str], int]:
-    """The pre-tokens of a text and its number of special strings."""
-    parts = special.split(text) if special else [text]
-    if len(parts) == 1:
-        return PRE_TOKEN.findall(text), 0
-    return [u for p in parts for u in PRE_TOKEN.findall(p)], len(parts) - 1
+def parts_of(texts: pa.Array, special: re.Pattern | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts without special strings, which text each part is of, and each text's number of them."""
+    n = len(texts)
+    if special is None or not pc.any(pc.match_substring_regex(texts, special.pattern)).as_py():
+        return texts, np.arange(n), np.zeros(n, np.int64)
+    cut = [special.split(t) if t else [""] for t in texts.to_pylist()]
+    many = np.fromiter(map(len, cut), np.int64, n)
+    return pa.array([p for ps in cut for p in ps], pa.string()), np.repeat(np.arange(n), many), many - 1
 
 
 def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """unit, n: every distinct pre-token of the corpus with its number of occurrences."""
 
     def count(batches):
-        special, held = load(path)[1], Counter()
+        rule, held = load(path), Counter()
 
         def flush():
             out = pa.record_batch({"unit": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
             held.clear()
             return out
 
-        for part in slices(batches, "text"):
-            for t in part.column("text").to_pylist():
-                if t:
-                    held.update(pre_tokens(t, special)[0])
+        for part in joined_batches(batches, "text", TEXT_BYTES):
+            units, unit, _ = units_of(parts_of(part.column("text"), rule.special)[0])
+            for u, n in zip(units, np.bincount(unit, minlength=len(units)).tolist()):
+                if WORD.fullmatch(u):
+                    held[u] += n
+                else:
+                    for t in rule.pre_tokens(u):
+                        held[t] += n
             if len(held) > HELD:
                 yield flush()
         if held:
@@ -83,17 +117,44 @@ def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
 
 def piece_counts(units: DataFrame, path: str) -> DataFrame:
-    """Adds pieces, the tokens of each distinct pre-token, from one call of the library each."""
+    """Adds pieces, the tokens of each distinct pre-token, counted once each."""
 
     def encode(batches):
-        tok = load(path)[0]
+        rule = load(path)
         for part in slices(batches, "unit"):
-            got = tok.encode_batch_fast(part.column("unit").to_pylist(), add_special_tokens=False)
-            yield pa.record_batch({"unit": part.column("unit"), "n": part.column("n"), "pieces": pa.array([len(e.ids) for e in got], pa.int64())})
+            got = rule.pieces(part.column("unit").to_pylist())
+            yield pa.record_batch({"unit": part.column("unit"), "n": part.column("n"), "pieces": pa.array(got, pa.int64())})
 
     return units.mapInArrow(encode, "unit string, n long, pieces long")
 
 
+class Known:
+    """Of each unit met: the pieces of its frequent pre-tokens, and its other pre-tokens."""
+
+    def __init__(self, rule: Rule, pieces: dict[str, int]):
+        self.rule, self.pieces = rule, pieces
+        self.index, self.sure, self.rest = {}, np.empty(0, np.int64), {}
+
+    def __call__(self, units: list[str]) -> np.ndarray:
+        """Places of distinct ``units``."""
+        if len(self.index) > HELD:
+            self.index, self.sure, self.rest = {}, np.empty(0, np.int64), {}
+        new = [u for u in units if u not in self.index]
+        sure = []
+        for at, u in enumerate(new, len(self.index)):
+            got = self.pieces.get(u) if WORD.fullmatch(u) else None
+            if got is None:
+                pre = self.rule.pre_tokens(u)
+                others = [t for t in pre if t not in self.pieces]
+                got = sum(self.pieces[t] for t in pre if t in self.pieces)
+                if others:
+                    self.rest[at] = others
+            sure.append(got)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.sure = np.concatenate([self.sure, np.array(sure, np.int64)])
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
+
 def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """id_column, n_bytes (UTF-8), n_tokens: one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -112,27 +173,33 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
     known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), top.column("pieces").to_pylist())))
 
     def spread(batches):
-        special, get, part_id, row = load(path)[1], known.value.get, TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text"):
-            keys, ids, size, units, n = [], [], [], [], []
-            for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                t = t or ""
-                found, specials = pre_tokens(t, special)
-                got = list(map(get, found))
-                rest = Counter(u for u, g in zip(found, got) if g is None) if None in got else {}
-                sure = specials + (sum(g for g in got if g is not None) if rest else sum(got))
-                key = part_id << 33 | row
-                row += 1
-                keys += [key] * (1 + len(rest))
-                ids += [i] * (1 + len(rest))
-                size += [len(t.encode())] + [None] * len(rest)
-                units += [None, *rest]
-                n += [sure, *rest.values()]
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "id": pa.array(ids, part.schema.field("id").type), "n_bytes": pa.array(size, pa.int64()), "unit": pa.array(units, pa.string()), "n": pa.array(n, pa.int64())})
+        rule, part_id, row = load(path), TaskContext.get().partitionId(), 0
+        of = Known(rule, known.value)
+        for part in joined_batches(batches, "text", TEXT_BYTES):
+            texts, owner, specials = parts_of(part.column("text"), rule.special)
+            units, unit, bounds = units_of(texts)
+            at = of(units)[unit]
+            text_of = np.repeat(owner, np.diff(bounds))
+            n = len(specials)
+            sure = specials + np.bincount(text_of, weights=of.sure[at], minlength=n).astype(np.int64)
+            size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = (part_id << 33) + row + np.arange(n)
+            row += n
+            yield pa.record_batch({"key": pa.array(key), "id": part.column("id"), "n_bytes": pa.array(size), "unit": pa.nulls(n, pa.string()), "n": pa.array(sure)})
+            open_ = np.zeros(len(of.sure), bool)
+            open_[list(of.rest)] = True
+            rare = np.flatnonzero(open_[at])
+            if len(rare):
+                found = Counter((k, t) for k, a in zip(key[text_of[rare]].tolist(), at[rare].tolist()) for t in of.rest[a])
+                keys, rest = zip(*found)
+                m = len(keys)
+                yield pa.record_batch({"key": pa.array(keys, pa.int64()), "id": pa.nulls(m, part.schema.field("id").type), "n_bytes": pa.nulls(m, pa.int64()), "unit": pa.array(rest, pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    parts = rows.mapInArrow(spread, f"key long, id {kind}, n_bytes long, unit string, n long")
-    summed = parts.join(pieces.select("unit", "pieces"), "unit", "left").groupBy("key")
-    summed = summed.agg(F.first("id").alias(id_column), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.when(F.col("unit").isNull(), 1).otherwise(F.col("pieces"))).alias("n_tokens"))
-    return summed.drop("key")
+    parts = written(rows.mapInArrow(spread, f"key long, id {kind}, n_bytes long, unit string, n long"), "frequencies")
+    base = parts.filter("unit IS NULL").select("key", "id", "n_bytes", "n")
+    rest = parts.filter("unit IS NOT NULL").join(pieces.select("unit", "pieces"), "unit")
+    rest = rest.groupBy("key").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    tokens = F.col("n") + F.coalesce("more", F.lit(0))
+    return base.join(rest, "key", "left").select(F.col("id").alias(id_column), "n_bytes", tokens.alias("n_tokens"))
