@@ -1,8 +1,12 @@
-"""Five stages from raw documents to token files; each works on all that the one before kept."""
+"""Five stages from raw documents to token files; each works on all that the one before kept.
+
+All stages: columns other than those of documents are dropped, whatever their names. An empty table
+gives no rows. Rows with a null id are documents of their own; a null text counts as empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filequarry.llm import decontamination, langid, minhash, mixing, token_output
 from filequarry.llm.common import written
@@ -14,21 +18,33 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; text without letters and text in no one language goes."""
+    """Keeps documents with a language; null text, text without letters and text in no one language goes.
+
+    Repeated rows are judged alike. If no row has a label, no language is known and all go.
+    """
     labelled = langid.identify(docs.select(*COLUMNS), langid.learn(docs))
     return labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest id, of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """Keeps one document, the smallest id, of each group of near duplicates.
+
+    Rows that share an id are one document: of those the row with the least text stays. Rows with a
+    null id are linked with nothing and stay, as do empty texts.
+    """
     docs = docs.select(*COLUMNS)
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     # as many ids as documents: never broadcast
-    return docs.join(written(kept, "kept").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    stay = docs.join(written(kept, "kept").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return stay
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), "source", "lang", "n_chars")
+    first = stay.filter("doc_id IS NOT NULL").withColumn("k", F.row_number().over(order)).filter("k = 1").select(*COLUMNS)
+    return first.unionByName(stay.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover a benchmark item."""
+    """Drops documents that cover a benchmark item, with all rows of their id; null texts and an empty benchmark drop nothing."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = written(found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
     docs = docs.select(*COLUMNS)
@@ -36,7 +52,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; rows that share an id go as often as the one taken most.
+
+    A null source is a source of its own. Texts without words go round with their shard.
+    """
     copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size"), "copies")
     copies = written(copies.groupBy("mixed_id").agg(F.max("copies").alias("copies")), "copies")
     docs = docs.select(*COLUMNS)
@@ -45,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; returns what is read back from them."""
+    """Token files; returns what is read back from them, the end id alone for a null text, ties in id by text."""
     return token_output.token_output(docs, tokenizer("word_bpe_49k.json"), end_id=2)
 
 
