@@ -41,6 +41,25 @@ HEBREW = {
     "כ": "k", "ל": "l", "מ": "m", "נ": "n", "ס": "s", "ע": "a", "פ": "p", "צ": "tz", "ק": "k", "ר": "r",
     "ש": "sh", "ת": "t", "ך": "k", "ם": "m", "ן": "n", "ף": "p", "ץ": "tz",
 }
+GENERIC_TAGS = ["artwork", "photo", "image", "picture", "file", "document", "text", "other", "place", "object", "scene", "unknown", "misc"]
+GENERIC_TAG_PREFIXES = ["photo_", "image_", "picture_"]
+ERROR_WORDS = [
+    "could not open", "cannot identify", "cannot open", "error", "failed to", "failed", "not found", "no such file", "unsupported",
+    "unable to", "traceback", "exception", "inference failed", "backend is unhealthy", "circuit breaker",
+]
+FOLDER_TAGS_DROPPED = ["file", "image", "photo", "document", "drawing", "scan"]
+CONTENT_TYPES = {
+    "image": "jpg jpeg png gif bmp webp tif tiff heic raw",
+    "video": "mp4 mov avi mkv webm wmv flv m4v",
+    "audio": "mp3 wav flac m4a aac ogg wma",
+    "document": "pdf doc docx txt rtf odt tex",
+    "spreadsheet": "xls xlsx csv ods tsv",
+    "presentation": "ppt pptx odp key",
+    "drawing": "dwg dxf 3dm 3ds skp step stp iges igs",
+    "archive": "zip rar 7z tar gz bz2 xz",
+}
+TIMED = ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .heif .mp4 .mov .avi .mkv .wmv .m4v .3gp .mp3 .m4a .flac .wav"
+DATED = ".pdf .docx .doc .odt .xlsx .xls .pptx .ppt .txt .md .rtf"
 # End of fixed values.
 
 
@@ -139,11 +158,11 @@ def tokens(text: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as B, KB, MB ...: whole numbers as such, else one decimal."""
+    """Bytes as B, KB, MB ...: whole numbers as such, else one decimal, ties to the even digit."""
     out = F.lit(None).cast("string")
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
         v = size / F.lit(float(1 << (10 * k)))
-        shown = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.1f", v))
+        shown = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.1f", F.bround(v, 1)))
         out = F.when(size < (1 << (10 * (k + 1))), F.concat_ws(" ", shown, F.lit(unit))).otherwise(out) if k < 4 else F.concat_ws(" ", shown, F.lit(unit))
     return out
 
@@ -154,3 +173,54 @@ def clean_tags(tags: Column, place: Column, most: int = 15) -> Column:
     low = F.transform(tags, lambda t: F.lower(_sub(t, r"^\s+|\s+$", "")))
     good = F.filter(low, lambda t: (F.length(t) >= 3) & (F.length(t) <= 40) & ~F.exists(said, lambda p: t.contains(p) | p.contains(t)))
     return F.slice(F.array_distinct(good), 1, most)
+
+
+def content_type(extension: Column) -> Column:
+    """What kind of file an extension names; file where it names none."""
+    e = F.regexp_replace(F.lower(F.coalesce(extension, F.lit(""))), r"^\.+", "")
+    return F.coalesce(*(F.when(e.isin(*known.split()), F.lit(kind)) for kind, known in CONTENT_TYPES.items()), F.lit("file"))
+
+
+def folder_context(parent: Column, stem: Column, extension: Column) -> Column:
+    """A name for a file whose stem says nothing: its folder's name (or what kind of file it is), then the stem."""
+    both = F.struct(slug(F.coalesce(parent, F.lit(""))).alias("place"), slug(stem).alias("own"), content_type(extension).alias("kind"))
+
+    def named(x: Column) -> Column:
+        place, own = x["place"], x["own"]
+        foreign = F.when(own != "", F.concat_ws("_", x["kind"], own))
+        return F.when(place == "", foreign).when(own == "", place).when(own.startswith(place), own).otherwise(F.concat_ws("_", place, own))
+
+    return F.get(F.transform(F.array(both), named), F.lit(0))  # so that each part is worked out once
+
+
+def sanitised(stem: Column, longest: int = 80) -> Column:
+    s = _sub(F.regexp_replace(F.coalesce(stem, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"^\s+|\s+$", "")
+    return F.substring(_sub(_sub(_sub(s, r"\s+", "_"), "_+", "_"), "^[._]+|[._]+$", ""), 1, longest)
+
+
+def content_stem(suggested: Column, tags: Column, description: Column) -> Column:
+    """A stem from what is known of the content: the suggested name, else the first three specific tags,
+    else words of three letters or more among the first six of the description."""
+    low = F.transform(tags, lambda t: F.replace(F.lower(t), F.lit(" "), F.lit("_")))
+    specific = F.filter(low, lambda t: ~t.isin(GENERIC_TAGS) & ~_any(t.startswith(p) for p in GENERIC_TAG_PREFIXES))
+    words = F.filter(F.split(F.regexp_replace(description, r"[^a-zA-Z0-9\s]", " "), r"(?U)\s+"), lambda w: w != "")
+    words = F.transform(F.filter(F.slice(words, 1, 6), lambda w: F.length(w) > 2), F.lower)
+    stems = (slug(suggested), slug(dedupe_words(F.array_join(F.slice(specific, 1, 3), "_"))), slug(dedupe_words(F.array_join(words, "_"))))
+    return F.coalesce(*(F.nullif(s, F.lit("")) for s in stems))
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def failed_description(description: Column) -> Column:
+    return _any(F.lower(description).contains(w) for w in ERROR_WORDS)
+
+
+def tag_token(tag: Column) -> Column:
+    """A tag as part of a folder's name; null if it says too little."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9_]", "_"), "_+", "_"), "^_+|_+$", "")
+    return F.when((F.length(t) >= 3) & ~t.isin(FOLDER_TAGS_DROPPED), t)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from filequarry.functions import paths
+from filequarry.operators.proposing import numbered
 
 
 def selected(proposals: DataFrame, least: float = 0.7, with_modified: bool = True) -> DataFrame:
@@ -76,3 +77,55 @@ def undo_plan(log: DataFrame) -> DataFrame:
     op = F.upper("operation")
     action = F.when(op.isin("MOVE", "RENAME"), "move_back").when(op.isin("DELETE", "TRASH"), "restore").when(op == "RENAME_FOLDER", "rename_folder_back").otherwise("skip")
     return log.withColumn("action", action).orderBy(F.desc("ts"), F.desc("id"))
+
+
+def without_stale(proposals: DataFrame, session_id: str) -> DataFrame:
+    """``proposals`` less the session's pending moves and folder renames, which a new run makes again."""
+    stale = (F.col("session_id") == session_id) & (F.col("status") == "pending") & F.col("proposal_type").isin("move", "rename_folder")
+    return proposals.filter(~F.coalesce(stale, F.lit(False)))
+
+
+def with_outcomes(proposals: DataFrame, results: DataFrame, dry_run: bool = False) -> DataFrame:
+    """``proposals`` after a run, with their new status and outcome: applied, failed (rejected, unless it was a dry run) or not run.
+
+    results: id, ok; an exception counts as failed.
+    """
+    out = proposals.join(results.groupBy("id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok")), "id", "left")
+    outcome = F.when(F.col("ok"), "applied").when(~F.col("ok"), "failed").otherwise("not_run")
+    status = F.col("status") if dry_run else F.when(F.col("ok"), "applied").when(~F.col("ok"), "rejected").otherwise(F.col("status"))
+    return out.withColumns({"outcome": outcome, "status": status}).drop("ok")
+
+
+def emptied_folders(sources: DataFrame, remaining: DataFrame, levels: int = 6) -> DataFrame:
+    """dir, depth of folders left without a file, deepest first: those that files were moved out of and their ancestors.
+
+    sources: dir; remaining: dir of each file that is still there.
+    """
+
+    def lineage(frame: DataFrame, most: int | None) -> DataFrame:
+        parts = F.filter(F.split("dir", "/"), lambda p: p != "")
+        lowest = F.lit(1) if most is None else F.greatest(F.size(parts) - most + 1, F.lit(1))
+        deep = frame.select("dir").distinct().filter(F.size(parts) > 0).select(parts.alias("parts"), F.explode(F.sequence(lowest, F.size(parts))).alias("depth"))
+        return deep.select(F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")).alias("dir"), "depth").distinct()
+
+    return lineage(sources, levels).join(lineage(remaining, None).select("dir"), "dir", "left_anti").orderBy(F.desc("depth"), "dir")
+
+
+def trash_plan(files: DataFrame, root: str) -> DataFrame:
+    """file_id, current_value, proposed_value of files put into the root's trash folder; names met again are counted up."""
+    own = files.select(F.col("id").alias("file_id"), F.col("path").alias("current_value"), F.lit(f"{root}/.ddh_trash").alias("place"), "filename")
+    out = numbered(own, "place", "filename", ["file_id"], first=1)
+    return out.select("file_id", "current_value", F.concat_ws("/", "place", "filename").alias("proposed_value"))
+
+
+def touched_folders(applied: DataFrame, root: str, existing: DataFrame) -> DataFrame:
+    """dir: folders that applied moves and renames lead to, and the root, that are not there (dir) yet."""
+    parents = applied.select(paths.parent(F.col("proposed_value")).alias("dir"))
+    top = applied.sparkSession.range(1).select(F.lit(root).alias("dir"))
+    return parents.unionByName(top).distinct().join(existing.select("dir"), "dir", "left_anti")
+
+
+def approved(proposals: DataFrame, least: float) -> DataFrame:
+    """Pending proposals of at least that confidence approved; changed says which, so that counting it needs no other pass."""
+    hit = F.coalesce((F.col("status") == "pending") & (F.col("confidence") >= least), F.lit(False))
+    return proposals.withColumns({"changed": hit, "status": F.when(hit, "approved").otherwise(F.col("status"))})

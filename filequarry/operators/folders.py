@@ -80,3 +80,15 @@ def ancestors(files: DataFrame, root: str) -> DataFrame:
     chain = F.transform(steps, lambda k: F.struct(k.alias("depth"), F.concat(F.lit(root + "/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("dir")))
     each = files.filter(F.col("dir").startswith(root + "/")).select(F.explode(chain).alias("a"), "size_bytes")
     return each.groupBy("a.dir", "a.depth").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+
+
+def chunks(files: DataFrame, size: int = 100) -> DataFrame:
+    """Adds chunk: each folder's files by id in chunks of ``size``."""
+    place = F.row_number().over(Window.partitionBy("dir").orderBy("id"))
+    return files.withColumn("chunk", F.floor((place - 1) / size).cast("int"))
+
+
+def first_of_folder(files: DataFrame, most: int) -> DataFrame:
+    """Adds rank and keeps the first files of each folder: those with tags (ai_tags), then the largest."""
+    order = (F.size(F.coalesce("ai_tags", F.array().cast("array<string>"))) == 0, F.desc(F.coalesce("size_bytes", F.lit(0))), "id")
+    return files.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).filter(F.col("rank") <= most)

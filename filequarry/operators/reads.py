@@ -44,3 +44,14 @@ def session_rollup(files: DataFrame, proposals: DataFrame, groups: DataFrame) ->
     p = proposals.groupBy("session_id").agg(F.count("*").alias("proposals"))
     g = groups.groupBy("session_id").agg(F.count("*").alias("groups"))
     return f.join(p, "session_id", "left").join(g, "session_id", "left").fillna(0, ["proposals", "groups"])
+
+
+def page_with_total(rows: DataFrame, sort: str, offset: int, limit: int, descending: bool = False) -> DataFrame:
+    """``page`` with total, the number of rows before the cut; counted in a pass of its own."""
+    return page(rows, sort, offset, limit, descending).withColumn("total", F.lit(rows.count()).cast("long"))
+
+
+def views(files: DataFrame) -> DataFrame:
+    """Rows as they are shown: tags read from JSON (null where it is none), dates in ISO form."""
+    dates = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c in ("date_modified", "date_exif") if c in files.columns}
+    return files.withColumns({"ai_tags": F.from_json("ai_tags", "array<string>"), **dates})

@@ -491,3 +491,6 @@ def last_batch(spark, sf_dir):
 def url_hierarchy(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/?", ""), "[?#].*$", "")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.size(F.split(path, "/")).alias("depth"))
+
+
+from filequarry.plans import proposed  # noqa: E402, F401  (registers its queries here)
