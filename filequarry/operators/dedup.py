@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import difflib
 import math
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filequarry.operators.scratch import saved
-
-#: Sides of at most so many bytes (by the optimizer's estimate) are broadcast by Spark itself; no hint is given here.
-KEEPER_ORDER = ("date", "path length, longer first", "size, larger first", "id")
+from filequarry.operators.scratch import join_hot, saved
 
 
 def keeper_rank(date: Column, path: Column, size: Column, id_: Column) -> Column:
@@ -33,7 +31,7 @@ def exact_groups(files: DataFrame) -> DataFrame:
 
 def exact_members(files: DataFrame) -> DataFrame:
     """hash_md5, file_id, keep_id, similarity: members of the exact groups."""
-    return files.join(exact_groups(files), "hash_md5").select("hash_md5", F.col("id").alias("file_id"), "keep_id", F.lit(1.0).alias("similarity"))
+    return join_hot(files.select("id", "hash_md5"), saved(exact_groups(files), "groups"), ["hash_md5"], "n").select("hash_md5", F.col("id").alias("file_id"), "keep_id", F.lit(1.0).alias("similarity"))
 
 
 def sign_hash(vector: Column) -> Column:
@@ -41,27 +39,47 @@ def sign_hash(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: F.when(x > 0, "1").otherwise("0")), "")
 
 
+#: Bits of a band of hashes, about: wide enough that few hashes share one by chance.
+BAND_BITS = 16
+
+
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """a < b, distance for hashes (id, bits as a 0/1 string) at most ``most`` apart.
 
-    Hashes are cut into most + 1 bands; two within the distance agree on a band, so they meet in
-    an equi-join. Equal hashes are represented once while pairs are sought and expanded after.
+    Of b bands, two hashes within the distance differ in at most most / b bits on one. One side offers
+    all values that half of these bits can turn the band into, the other those of the rest, so the two
+    meet in an equi-join on a value between them. Equal hashes are represented once while pairs are
+    sought and expanded after.
     """
-    cut = [round(k * bits / (most + 1)) for k in range(most + 2)]
-    distinct = hashes.groupBy("bits").agg(F.min("id").alias("id"))
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.substring("bits", s + 1, e - s).alias("part")) for k, (s, e) in enumerate(zip(cut, cut[1:]))))
-    banded = distinct.withColumn("b", F.explode(bands)).select("bits", "b.band", "b.part")
-    left, right = banded.select(F.col("bits").alias("x"), "band", "part"), banded.select(F.col("bits").alias("y"), "band", "part")
-    words = [(s, min(s + 32, bits)) for s in range(0, bits, 32)]
-
-    def word(c, s, e):
-        return F.conv(F.substring(c, s + 1, e - s), 2, 10).cast("long")
-
-    distance = sum((F.bit_count(word("x", s, e).bitwiseXOR(word("y", s, e))) for s, e in words), F.lit(0))
-    near = left.join(right, ["band", "part"]).filter("x < y").select("x", "y").distinct().withColumn("distance", distance).filter(F.col("distance") <= most)
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(distinct.select(F.col("bits").alias("x"), F.col("bits").alias("y"), F.lit(0).alias("distance")))
-    one, two = hashes.select(F.col("id").alias("a"), F.col("bits").alias("x")), hashes.select(F.col("id").alias("b"), F.col("bits").alias("y"))
-    return one.join(near, "x").join(two, "y").filter("a < b").select("a", "b", F.col("distance").cast("int").alias("distance"))
+    count = max(1, round(bits / BAND_BITS))
+    cut = [round(k * bits / count) for k in range(count + 1)]
+    spans = list(zip(cut, cut[1:]))
+    words = F.array(*(F.conv(F.substring("bits", s + 1, e - s), 2, 10).cast("long") for s, e in spans))
+    distinct = hashes.filter("bits IS NOT NULL").select("bits").distinct()
+    coded = saved(distinct.select("bits", words.alias("words")), "hashes")
+    radius = most // count
+
+    def met(name: str, flips: int) -> DataFrame:
+        def band(k: int) -> Column:
+            masks = F.array(*map(F.lit, _masks(cut[k + 1] - cut[k], flips)))
+            return F.struct(F.lit(k).alias("band"), F.transform(masks, lambda m: F.col("words")[k].bitwiseXOR(m)).alias("values"))
+
+        rows = coded.select(F.col("words").alias(name), F.explode(F.array(*map(band, range(count)))).alias("b"))
+        return rows.select(name, "b.band", F.explode("b.values").alias("value"))
+
+    distance = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(count)), F.lit(0))
+    close = met("x", radius - radius // 2).join(met("y", radius // 2), ["band", "value"]).filter((F.col("x") != F.col("y")) & (distance <= most))
+    # either may have been the side with more flips
+    close = close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().withColumn("distance", distance.cast("int"))
+    near = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(coded.select(F.col("words").alias("x"), F.col("words").alias("y"), F.lit(0).alias("distance")))
+    owned = hashes.select("id", words.alias("words"))
+    one, two = owned.select(F.col("id").alias("a"), F.col("words").alias("x")), owned.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    return one.join(near, "x").join(two, "y").filter("a < b").select("a", "b", "distance")
+
+
+def _masks(width: int, flips: int) -> list[int]:
+    """All values of ``width`` bits with at most ``flips`` set."""
+    return [sum(1 << k for k in c) for n in range(min(flips, width) + 1) for c in combinations(range(width), n)]
 
 
 def tag_pairs(rows: DataFrame, least: float) -> DataFrame:

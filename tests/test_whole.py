@@ -2,9 +2,9 @@
 
 import difflib
 import random
+import re
 
-from filequarry.llm import decontamination, pii
-from filequarry.operators import folders, naming
+from filequarry.operators import dedup, folders, naming
 from filequarry.plans import registry
 
 
@@ -45,17 +45,6 @@ def test_spelling_of_no_tokens(spark):
     assert naming.spelling(spark.createDataFrame([], "token string, n long")).collect() == []
 
 
-def test_several_blocks_of_items_equal_one(spark, monkeypatch):
-    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(40)]
-    texts = [(j, f"before {items[j][1]} between {items[(j + 1) % 40][1]} after") for j in range(30)] + [(30, None), (31, "clean text"), (5, items[7][1]), (5, items[7][1])]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
-    got = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
-    assert len(got) == len(texts) and got == want and sum(r[-1] for r in got) == 32
-
-
 def test_padded_series_are_found(spark, tmp_path):
     got = registry.QUERIES["sequence_detect_all"](spark, documents(spark, tmp_path, ["a"] * 25)).filter("base = 'IMG'").collect()
     assert [(r.n, r.lowest, r.highest, r.width) for r in got] == [(4, 0, 24, 4)]
@@ -80,14 +69,44 @@ def test_sizes_of_long_documents_are_shown(spark, tmp_path):
     assert [r.shown for r in got] == ["1000 B", "1024.0 KB", "1 MB", "1.5 MB", "20 MB"]
 
 
-def test_grouped_ibans_separators_and_long_secrets():
-    def spans(text, kind):
-        return [text[a:b] for k, a, b in pii.find(text, pii.automaton()) if k == kind]
-
-    assert spans("IBAN DE89 3704 0044 0532 0130 00 was paid", "account") == ["DE89 3704 0044 0532 0130 00"]
-    assert spans("IBAN: GB82 WEST 1234 5698 7654 32.", "account") == ["GB82 WEST 1234 5698 7654 32"]
-    assert spans("IBAN DE88 3704 0044 0532 0130 00", "account") == []
-    assert spans("account number is: 123456", "account") == spans("acct 123456", "account") == ["123456"]
-    url = "https://user:" + "s" * 200 + "@host.example"
-    assert spans(f"see {url} now", "url") == [url]
-    assert spans("://a:" * 100_000, "url") == [] == spans("account" + " " * 100_000, "account")
+def test_hamming_pairs_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        h = rng.choice(base)
+        for _ in range(rng.randint(0, 12)):
+            h ^= 1 << rng.randrange(64)
+        rows.append((i, f"{h:064b}"))
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, None)]
+    df = spark.createDataFrame(rows, "id long, bits string")
+    for most in (0, 3, 8, 13):
+        got = {tuple(r) for r in dedup.hamming_pairs(df, most).collect()}
+        dist = lambda x, y: (int(x, 2) ^ int(y, 2)).bit_count()
+        want = {(a, b, dist(x, y)) for a, x in rows for b, y in rows if a < b and x and y and dist(x, y) <= most}
+        assert got == want and (want or most == 0)
+
+
+def test_collisions_equal_settling_one_by_one(spark):
+    rng = random.Random(10)
+    stems = ["plan", "plan_1", "1_plan", "1_5_plan", "2", "2_1", "2020-01-02_x", "x"]
+    wanted = [(i, rng.choice("de"), rng.choice(stems), rng.choice((".a", ".b")), rng.choice(("1.5-q", "2_r", "none", "1-z")), f"cur{i}.a") for i in range(90)]
+    there = sorted({(rng.choice("de"), rng.choice(stems) + rng.choice((".a", ".b"))) for _ in range(9)} | {(d, c) for _, d, *_, c in wanted[:20]})
+    taken, want = {}, {}
+    for d, n in there:
+        taken.setdefault(d, set()).add(n)
+    for i, d, stem, ext, original, current in sorted(wanted):
+        own, name, m = taken.setdefault(d, set()), stem + ext, re.match(r"(\d+(?:[._]\d+)*)[\s_.\-]", original)
+        prefix = m and m[1].replace(".", "_")
+        if name in own and name != current and prefix and not stem.startswith(prefix + "_") and not re.match(r"\d{4}-\d{2}-\d{2}", stem):
+            stem = f"{prefix}_{stem}"
+            name = stem + ext
+        k = 0
+        while name in own and name != current:
+            k += 1
+            name = f"{stem}_{k}{ext}"
+        own.add(name)
+        want[i] = name
+    df = spark.createDataFrame(wanted, "id long, dir string, stem string, ext string, original string, current string")
+    got = {r.id: r.final for r in naming.resolve_collisions(df, spark.createDataFrame(there, "dir string, filename string")).collect()}
+    assert got == want
