@@ -8,9 +8,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
-from filequarry.operators.scratch import saved as written, shared_dir
+from filequarry.operators.scratch import join_hot, saved as written, shared_dir  # noqa: F401
 
 #: Text bytes that one vectorised step inside a task handles at a time.
 SLICE_BYTES = 512 << 10
@@ -20,23 +20,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: A key is hot if it has more than one in so many rows; so there are fewer hot keys than this.
-HOT_SHARE = 2000
-
-
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of ``rows`` with a written ``table`` that knows by ``weight`` how many rows each key has.
-
-    Hot keys, fewer than ``HOT_SHARE`` by their definition, are broadcast so that their rows stay
-    where they are; all others go through a shuffle.
-    """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.filter(F.col(weight) * HOT_SHARE > total)
-    rest = table.filter(F.col(weight) * HOT_SHARE <= total)
-    here = rows.join(F.broadcast(hot), keys)
-    return here.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys).select(here.columns))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches: long texts make the default 10,000 rows too many for a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

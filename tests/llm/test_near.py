@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from filequarry.llm import common, minhash
+from filequarry.llm import minhash
+from filequarry.operators import scratch
 
 
 def brute(rows, words, percent):
@@ -47,7 +48,7 @@ def test_all_pairs(spark, monkeypatch, repeat_ids):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "SALTED", 4)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    monkeypatch.setattr(scratch, "HOT_SHARE", 10)
     rows = made_up(11, 160, repeat_ids)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = minhash.near_duplicates(docs, words=3, percent=85)
