@@ -8,21 +8,21 @@ from pyspark.sql import Column, functions as F
 
 # The category of each extension.
 CATEGORIES = {
-    "image": ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .heif .ico .jp2",
-    "design": ".psd .ai .sketch .fig .xd .afdesign .afphoto .cdr .indd .eps",
-    "3d": ".max .3ds .3dm .obj .fbx .dae .blend .stl .ply .gltf .glb .usd .usdz .c4d .ma .mb .lwo .lws .skp",
-    "cad": ".dwg .dxf .step .stp .iges .igs .sat",
-    "document": ".pdf .docx .doc .odt .rtf .txt .md .rst .tex .xlsx .xls .ods .pptx .ppt .odp .csv .tsv",
-    "web": ".html .htm .xml .xhtml .json .yaml .yml .toml",
-    "audio": ".mp3 .m4a .wav .flac .ogg .oga .aac .wma .opus .aiff .aif",
-    "video": ".mp4 .mov .avi .mkv .wmv .m4v .3gp .webm .flv .mpg .mpeg",
-    "archive": ".zip .rar .7z .tar .gz .bz2 .xz .tgz .tbz .iso",
-    "code": ".py .js .ts .jsx .tsx .java .c .cpp .h .hpp .cs .go .rs .rb .php .swift .kt .scala .sh .bat .ps1 .sql",
-    "font": ".ttf .otf .woff .woff2 .eot",
-    "email": ".eml .msg",
-    "contact": ".vcf",
-    "calendar": ".ics",
-}
+    "image": [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".ico", ".jp2"],
+    "design": [".psd", ".ai", ".sketch", ".fig", ".xd", ".afdesign", ".afphoto", ".cdr", ".indd", ".eps"],
+    "3d": [".max", ".3ds", ".3dm", ".obj", ".fbx", ".dae", ".blend", ".stl", ".ply", ".gltf", ".glb", ".usd", ".usdz", ".c4d", ".ma", ".mb", ".lwo", ".lws", ".skp"],
+    "cad": [".dwg", ".dxf", ".step", ".stp", ".iges", ".igs", ".sat"],
+    "document": [".pdf", ".docx", ".doc", ".odt", ".rtf", ".txt", ".md", ".rst", ".tex", ".xlsx", ".xls", ".ods", ".pptx", ".ppt", ".odp", ".csv", ".tsv"],
+    "web": [".html", ".htm", ".xml", ".xhtml", ".json", ".yaml", ".yml", ".toml"],
+    "audio": [".mp3", ".m4a", ".wav", ".flac", ".ogg", ".oga", ".aac", ".wma", ".opus", ".aiff", ".aif"],
+    "video": [".mp4", ".mov", ".avi", ".mkv", ".wmv", ".m4v", ".3gp", ".webm", ".flv", ".mpg", ".mpeg"],
+    "archive": [".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".tgz", ".tbz", ".iso"],
+    "code": [".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".c", ".cpp", ".h", ".hpp", ".cs", ".go", ".rs", ".rb", ".php", ".swift", ".kt", ".scala", ".sh", ".bat", ".ps1", ".sql"],
+    "font": [".ttf", ".otf", ".woff", ".woff2", ".eot"],
+    "email": [".eml", ".msg"],
+    "contact": [".vcf"],
+    "calendar": [".ics"],
+}
 LABELS = {"image": "Images", "design": "Design_Files", "3d": "3D_Models", "cad": "CAD_Drawings", "document": "Documents", "video": "Videos", "audio": "Audio", "code": "Code", "web": "Web_Files", "archive": "Archives"}
 # End of fixed values.
 
@@ -53,7 +53,7 @@ def folder_chain(path: Column, most: int = 4) -> Column:
 
 def category(mime: Column, extension: Column) -> Column:
     """By extension; else by MIME type; else other."""
-    known = F.create_map(*(F.lit(x) for x in chain.from_iterable((e, c) for c, es in CATEGORIES.items() for e in es.split())))
+    known = F.create_map(*(F.lit(x) for x in chain.from_iterable((e, c) for c, es in CATEGORIES.items() for e in es)))
     ext = F.lower(F.coalesce(extension, F.lit("")))
     ext = F.when((ext == "") | ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))
     m = F.lower(F.coalesce(mime, F.lit("")))

@@ -49,17 +49,19 @@ ERROR_WORDS = [
 ]
 FOLDER_TAGS_DROPPED = ["file", "image", "photo", "document", "drawing", "scan"]
 CONTENT_TYPES = {
-    "image": "jpg jpeg png gif bmp webp tif tiff heic raw",
-    "video": "mp4 mov avi mkv webm wmv flv m4v",
-    "audio": "mp3 wav flac m4a aac ogg wma",
-    "document": "pdf doc docx txt rtf odt tex",
-    "spreadsheet": "xls xlsx csv ods tsv",
-    "presentation": "ppt pptx odp key",
-    "drawing": "dwg dxf 3dm 3ds skp step stp iges igs",
-    "archive": "zip rar 7z tar gz bz2 xz",
+    "image": ["jpg", "jpeg", "png", "gif", "bmp", "webp", "tif", "tiff", "heic", "raw"],
+    "video": ["mp4", "mov", "avi", "mkv", "webm", "wmv", "flv", "m4v"],
+    "audio": ["mp3", "wav", "flac", "m4a", "aac", "ogg", "wma"],
+    "document": ["pdf", "doc", "docx", "txt", "rtf", "odt", "tex"],
+    "spreadsheet": ["xls", "xlsx", "csv", "ods", "tsv"],
+    "presentation": ["ppt", "pptx", "odp", "key"],
+    "drawing": ["dwg", "dxf", "3dm", "3ds", "skp", "step", "stp", "iges", "igs"],
+    "archive": ["zip", "rar", "7z", "tar", "gz", "bz2", "xz"],
 }
-TIMED = ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .heif .mp4 .mov .avi .mkv .wmv .m4v .3gp .mp3 .m4a .flac .wav"
-DATED = ".pdf .docx .doc .odt .xlsx .xls .pptx .ppt .txt .md .rtf"
+TIMED = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".mp4", ".mov", ".avi", ".mkv", ".wmv", ".m4v", ".3gp", ".mp3", ".m4a", ".flac", ".wav"]
+DATED = [".pdf", ".docx", ".doc", ".odt", ".xlsx", ".xls", ".pptx", ".ppt", ".txt", ".md", ".rtf"]
+STRICT_PREFIX = r"(?U)^(\d+(?:[._]\d+)*)[\s_.\-]"
+LOOSE_PREFIX = r"^(\d+(?:\.\d+)*)"
 # End of fixed values.
 
 
@@ -110,11 +112,11 @@ def strip_echo(stem: Column, *places: Column) -> Column:
 
 def strict_prefix(stem: Column) -> Column:
     """Leading number groups before a separator, dots as underscores; null if there are none."""
-    return F.nullif(F.replace(F.regexp_extract(stem, r"(?U)^(\d+(?:[._]\d+)*)[\s_.\-]", 1), F.lit("."), F.lit("_")), F.lit(""))
+    return F.nullif(F.replace(F.regexp_extract(stem, STRICT_PREFIX, 1), F.lit("."), F.lit("_")), F.lit(""))
 
 
 def loose_prefix(stem: Column) -> Column:
-    return F.nullif(F.regexp_extract(stem, r"^(\d+(?:\.\d+)*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(stem, LOOSE_PREFIX, 1), F.lit(""))
 
 
 def ensure_prefix(stem: Column, original: Column) -> Column:
@@ -178,7 +180,7 @@ def clean_tags(tags: Column, place: Column, most: int = 15) -> Column:
 def content_type(extension: Column) -> Column:
     """What kind of file an extension names; file where it names none."""
     e = F.regexp_replace(F.lower(F.coalesce(extension, F.lit(""))), r"^\.+", "")
-    return F.coalesce(*(F.when(e.isin(*known.split()), F.lit(kind)) for kind, known in CONTENT_TYPES.items()), F.lit("file"))
+    return F.coalesce(*(F.when(e.isin(known), F.lit(kind)) for kind, known in CONTENT_TYPES.items()), F.lit("file"))
 
 
 def folder_context(parent: Column, stem: Column, extension: Column) -> Column:

@@ -34,7 +34,7 @@ def named(files: DataFrame, root: str) -> DataFrame:
     said = text.dedupe_words(text.strip_echo(said, parent, F.element_at(F.split(F.lit(root), "/"), -1)))
     good = paths.meaningful_date(F.col("date_exif"), F.col("date_modified"), F.col("date_created"))
     date = F.when(good, F.coalesce("date_exif", "date_modified"))
-    day = F.when(ext.isin(text.TIMED.split()), paths.date_prefix(date, True)).when(ext.isin(text.DATED.split()), paths.date_prefix(date))
+    day = F.when(ext.isin(text.TIMED), paths.date_prefix(date, True)).when(ext.isin(text.DATED), paths.date_prefix(date))
     dated = F.concat_ws("_", F.nullif(day, F.lit("")), "said")
     number = F.regexp_replace("digits", "^0+(?=.)", "")
     padded = F.when(F.length(number) >= F.col("width"), number).otherwise(F.lpad(number, F.col("width"), F.lit("0")))

@@ -24,7 +24,7 @@ def quoted(words: list[str]) -> str:
 
 
 USELESS_SQL = "regexp_matches(lower(trim(stem)), '" + "|".join(f"(?:{p})" for p in text.USELESS_STEMS) + "')"
-CONTENT_TYPE_SQL = "CASE " + " ".join(f"WHEN ltrim(lower(extension), '.') IN ({quoted(e.split())}) THEN '{k}'" for k, e in text.CONTENT_TYPES.items()) + " ELSE 'file' END"
+CONTENT_TYPE_SQL = "CASE " + " ".join(f"WHEN ltrim(lower(extension), '.') IN ({quoted(e)}) THEN '{k}'" for k, e in text.CONTENT_TYPES.items()) + " ELSE 'file' END"
 CONTEXT_SQL = f"CASE WHEN {slug_sql('stem')} = '' THEN {slug_sql('lang')} WHEN starts_with({slug_sql('stem')}, {slug_sql('lang')}) THEN {slug_sql('stem')} ELSE {slug_sql('lang')} || '_' || {slug_sql('stem')} END"
 
 
@@ -48,8 +48,8 @@ n3 AS (SELECT *, list_filter(string_split(content, '_'), lambda t: t <> '' AND l
 n4 AS (SELECT *, {words_sql(r"CASE WHEN len(list_filter(kept, lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$'))) > 0 THEN list_aggregate(kept, 'string_agg', '_') ELSE content END")} AS said FROM n3),
 n5 AS (SELECT n4.*, s.base, s.sep, s.width, nullif(regexp_replace(s.digits, '^0+(.)', '\\1'), '') AS number,
   CASE WHEN date_exif IS NOT NULL OR abs(epoch(date_modified) - epoch(date_created)) >= 60 THEN coalesce(date_exif, date_modified) END AS good FROM n4 LEFT JOIN series s ON s.id = n4.id),
-n6 AS (SELECT *, CASE WHEN ext IN ({quoted(text.TIMED.split())}) THEN CASE WHEN strftime(good, '%H%M%S') = '000000' THEN strftime(good, '%Y-%m-%d') ELSE strftime(good, '%Y-%m-%d_%H-%M-%S') END
-  WHEN ext IN ({quoted(text.DATED.split())}) THEN strftime(good, '%Y-%m-%d') END AS day FROM n5),
+n6 AS (SELECT *, CASE WHEN ext IN ({quoted(text.TIMED)}) THEN CASE WHEN strftime(good, '%H%M%S') = '000000' THEN strftime(good, '%Y-%m-%d') ELSE strftime(good, '%Y-%m-%d_%H-%M-%S') END
+  WHEN ext IN ({quoted(text.DATED)}) THEN strftime(good, '%Y-%m-%d') END AS day FROM n5),
 n7 AS (SELECT *, regexp_replace(regexp_replace(coalesce(base || sep || CASE WHEN length(number) >= width THEN number ELSE lpad(number, CAST(width AS INT), '0') END || '_' || said, coalesce(day || '_', '') || said), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS whole,
   CASE WHEN {HYGIENE_SQL} <> '' AND {HYGIENE_SQL} <> stem THEN {HYGIENE_SQL} || ext END AS tidy, CASE WHEN {USELESS_SQL} THEN {CONTEXT_SQL} || ext END AS useful FROM n6),
 names AS (SELECT *, CASE WHEN coalesce(description, '') = '' AND (tags IS NULL OR len(tags) = 0) THEN coalesce(useful, tidy)
