@@ -30,8 +30,8 @@ def named(files: DataFrame, root: str) -> DataFrame:
     tidy = F.when(text.needs_hygiene(stem), F.concat(text.hygienic(stem), ext))
     failed = F.coalesce(text.failed_description(F.col("ai_description")), F.lit(False)) | F.coalesce(F.col("ai_confidence") == 0, F.lit(False))
 
-    said = text.content_stem(F.col("ai_suggested_name"), F.when(~no_tags, F.col("ai_tags")), F.nullif("ai_description", F.lit("")))
-    said = text.dedupe_words(text.strip_echo(said, parent, F.element_at(F.split(F.lit(root), "/"), -1)))
+    content = text.content_stem(F.col("ai_suggested_name"), F.when(~no_tags, F.col("ai_tags")), F.nullif("ai_description", F.lit("")))
+    said = text.dedupe_words(text.strip_echo(F.col("said"), parent, F.element_at(F.split(F.lit(root), "/"), -1)))
     good = paths.meaningful_date(F.col("date_exif"), F.col("date_modified"), F.col("date_created"))
     date = F.when(good, F.coalesce("date_exif", "date_modified"))
     day = F.when(ext.isin(text.TIMED), paths.date_prefix(date, True)).when(ext.isin(text.DATED), paths.date_prefix(date))
@@ -47,7 +47,8 @@ def named(files: DataFrame, root: str) -> DataFrame:
     series = series.join(widths, ["dir", "base", "sep"]).select("id", "base", "sep", "digits", "width")
     useful = F.when(text.useless(stem), F.concat(text.folder_context(parent, stem, F.col("extension")), ext))
     name = F.when(silent, F.coalesce(useful, tidy)).when(failed | F.col("said").isNull(), tidy).otherwise(F.concat(text.dedupe_words(whole), ext))
-    return files.withColumn("said", said).join(series, "id", "left").withColumn("new_name", name).drop("said", "base", "sep", "digits", "width")
+    # columns of their own, so that each is worked out once
+    return files.withColumn("said", content).withColumn("said", said).join(series, "id", "left").withColumn("new_name", name).drop("said", "base", "sep", "digits", "width")
 
 
 def rename_proposals(files: DataFrame, renamed: DataFrame, root: str) -> DataFrame:
