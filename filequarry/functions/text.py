@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from filequarry.functions import paths
+
 # Results depend on these patterns and lists.
 USELESS_STEMS = [
     r"^\d+$",
@@ -48,6 +50,11 @@ ERROR_WORDS = [
     "unable to", "traceback", "exception", "inference failed", "backend is unhealthy", "circuit breaker",
 ]
 FOLDER_TAGS_DROPPED = ["file", "image", "photo", "document", "drawing", "scan"]
+GENERIC_STEMS = [
+    "drawing", "document", "floor_plan", "plan", "scan", "sheet", "architectural_drawing", "architectural_floor_plan",
+    "architectural_floor_plan_drawing", "architectural_floor_plan_layout", "floor_plan_drawing", "floor_plan_layout", "floor_plan_layout_drawing",
+    "site_plan", "section_drawing", "structural_plan_drawing", "building_floor_plans", "elevation", "layout",
+]
 CONTENT_TYPES = {
     "image": ["jpg", "jpeg", "png", "gif", "bmp", "webp", "tif", "tiff", "heic", "raw"],
     "video": ["mp4", "mov", "avi", "mkv", "webm", "wmv", "flv", "m4v"],
@@ -70,6 +77,10 @@ def _sub(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, "(?U)" + pattern, to)
 
 
+def stripped(text: Column) -> Column:
+    return _sub(text, r"^\s+|\s+$", "")
+
+
 def slug(text: Column, longest: int = 60) -> Column:
     """Lower-case slug of word characters, underscores and hyphens."""
     s = _sub(F.lower(text), r"^\s+|\s+$", "")
@@ -226,3 +237,29 @@ def tag_token(tag: Column) -> Column:
     """A tag as part of a folder's name; null if it says too little."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9_]", "_"), "_+", "_"), "^_+|_+$", "")
     return F.when((F.length(t) >= 3) & ~t.isin(FOLDER_TAGS_DROPPED), t)
+
+
+def context(path: Column, day: Column, modified: Column, mime: Column, size: Column, names: Column, told: Column) -> Column:
+    """What surrounds a file, in lines, as a model is told it.
+
+    names: neighbours in its folder; told: neighbours (name, description), of which the first five with a description are shown.
+    """
+    chain = paths.folder_chain(path)
+    said = F.flatten(F.transform(F.reverse(chain), tokens))
+    own = tokens(paths.stem(path))
+    mb = size / F.lit(1048576.0)
+    shown = F.when(mb >= 1, F.format_string("%.1f MB", F.bround(mb, 1))).otherwise(F.format_string("%.0f KB", F.bround(size / F.lit(1024.0), 0)))
+    known = F.slice(F.filter(told, lambda t: t["description"] != ""), 1, 5)
+    listed = F.array_join(F.transform(known, lambda t: F.concat(F.lit("  • "), t["name"], F.lit(": "), t["description"])), "\n")
+    lines = (
+        F.when(F.size(chain) > 0, F.concat(F.lit("Folder path: "), F.array_join(chain, " / "))),
+        F.when(F.size(said) > 0, F.concat(F.lit("Folder keywords: "), F.array_join(said, ", "))),
+        F.concat(F.lit("Filename: "), paths.name(path)),
+        F.when(F.size(own) > 0, F.concat(F.lit("Filename keywords: "), F.array_join(own, ", "))),
+        F.coalesce(F.concat(F.lit("Date (best guess): "), F.date_format(day, "yyyy-MM-dd")), F.concat(F.lit("Date modified: "), F.date_format(modified, "yyyy-MM-dd"))),
+        F.when(mime != "", F.concat(F.lit("File type: "), mime)),
+        F.when(size > 0, F.concat(F.lit("File size: "), shown)),
+        F.when(F.size(names) > 0, F.concat(F.lit("Other files in same folder: "), F.array_join(names, ", "))),
+        F.when(F.size(known) > 0, F.concat(F.lit("Nearby files with known descriptions:\n"), listed)),
+    )
+    return F.concat_ws("\n", *lines)

@@ -135,6 +135,49 @@ def text_near_pairs(rows: DataFrame, least: float = 0.90, share: float = 0.10) -
     return full.filter(quick_ratio(F.col("ta"), F.col("tb")) >= least).withColumn("similarity", score("ta", "tb")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def name_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity for rows (id, block, text) of one block, a's text first, whose ratio is ``least`` (over 2/3) or more.
+
+    For short texts; both orders are compared, since the ratio isn't symmetric. Two texts of m and n characters
+    with that ratio have k >= least * (m + n) / 2 of them in common, in order, so they share k characters and, the
+    others breaking two pairs each at most, 3 k - (m + n) - 1 neighbouring pairs. Of a text's pairs, rarest in its block first,
+    only so many can be missing from a partner, and texts meet on the others alone (the first character has
+    no neighbour before it). Texts so short that they may share no pair meet by single characters in the same way.
+    """
+    score = F.pandas_udf(ratio, "double")
+    other = least / (2 - least)  # a partner's length is this share of a text's at least
+    length = F.length("text")
+    shared = F.ceil((1.5 * least - 1) * (1 + other) * length - 1 - 1e-9)
+    short = math.ceil(2 / ((1.5 * least - 1) * (1 + other)))
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+
+    def counted(parts: Column) -> Column:
+        """Parts with a number for each time one comes again, so that they make a set."""
+        numbered = lambda p, k: F.concat(p, F.lit("\x00"), F.size(F.filter(F.slice(parts, F.lit(1), k + 1), lambda q: q == p)).cast("string"))
+        return F.transform(parts, numbered)
+
+    pairs = F.filter(F.transform(letters, lambda c, k: F.concat(c, F.get(letters, k + 1))), lambda p: p.isNotNull())
+    kinds = (
+        (length >= short, "pairs", counted(pairs), length - 1 - shared + 1),
+        (length < short / other + 1, "letters", counted(letters), length - F.ceil(least / 2 * (1 + other) * length - 1e-9) + 1),
+    )
+    own = rows.filter("text <> ''").select("id", "block", "text")
+    met = None
+    for fits, kind, parts, kept in kinds:
+        each = own.filter(fits).select("id", "block", length.alias("n"), kept.alias("kept"), F.explode(parts).alias("part"))
+        often = each.groupBy("block", "part").agg(F.count("*").alias("df"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "part"))
+        rare = each.join(often, ["block", "part"]).withColumn("rank", rank).filter("rank <= kept")
+        a, b = (rare.select(F.col("id").alias(k), "block", "part", F.col("n").alias("n" + k)) for k in "ab")
+        lengths = f"least(na, nb) >= {other - 1e-9} * greatest(na, nb)" + (f" AND least(na, nb) < {short}" if kind == "letters" else "")
+        close = a.join(b, ["block", "part"]).filter(f"a < b AND {lengths}").select("a", "b")
+        met = close if met is None else met.unionByName(close)
+    met = met.distinct()
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    full = both.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return full.filter(quick_ratio(F.col("ta"), F.col("tb")) >= least - 1e-9).withColumn("similarity", score("ta", "tb")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
 def semantic_pairs(rows: DataFrame, least: float = 0.55) -> DataFrame:
     """a < b, similarity for rows (id, family, description, tags): 0.4 ratio + 0.6 tag Jaccard >= ``least``.
 

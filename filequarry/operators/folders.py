@@ -82,6 +82,31 @@ def ancestors(files: DataFrame, root: str) -> DataFrame:
     return each.groupBy("a.dir", "a.depth").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
+def lineage(dirs: DataFrame, root: str) -> DataFrame:
+    """dir, folder: each folder (dir) below ``root`` with itself and all folders between the two."""
+    parts = F.split(F.substring("dir", F.lit(len(root) + 2), F.length("dir")), "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit(root + "/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    return dirs.filter(F.col("dir").startswith(root + "/")).select("dir", F.explode(chain).alias("folder"))
+
+
+def siblings(files: DataFrame, most: int = 7) -> DataFrame:
+    """id, names: for each file the first files of its folder (by name) with its extension, then the first with another, ``most`` of either.
+
+    The first others of any extension are among the first of the ``most`` + 1 extensions that begin the folder, so a folder needs that many names, however large it is.
+    """
+    own = files.select("id", "dir", "filename", F.lower("extension").alias("ext"))
+    place = F.row_number().over(Window.partitionBy("dir", "ext").orderBy("filename", "id"))
+    leading = own.withColumn("place", place).filter(F.col("place") <= most + 1)
+    kinds = leading.groupBy("dir", "ext").agg(F.array_sort(F.collect_list(F.struct("filename", "id"))).alias("same"))
+    turn = F.row_number().over(Window.partitionBy("dir").orderBy(F.col("same")[0]))
+    first = kinds.withColumn("turn", turn).filter(F.col("turn") <= most + 1)
+    head = first.groupBy("dir").agg(F.array_sort(F.flatten(F.collect_list(F.transform("same", lambda s: F.struct(s["filename"].alias("filename"), s["id"].alias("id"), F.col("ext").alias("ext")))))).alias("head"))
+    out = own.join(kinds, ["dir", "ext"]).join(head, "dir")
+    same = F.slice(F.filter("same", lambda s: s["id"] != F.col("id")), 1, most)
+    others = F.slice(F.filter("head", lambda s: s["ext"] != F.col("ext")), 1, most)
+    return out.select("id", F.concat(F.transform(same, lambda s: s["filename"]), F.transform(others, lambda s: s["filename"])).alias("names"))
+
+
 def chunks(files: DataFrame, size: int = 100) -> DataFrame:
     """Adds chunk: each folder's files by id in chunks of ``size``."""
     place = F.row_number().over(Window.partitionBy("dir").orderBy("id"))

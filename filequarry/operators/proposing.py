@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filequarry.functions import paths, text
-from filequarry.operators import folders, naming
+from filequarry.functions import garbled, paths, text
+from filequarry.operators import dedup, folders, naming
 from filequarry.operators.scratch import saved
 
 
@@ -152,14 +152,108 @@ def skipped_companions(files: DataFrame, moves: DataFrame) -> DataFrame:
     return _proposals(rest, F.concat(paths.parent(F.col("of")), F.lit("/"), "filename"), F.lit(0.6))
 
 
-def folder_names_from_tags(files: DataFrame, most: int = 3) -> DataFrame:
-    """dir, name: the folder's most frequent tags, the first met (by file, then place) on ties."""
+def folder_names_from_tags(files: DataFrame, most: int = 3, root: str | None = None) -> DataFrame:
+    """dir, name: the folder's most frequent tags, the first met (by file, then place) on ties.
+
+    With ``root`` the tags count for all folders below it that hold the file, however deep.
+    """
     tags = files.select("id", "dir", F.posexplode("ai_tags").alias("at", "tag")).withColumn("token", text.tag_token(F.col("tag"))).filter("token IS NOT NULL")
     counted = tags.groupBy("dir", "token").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
+    if root is not None:
+        above = folders.lineage(counted.select("dir").distinct(), root)
+        counted = counted.join(above, "dir").groupBy(F.col("folder").alias("dir"), "token").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     rank = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "first"))
     top = counted.withColumn("k", rank).filter(F.col("k") <= most)
     return top.groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda t: t["token"]), "_").alias("name"))
 
 
+def garbled_folders(files: DataFrame, root: str, renamed: DataFrame) -> DataFrame:
+    """Renames of folders below ``root`` whose names were read in the wrong encoding, the file of least id for an anchor.
+
+    renamed: current_value of folders that have a rename already.
+    """
+    own = _folders(files, root).withColumn("was", garbled.recovered(F.col("name")))
+    clean = own.withColumn("clean", text.folder_name(F.col("was"))).filter("clean <> '' AND clean <> name")
+    fresh = clean.join(renamed.select(F.col("current_value").alias("path")), "path", "left_anti")
+    return _proposals(fresh, F.concat(paths.parent(F.col("path")), F.lit("/"), "clean"), F.lit(0.75))
+
+
+def nonlatin_folders(files: DataFrame, root: str, renamed: DataFrame) -> DataFrame:
+    """Renames of folders below ``root`` whose names hold anything but ASCII letters and digits: after the tags of
+    their files, else transliterated (both 0.6), else non_latin_folder_<n>, counted in order of their paths (0.5).
+
+    renamed: current_value of folders with a rename already, in any case. Hidden folders, those beginning with an
+    underscore and what lies in the trash stay.
+    """
+    odd = F.col("name").rlike("[^a-zA-Z0-9]") & F.col("name").rlike(r"[a-zA-Z0-9]|[^\x00-\x7f]") & ~F.col("name").rlike("^[._]") & ~F.col("path").contains("/.ddh_trash/")
+    known = renamed.select(F.lower(F.regexp_replace("current_value", r"[/\\]+$", "")).alias("key")).distinct()
+    own = _folders(files, root).filter(odd).withColumn("key", F.lower("path")).join(known, "key", "left_anti")
+    tagged = folder_names_from_tags(files, root=root).select(F.col("dir").alias("path"), F.col("name").alias("tagged"))
+    latin = text.transliterate(F.col("name"))
+    named = own.join(tagged, "path", "left").withColumn("new", F.coalesce("tagged", F.when((latin != "") & (latin != F.col("name")), latin)))
+    named = saved(named.select("id", "path", "name", "new").repartitionByRange(F.split("path", "/")).withColumn("part", F.spark_partition_id()), "folders")
+    # numbered within the ranges, after the count of the ranges before: one row a range
+    blank = named.filter("new IS NULL")
+    ranges = blank.groupBy("part").agg(F.count("*").alias("n"))
+    before = ranges.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.split("path", "/")))
+    blank = blank.withColumn("place", place).join(before, "part").withColumn("new", F.concat(F.lit("non_latin_folder_"), (F.col("before") + F.col("place")).cast("string")))
+    both = named.filter("new IS NOT NULL").select("id", "path", "name", "new", F.lit(0.6).alias("sure")).unionByName(blank.select("id", "path", "name", "new", F.lit(0.5).alias("sure")))
+    fresh = both.withColumn("new", text.folder_name(F.col("new"))).filter("new <> '' AND new <> name")
+    return _proposals(fresh, F.concat(paths.parent(F.col("path")), F.lit("/"), "new"), F.col("sure"))
+
+
+def _folders(files: DataFrame, root: str) -> DataFrame:
+    """path, name, id (the least of its files) of each folder below ``root`` that holds files, however deep."""
+    dirs = files.groupBy("dir").agg(F.min("id").alias("id"))
+    own = dirs.join(folders.lineage(dirs.select("dir"), root), "dir").groupBy(F.col("folder").alias("path")).agg(F.min("id").alias("id"))
+    return own.withColumn("name", paths.name(F.col("path")))
+
+
+def _cores(renames: DataFrame) -> DataFrame:
+    """``renames`` with place, stem, core (the stem without its first number) and suffix of what they propose."""
+    to = F.col("proposed_value")
+    own = renames.withColumns({"place": paths.parent(to), "stem": paths.stem(to), "suffix": paths.suffix(to)})
+    return own.withColumn("core", F.regexp_replace("stem", r"(?U)^\d+[_.]", ""))
+
+
+def told_apart(files: DataFrame, renames: DataFrame, least: float = 0.8) -> DataFrame:
+    """file_id, proposed_value of pending renames to a stem that is generic, or that another rename of the same folder
+    shares or nearly shares (ratio >= ``least``): the number prefix of the file's present name is put first.
+
+    renames: file_id, proposed_value. Each is judged on the renames as given. Names met twice after this
+    go to ``naming.resolve_collisions``.
+    """
+    own = saved(_cores(renames), "cores")
+    cores = own.groupBy("place", "core").agg(F.count("*").alias("rows"), F.min("file_id").alias("id"))
+    near = dedup.name_pairs(cores.select("id", F.col("place").alias("block"), F.col("core").alias("text")), least).select(F.col("a").alias("id")).distinct()
+    many = own.groupBy("place").agg(F.count("*").alias("all")).filter(F.col("all") >= 2).select("place")
+    vague = cores.join(near.withColumn("near", F.lit(True)), "id", "left").filter(F.col("near") | (F.col("rows") > 1) | F.col("core").isin(text.GENERIC_STEMS)).select("place", "core")
+    prefix = files.select(F.col("id").alias("file_id"), text.strict_prefix(F.col("stem")).alias("prefix")).filter("prefix IS NOT NULL")
+    odd = own.join(vague, ["place", "core"], "left_semi").join(many, "place", "left_semi").join(prefix, "file_id")
+    return odd.select("file_id", F.concat("place", F.lit("/"), "prefix", F.lit("_"), "core", "suffix").alias("proposed_value"))
+
+
+def near_duplicate_proposals(files: DataFrame, renames: DataFrame, least: float = 0.92) -> DataFrame:
+    """file_id, keep_id, similarity: pending renames into one folder with the same extension, size and nearly the same stem.
+
+    The later file of a pair (by date_modified, none first; on ties the one of lesser id) is a duplicate of the
+    other and loses its rename; of several pairs it is named in, the first by ids counts. Equal names count as pairs
+    with the least id of them, so that they aren't all compared with each other.
+    """
+    kept = files.select(F.col("id").alias("file_id"), "size_bytes", "date_modified")
+    own = _cores(renames).join(kept, "file_id").withColumns({"stem": F.lower("stem"), "suffix": F.lower("suffix")})
+    own = saved(own.select("file_id", F.struct("place", "suffix", "size_bytes").alias("block"), "stem", "date_modified"), "proposed")
+    first = own.groupBy("block", "stem").agg(F.min("file_id").alias("id"), F.min_by("date_modified", "file_id").alias("since"))
+    pairs = dedup.name_pairs(first.select("id", "block", F.col("stem").alias("text")), least).filter("a < b")
+    since = first.select("id", "since")
+    close = pairs.join(since.select(F.col("id").alias("a"), F.col("since").alias("sa")), "a").join(since.select(F.col("id").alias("b"), F.col("since").alias("sb")), "b")
+    same = own.join(first, ["block", "stem"]).filter("file_id <> id").select(F.col("id").alias("a"), F.col("file_id").alias("b"), F.lit(1.0).alias("similarity"), F.col("since").alias("sa"), F.col("date_modified").alias("sb"))
+    later = F.coalesce(F.col("sb") > F.col("sa"), F.col("sb").isNotNull() & F.col("sa").isNull())
+    told = close.unionByName(same).select("a", "b", "similarity", F.when(later, F.col("b")).otherwise(F.col("a")).alias("file_id"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("keep_id"))
+    best = F.min_by(F.struct("keep_id", "similarity"), F.struct("a", "b")).alias("best")
+    return told.groupBy("file_id").agg(best).select("file_id", "best.keep_id", "best.similarity")
+
+
 def _proposals(rows: DataFrame, target: Column, confidence: Column) -> DataFrame:
     return rows.select(F.col("id").alias("file_id"), F.col("path").alias("current_value"), target.alias("proposed_value"), confidence.cast("double").alias("confidence"))

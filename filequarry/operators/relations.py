@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filequarry.functions import text
 
+#: What a member may be in its group.
+ROLES = ["source", "export", "backup", "version", "sibling"]
+
 
 def prefix_clusters(files: DataFrame) -> DataFrame:
     """dir, prefix, n, first_id, confidence: files of a folder with the same leading number."""
@@ -24,6 +27,35 @@ def singletons(files: DataFrame, members: DataFrame) -> DataFrame:
     return files.join(members.select(F.col("file_id").alias("id")), "id", "left_anti")
 
 
+def valid_groups(responses: DataFrame, known: DataFrame) -> DataFrame:
+    """response_id, label, reason, members (filename, role) of the groups in answers of a model that hold up.
+
+    responses: response_id, groups (array of label, reason, members: array of filename, role), one answer a row.
+    known: response_id, filename of the files that were asked about. Members with other names and repeats fall out, unknown roles are
+    siblings, a file goes with the first group that holds it, groups left with fewer than two members fall
+    out and free their files. An answer is one row already, so its groups are settled in order within the row.
+    """
+    each = responses.select("response_id", F.posexplode("groups").alias("place", "g"))
+    members = each.select("response_id", "place", F.posexplode("g.members").alias("at", "m")).select("response_id", "place", "at", "m.filename", F.lower(F.coalesce("m.role", F.lit("sibling"))).alias("role"))
+    found = members.join(known.select("response_id", "filename"), ["response_id", "filename"], "left_semi")
+    role = F.when(F.col("role").isin(ROLES), F.col("role")).otherwise("sibling")
+    once = found.groupBy("response_id", "place", "filename").agg(F.min(F.struct("at", role.alias("role"))).alias("first"))
+    whole = once.groupBy("response_id", "place").agg(F.array_sort(F.collect_list(F.struct("first.at", "filename", "first.role"))).alias("members")).filter(F.size("members") >= 2)
+    answers = whole.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("place", "members"))).alias("groups"))
+
+    def settle(state: Column, group: Column) -> Column:
+        left = F.filter(group["members"], lambda m: ~F.array_contains(state["taken"], m["filename"]))
+        counts = F.size(left) >= 2
+        taken = F.when(counts, F.concat(state["taken"], F.transform(left, lambda m: m["filename"]))).otherwise(state["taken"])
+        kept = F.when(counts, F.concat(state["kept"], F.array(F.struct(group["place"].alias("place"), left.alias("members"))))).otherwise(state["kept"])
+        return F.struct(taken.alias("taken"), kept.alias("kept"))
+
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<place:int,members:array<struct<at:int,filename:string,role:string>>>>").alias("kept"))
+    settled = answers.select("response_id", F.explode(F.aggregate("groups", start, settle)["kept"]).alias("k")).select("response_id", "k.place", "k.members")
+    said = each.select("response_id", "place", text.label_slug(F.coalesce("g.label", F.lit("group"))).alias("label"), F.substring(text.stripped(F.coalesce("g.reason", F.lit(""))), 1, 500).alias("reason"))
+    return settled.join(said, ["response_id", "place"]).select("response_id", "place", "label", "reason", F.transform("members", lambda m: F.struct(m["filename"].alias("filename"), m["role"].alias("role"))).alias("members"))
+
+
 def merge_by_prefix(members: DataFrame) -> DataFrame:
     """prefix, groups, n: groups (group_id, file_id, stem) whose numbered members agree on one prefix, merged."""
     led = members.withColumn("prefix", text.loose_prefix(F.col("stem")))
