@@ -139,8 +139,9 @@ def name_pairs(rows: DataFrame, least: float) -> DataFrame:
     """a, b, similarity for rows (id, block, text) of one block, a's text first, whose ratio is ``least`` (over 2/3) or more.
 
     For short texts; both orders are compared, since the ratio isn't symmetric. Two texts of m and n characters
-    with that ratio have k >= least * (m + n) / 2 of them in common, in order, so they share k characters and, the
-    others breaking two pairs each at most, 3 k - (m + n) - 1 neighbouring pairs. Of a text's pairs, rarest in its block first,
+    with that ratio have k >= least * (m + n) / 2 of them in common, in order. Of the k - 1 pairs
+    of common characters next in order, each of the m + n - 2 k others parts one at most, so they share k characters
+    and 3 k - (m + n) - 1 neighbouring pairs. Of a text's pairs, rarest in its block first,
     only so many can be missing from a partner, and texts meet on the others alone (the first character has
     no neighbour before it). Texts so short that they may share no pair meet by single characters in the same way.
     """
