@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output
+from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -101,5 +101,32 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output)}
-ORACLE_SQL = {"op4_chat": OP4_SQL}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
+
+
+#: The rules that the contract of op11 states.
+URL_RULES = """SELECT * FROM VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)
+"""
+
+OP11_SQL = r"""
+WITH rules(r_host, r_path, r_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), cut AS (
+  SELECT row_number() OVER () AS row, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT row, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), fits AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY length(r_host || r_path) DESC NULLS LAST) AS k FROM parts
+  LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output, op11_url_filter)}
+ORACLE_SQL = {"op4_chat": OP4_SQL, "op11_url_filter": OP11_SQL}
