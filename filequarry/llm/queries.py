@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output, url_rules
+from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output, url_rules, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -128,5 +128,9 @@ SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output, op11_url_filter)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output, op11_url_filter, op13_whitening)}
 ORACLE_SQL = {"op4_chat": OP4_SQL, "op11_url_filter": OP11_SQL}
