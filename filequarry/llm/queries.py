@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output, url_rules, whitening
+from filequarry.llm import chat, decontamination, fingerprints, langid, minhash, mixing, pii, suffix_dedup, token_counts, token_output, turn_repair, url_rules, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -128,9 +128,23 @@ SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The damage that the contract of op12 states, by a checksum of conversation and turn."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20
+    role, text = shown("role"), shown("text")
+    rows = conversations.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(role).alias("role"), F.when(hit == 1, "").when(hit == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), hit.alias("hit"))
+    return rows.withColumn("copy", F.explode(F.expr("CASE hit WHEN 0 THEN array() WHEN 3 THEN array(1, 2) ELSE array(1) END"))).select("conv_id", "turn", "role", "text")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(damaged(rows), rows)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output, op11_url_filter, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_mixing, op4_chat, op5_minhash, op6_pii, op7_token_counts, op8_suffix_dedup, op9_language, op10_token_output, op11_url_filter, op12_turn_repair, op13_whitening)}
 ORACLE_SQL = {"op4_chat": OP4_SQL, "op11_url_filter": OP11_SQL}
