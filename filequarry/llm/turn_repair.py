@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -121,9 +120,10 @@ def choices(parts: DataFrame) -> DataFrame:
     """
     node = "conv_id long, node long, costs array<long>, ranks array<int>"
     levels = [written(parts.select("conv_id", F.col("block").alias("node"), "kinds", "copies").mapInArrow(_ways, node), "ways")]
-    while not levels[-1].filter("node > 0").isEmpty():
-        above = levels[-1].groupBy("conv_id", F.expr(f"node div {FAN_IN}")).applyInPandas(_combined, f"{node}, children array<long>, paths array<binary>")
-        levels.append(written(above, "ways"))
+    while not levels[-1].groupBy("conv_id").count().filter("count > 1").isEmpty():
+        below = F.sort_array(F.collect_list(F.struct("node", "costs", "ranks"))).alias("below")
+        above = levels[-1].groupBy("conv_id", F.expr(f"node div {FAN_IN}").alias("node")).agg(below)
+        levels.append(written(above.mapInArrow(_combined, f"{node}, children array<long>, paths array<binary>"), "ways"))
     chosen = levels[-1].select("conv_id", "node", F.lit(START).alias("entry"), F.lit(END).alias("leave"))
     for level in reversed(levels[1:]):
         up = chosen.select(F.col("conv_id").alias("up_id"), F.col("node").alias("up"), "entry", "leave")
@@ -320,39 +320,42 @@ def _ways(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _combined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [_one_node(below) for below in batch.column("below").to_pylist()]
+        columns = list(zip(*made)) or [()] * 4
+        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+        arrays = [batch.column("conv_id"), batch.column("node")] + [pa.array(c, t) for c, t in zip(columns, types)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "node", "costs", "ranks", "children", "paths"])
+
+
+def _one_node(below: list[dict]) -> tuple[list[int], list[int], list[int], list[bytes]]:
     """Neighbouring nodes as one: the cheapest way from place to place, first by audit among equals."""
-    group = group.sort_values("node")
-    costs = np.array(group.costs.tolist()).reshape(-1, 4, 5)
-    ranks = np.array(group.ranks.tolist()).reshape(-1, 4, 5)
-    k = len(costs)
-    total, paths, orders = [], [], []
-    for leave in range(5):
-        to_go = np.full((k, 4), _NEVER, np.int64)
-        to_go[k - 1] = costs[k - 1, :, leave]
-        for i in range(k - 2, -1, -1):
-            to_go[i] = np.minimum((costs[i, :, :4] + to_go[i + 1]).min(axis=1), _NEVER)
-        for entry in range(4):
+    k = len(below)
+    costs = np.array([b["costs"] for b in below]).reshape(k, 4, 5)
+    ranks = np.array([b["ranks"] for b in below]).reshape(k, 4, 5)
+    to_go = np.full((k, 4, 5), _NEVER, np.int64)  # from before each child and a place to each end
+    to_go[-1] = costs[-1]
+    for i in range(k - 2, -1, -1):
+        to_go[i] = np.minimum((costs[i, :, :4, None] + to_go[i + 1][None]).min(axis=1), _NEVER)
+    paths, orders = [], []
+    for entry in range(4):
+        mine = []
+        for leave in range(5):
             place, path, order = entry, [], []
             for i in range(k):
-                if to_go[i, place] >= _NEVER:
+                if to_go[i, place, leave] >= _NEVER:
                     break
-                ends = [leave] if i == k - 1 else [q for q in range(4) if costs[i, place, q] + to_go[i + 1, q] == to_go[i, place]]
+                ends = [leave] if i == k - 1 else [q for q in range(4) if costs[i, place, q] + to_go[i + 1, q, leave] == to_go[i, place, leave]]
                 q = min(ends, key=lambda q: ranks[i, place, q])
                 order.append(int(ranks[i, place, q]))
                 path.append(q)
                 place = q
-            total.append((entry, leave, int(to_go[0, entry]), bytes(path), order))
-    total.sort(key=lambda t: (t[0], t[1]))
-    for entry in range(4):
-        mine = total[entry * 5 : entry * 5 + 5]
-        by_audit = sorted(range(5), key=lambda q: mine[q][4])
+            paths.append(bytes(path))
+            mine.append(order)
+        by_audit = sorted(range(5), key=mine.__getitem__)
         orders += [by_audit.index(q) for q in range(5)]
-    paths = [t[3] for t in total]
-    one = {"conv_id": key[0], "node": key[1], "costs": [t[2] for t in total], "ranks": orders, "children": group.node.tolist(), "paths": paths}
-    out = pd.DataFrame([one])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+    return to_go[0].ravel().tolist(), orders, [b["node"] for b in below], paths
 
 
 def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
