@@ -8,8 +8,10 @@ default.
 
 Distinct pre-tokens are counted over the whole corpus and their pieces counted once. Frequent
 ones, at most ``hot`` (a fixed bound), are sent to every task, which sums their pieces on the spot;
-the rest go through a shuffled join, so neither a frequent nor a rare pre-token is dropped and no
-key of the join is hot. What a document has in hand stays out of that join. Token ids are never kept.
+the rest go through a shuffled join, in which a long one is its SHA-256. Of these, too, some may be
+common (a ruler of eighty hyphens in every text): keys with a share of the rest's occurrences are
+joined where their rows are. So neither a frequent nor a rare pre-token is dropped and no key of the
+shuffle is hot. What a document has in hand stays out of that join. Token ids are never kept.
 
 Null text counts as empty: 0 bytes, 0 tokens. Repeated rows and ids each give a row; an empty table
 gives none.
@@ -17,6 +19,7 @@ gives none.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -24,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from filequarry.llm.common import joined_batches, slices, small_batches, units_of, written
+from filequarry.llm.common import join_hot, joined_batches, slices, small_batches, units_of, written
 
 #: Frequent pre-tokens sent to each task, and the longest of them in characters.
 HOT, HOT_CHARS = 200_000, 64
@@ -128,8 +131,17 @@ def piece_counts(units: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(encode, "unit string, n long, pieces long")
 
 
+def join_key(unit: str) -> str:
+    return unit if len(unit) <= HOT_CHARS else hashlib.sha256(unit.encode()).hexdigest() + "+"
+
+
+def key_of(unit: Column) -> Column:
+    """As :func:`join_key`; a digest is longer than any unit that stands for itself."""
+    return F.when(F.length(unit) <= HOT_CHARS, unit).otherwise(F.concat(F.sha2(unit, 256), F.lit("+")))
+
+
 class Known:
-    """Of each unit met: the pieces of its frequent pre-tokens, and its other pre-tokens."""
+    """Of each unit met: the pieces of its frequent pre-tokens, and the join keys of the others."""
 
     def __init__(self, rule: Rule, pieces: dict[str, int]):
         self.rule, self.pieces = rule, pieces
@@ -148,7 +160,7 @@ class Known:
                 others = [t for t in pre if t not in self.pieces]
                 got = sum(self.pieces[t] for t in pre if t in self.pieces)
                 if others:
-                    self.rest[at] = others
+                    self.rest[at] = list(map(join_key, others))
             sure.append(got)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.sure = np.concatenate([self.sure, np.array(sure, np.int64)])
@@ -169,7 +181,8 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
         if left < 0:
             break
         least = r["step"]
-    top = short.filter(F.col("step") >= (1 << 40 if least is None else least)).select("unit", "pieces").toArrow()
+    sent = (F.length("unit") <= HOT_CHARS) & (step >= (1 << 40 if least is None else least))
+    top = pieces.filter(sent).select("unit", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), top.column("pieces").to_pylist())))
 
     def spread(batches):
@@ -199,7 +212,8 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
     kind = rows.schema["id"].dataType.simpleString()
     parts = written(rows.mapInArrow(spread, f"key long, id {kind}, n_bytes long, unit string, n long"), "frequencies")
     base = parts.filter("unit IS NULL").select("key", "id", "n_bytes", "n")
-    rest = parts.filter("unit IS NOT NULL").join(pieces.select("unit", "pieces"), "unit")
+    others = pieces.filter(~sent).select(key_of(F.col("unit")).alias("unit"), "pieces", F.col("n").alias("weight"))
+    rest = join_hot(parts.filter("unit IS NOT NULL"), others, ["unit"], "weight")
     rest = rest.groupBy("key").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     tokens = F.col("n") + F.coalesce("more", F.lit(0))
     return base.join(rest, "key", "left").select(F.col("id").alias(id_column), "n_bytes", tokens.alias("n_tokens"))
