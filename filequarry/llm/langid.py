@@ -8,7 +8,8 @@ pass labels code-switched text word by word. A text's language is the one with t
 posterior; that mean is the score.
 
 Training takes a bounded sample: at most ``PER_LANGUAGE`` texts of each language, by hash of the id
-and text, up to ``SAMPLE_WORDS`` words of each (no language is left out, however many there are), joined in stretches of different languages so that
+and text, up to ``SAMPLE_WORDS`` words of each in runs from all over it, at hashed places (no language
+is left out, however many there are), joined in stretches of different languages so that
 transitions are seen; maximum likelihood by AdaGrad. Learning never sees a held-out document.
 
 Null texts and those without a letter are ``und`` with score 0. Rows keep their number. Labels that
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from filequarry.llm.common import mix64, slices, small_batches, written
@@ -31,6 +32,8 @@ from filequarry.llm.common import mix64, slices, small_batches, written
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 PER_LANGUAGE, SAMPLE_WORDS, LEXICON = 150, 150, 2000
+#: Runs of words, one from each of so many equal parts of a sampled text.
+SAMPLE_RUNS = 5
 EPOCHS, BATCH, STEP = 6, 64, 0.2
 #: Distinct words whose scores a task remembers.
 HELD = 300_000
@@ -278,8 +281,20 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
         return Model([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     chosen = fit.join(F.broadcast(picks), key, "left_semi").dropDuplicates(key)  # per_language for each language at most
     # the sample's words, not whole texts, come to the driver
-    head = F.slice(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), 1, 2 * SAMPLE_WORDS)
-    return train([(r.words, r.lang) for r in chosen.select("id", F.array_join(head, " ").alias("words"), "lang").orderBy("id", "words").collect()])
+    words = F.array_join(sampled_words(F.split(F.btrim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " "), F.col("check")), " ")
+    return train([(r.words, r.lang) for r in chosen.select("id", words.alias("words"), "lang").orderBy("id", "words").collect()])
+
+
+def sampled_words(words: Column, seed: Column) -> Column:
+    """All ``words`` if they are few; else a run of each of ``SAMPLE_RUNS`` parts, at a place that hangs on ``seed``."""
+    n, run = F.size(words), SAMPLE_WORDS // SAMPLE_RUNS
+    part = F.floor(n / SAMPLE_RUNS).cast("int")
+
+    def one(k: int) -> Column:
+        begin = part * k + F.pmod(F.xxhash64(seed, F.lit(k)), part - run + 1).cast("int")
+        return F.slice(words, begin + 1, F.lit(run))
+
+    return F.when(n <= SAMPLE_WORDS, words).otherwise(F.concat(*map(one, range(SAMPLE_RUNS))))
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
