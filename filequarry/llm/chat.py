@@ -92,11 +92,12 @@ def shape(record: Column) -> Column:
 
 
 def fits(record: Column, m: Mapping) -> Column:
-    """Whether the record has all paths of the mapping, be their values null."""
+    """Whether the record has all paths of the mapping, be their values null; an array's keys are its
+    elements' own, so an empty array fits none."""
     if not m.turns:
         return _all(F.try_variant_get(record, p, "variant").isNotNull() for p, _ in m.fields)
-    inner = F.schema_of_variant(F.try_variant_get(record, m.turns, "variant"))
-    return _all(inner.rlike(f"^ARRAY<OBJECT<(.*, )?{k}: ") for k in (m.role, m.text))
+    rows = F.try_variant_get(record, m.turns, "array<map<string, variant>>")
+    return _all(F.exists(rows, lambda r: F.map_contains_key(r, k)) for k in (m.role, m.text))
 
 
 def _all(tests) -> Column:
@@ -105,7 +106,7 @@ def _all(tests) -> Column:
 
 def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds layout_fingerprint, layout (the mapping's name) and turns, array of struct(role, text);
-    columns of these names are replaced, all others kept."""
+    columns of these names are replaced, all others kept. An empty array of turns shows no layout, but no turns either."""
     v = F.col(record)
     print_ = F.xxhash64(shape(v))
     exact = [F.when(print_ == F.xxhash64(F.lit(m.shape)), F.lit(m.name)) for m in mappings]
@@ -122,7 +123,9 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
         return F.struct(F.coalesce(*others, role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     out = records.withColumns({"layout_fingerprint": print_, "layout": layout})
-    return out.withColumn("turns", F.coalesce(*(F.when(F.col("layout") == m.name, turns(m)) for m in mappings)))
+    none = F.array().cast("array<struct<role:string, text:string>>")
+    empty = (F.when(F.size(F.try_variant_get(v, m.turns, "array<variant>")) == 0, none) for m in mappings if m.turns)
+    return out.withColumn("turns", F.coalesce(*(F.when(F.col("layout") == m.name, turns(m)) for m in mappings), *empty))
 
 
 def rows_to_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from filequarry.llm import chat, decontamination, fingerprints, langid, mixing, queries, suffix_dedup, token_counts, token_output
+from filequarry.llm import chat, common, decontamination, fingerprints, langid, mixing, queries, suffix_dedup, token_counts, token_output
+from filequarry.operators import scratch
 from pyspark.sql import functions as F
 
 ODD = ["a", "B", "é", "İ", "ß", "Σ", ".", ",", "!", "'s", "#", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "　", "​", "́", "क़", "한", "1", "²", "×", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x00"]
@@ -47,6 +48,41 @@ def test_no_key_of_all_documents(spark):
     assert "isnotnull(unit" in plan and "isnull(unit" in plan
 
 
+def test_common_long_pre_tokens(spark, monkeypatch):
+    """A ruler of eighty hyphens in every text is joined where its rows are."""
+    from tokenizers import Tokenizer
+
+    seen = []
+    monkeypatch.setattr(token_counts, "join_hot", lambda rows, table, keys, weight: seen.append(table) or common.join_hot(rows, table, keys, weight))
+    path = queries.tokenizer("byte_bpe_50k.json")
+    texts = [f"{'-' * 80} text {i} {'=' * 90 if i % 2 else ''} {'x' * (70 + i)}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    tok = Tokenizer.from_file(path)
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    weights = [r.weight for r in seen[0].collect()]
+    rest = [w for w in weights if w * scratch.HOT_SHARE <= sum(weights)]
+    assert max(weights) >= 200 and max(rest, default=0) <= max(1, sum(weights) // scratch.HOT_SHARE)
+
+
+def test_sample_reaches_all_of_a_text(spark):
+    """Words that tell the languages apart come after the first 150."""
+    filler = " ".join(["mu"] * 400)
+    texts = [(i, f"{filler} {' '.join([w] * 400)}", lang) for i, (w, lang) in enumerate([("alpha", "en"), ("omega", "fr")] * 40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.learn(docs)).collect()}
+    assert got == {i: lang for i, _, lang in texts}
+
+
+def test_keys_of_nested_objects_and_empty_arrays(spark):
+    said = ['{"messages":[{"meta":{"a":1,"role":"q"},"content":"hi"}],"k":1}', '{"messages":[],"k":1}', '{"messages":[{"role":"user","content":"hi","meta":{"content":"no"}},{"role":null,"content":null}],"k":1}', '{"messages":["a"],"k":1}']
+    df = spark.createDataFrame(list(enumerate(said)), "id int, j string").select("id", F.parse_json("j").alias("record"))
+    got = {r.id: (r.layout, r.turns) for r in chat.canonical_turns(df).select("id", "layout", "turns").collect()}
+    assert got[0] == (None, None) and got[3] == (None, None)
+    assert got[1] == (None, [])
+    assert got[2][0] == "messages" and [tuple(t) for t in got[2][1]] == [("user", "hi"), ("", "")]
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of document"), "id").alias("text"))
     out = f"{tmp_path}/tokens"
