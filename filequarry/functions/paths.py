@@ -51,6 +51,18 @@ def folder_chain(path: Column, most: int = 4) -> Column:
     return F.slice(parts, F.greatest(F.size(parts) - most + 1, F.lit(1)), most)
 
 
+def with_ancestors(path: Column) -> Column:
+    """The folders that hold ``path``, the outermost first, and itself."""
+    parts = F.split(path, "/")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda p: p != "")
+
+
+def joined(folder: str, inner: Column) -> Column:
+    """``inner`` below ``folder``, which it is itself where ``inner`` is empty; slashes at its ends don't count."""
+    inner = F.regexp_replace(inner, "^/+|/+$", "")
+    return F.when(inner == "", F.lit(folder)).otherwise(F.concat(F.lit(folder + "/"), inner))
+
+
 def category(mime: Column, extension: Column) -> Column:
     """By extension; else by MIME type; else other."""
     known = F.create_map(*(F.lit(x) for x in chain.from_iterable((e, c) for c, es in CATEGORIES.items() for e in es)))

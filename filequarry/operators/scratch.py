@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +51,18 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) ->
     rest = table.filter(F.col(weight) * HOT_SHARE <= total)
     here = rows.join(F.broadcast(hot), keys)
     return here.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys).select(here.columns))
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... within ``keys`` (without nulls) in ``order``, which tells rows apart.
+
+    Rows are numbered within ranges of (keys, order), after the counts of the ranges before, so a key with
+    many rows lies in many tasks. A range begins amid one key at most: no more counts than ranges are sent out.
+    """
+    ranged = saved(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    here = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = saved(counts.withColumn("_before", before).filter("_before > 0").drop("_rows"), "before")
+    out = ranged.withColumn("_here", here).join(F.broadcast(before), ["_range", *keys], "left")
+    return out.withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_range", "_here", "_before")

@@ -14,11 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, uses_files: bool = True):
+def query(sql: str | None = None, uses_files: bool = True, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (f"WITH {FILES_SQL} " if uses_files else "") + sql
+            ORACLE_SQL[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{FILES_SQL} " if uses_files else "") + sql
         return f
 
     return add
@@ -493,4 +493,4 @@ def url_hierarchy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.size(F.split(path, "/")).alias("depth"))
 
 
-from filequarry.plans import answers, proposed  # noqa: E402, F401  (they register their queries here)
+from filequarry.plans import answers, proposed, reorganised  # noqa: E402, F401  (they register their queries here)
