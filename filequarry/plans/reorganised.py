@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from filequarry.operators import actions, cascades
+from filequarry.operators import actions, cascades, naming, relations
 from filequarry.plans.registry import files, query, table
 
 # ---------------------------------------------------------------- folder renames
@@ -122,3 +122,63 @@ def action_proposals(spark, sf_dir):
     done = f.filter("id % 10 = 3").select(F.col("id").alias("file_id"), F.lit("move").alias("proposal_type"), F.col("path").alias("current_value"))
     done = done.union(spark.sql("SELECT CAST(NULL AS BIGINT), 'rename_folder', '/corpus/src2/en'"))
     return actions.action_proposals(folder_actions(spark, sf_dir), f.withColumn("ai_description", F.lit(None).cast("string")), done, "/corpus")
+
+
+# ---------------------------------------------------------------- related groups
+
+SETS_SQL = """members AS (SELECT session_id, dir || '#' || (id % 60) AS group_id, id AS place, filename, ['source', 'sibling', 'export', 'backup', 'version'][CAST(id % 5 AS INT) + 1] AS role,
+    nullif(regexp_extract(stem, '^(\\d+(?:\\.\\d+)*)', 1), '') AS p FROM files),
+  sets AS (SELECT session_id, group_id, CASE WHEN length(group_id) % 2 = 0 THEN group_id END AS reason, count(*) AS n, bool_or(role = 'source') AS src, CASE WHEN count(p) >= 2 AND min(p) = max(p) THEN min(p) END AS prefix FROM members GROUP BY ALL),
+  led AS (SELECT *, CASE WHEN prefix IS NULL THEN group_id ELSE first_value(group_id) OVER w END AS main, CASE WHEN prefix IS NULL THEN 1 ELSE row_number() OVER w END AS turn FROM sets WINDOW w AS (PARTITION BY session_id, prefix ORDER BY NOT src, -n, group_id)),
+  numbers AS (SELECT session_id, main, row_number() OVER (PARTITION BY session_id ORDER BY main) AS group_no FROM led WHERE main = group_id),
+  placed AS (SELECT m.*, group_no, turn, row_number() OVER (PARTITION BY m.session_id, group_no, filename ORDER BY turn, place) AS copy FROM members m JOIN led l USING (session_id, group_id) JOIN numbers n ON n.session_id = l.session_id AND n.main = l.main)"""
+
+
+def sets(spark, sf_dir):
+    """Groups of files by folder and id, those with one number scattered over folders."""
+    f = files(spark, sf_dir).withColumn("group_id", F.concat_ws("#", "dir", (F.col("id") % 60).cast("string")))
+    role = F.element_at(F.array(*map(F.lit, ("source", "sibling", "export", "backup", "version"))), (F.col("id") % 5 + 1).cast("int"))
+    members = f.select("session_id", "group_id", F.col("id").alias("place"), "filename", role.alias("role"))
+    reason = F.when(F.length("group_id") % 2 == 0, F.col("group_id"))
+    groups = f.select("session_id", "group_id").distinct().select("session_id", "group_id", F.col("group_id").alias("label"), reason.alias("reason"), F.lit(0.7).alias("confidence"))
+    return groups, members
+
+
+@query(f""", {SETS_SQL}, told AS (SELECT session_id, main, count(*) FILTER (turn = 1 OR reason <> '') AS k, trim(string_agg(coalesce(reason, ''), ' | ' ORDER BY turn) FILTER (turn = 1 OR reason <> ''), ' |') AS whole FROM led GROUP BY 1, 2),
+  held AS (SELECT session_id, group_no, count(*) AS n FROM placed WHERE copy = 1 GROUP BY 1, 2)
+SELECT t.session_id, CAST(n.group_no AS INT) AS group_no, t.main AS group_id, t.main AS label, CASE WHEN k = 1 THEN whole ELSE whole[1:500] END AS reason, 0.7::DOUBLE AS confidence, h.n FROM told t JOIN numbers n USING (session_id, main) JOIN held h ON h.session_id = n.session_id AND h.group_no = n.group_no""")
+def merged_groups(spark, sf_dir):
+    return relations.merged_groups(*sets(spark, sf_dir))[0].withColumn("group_no", F.col("group_no").cast("int"))
+
+
+@query(f""", {SETS_SQL} SELECT session_id, CAST(group_no AS INT) AS group_no, CAST(row_number() OVER (PARTITION BY session_id, group_no ORDER BY turn, place) AS INT) AS place, filename, role FROM placed WHERE copy = 1""")
+def merged_members(spark, sf_dir):
+    return relations.merged_groups(*sets(spark, sf_dir))[1].withColumns({"group_no": F.col("group_no").cast("int"), "place": F.col("place").cast("int")})
+
+
+@query(r""", groups AS (SELECT id AS group_id, session_id, ai_confidence AS confidence, CASE id % 4 WHEN 0 THEN 'project_' || (id % 30) || '_' || (id % 7) WHEN 1 THEN 'Report_' || lang WHEN 2 THEN 'quarterlies ' || (id % 50) ELSE lang || '_untitled' END AS label FROM files WHERE status = 'analyzed'),
+  alone AS (SELECT id, session_id, regexp_extract(lower(stem), '^[0-9]+') AS number, regexp_extract(lower(stem), '(?:^|[^\pL\pN_])([a-z]{4,})(?:$|[^\pL\pN_])', 1) AS word FROM files WHERE status <> 'analyzed')
+SELECT id, a.session_id, min(group_id) AS group_id, 'sibling' AS role FROM alone a JOIN groups g ON g.session_id = a.session_id AND confidence >= 0.5
+  AND (number <> '' AND contains(lower(label), number) OR word <> '' AND starts_with(lower(label), word)) GROUP BY id, a.session_id""")
+def linked_singletons(spark, sf_dir):
+    f, k = files(spark, sf_dir), F.col("id")
+    number = lambda by: (k % by).cast("string")
+    label = F.when(k % 4 == 0, F.concat_ws("_", F.lit("project"), number(30), number(7))).when(k % 4 == 1, F.concat(F.lit("Report_"), "lang")).when(k % 4 == 2, F.concat(F.lit("quarterlies "), number(50))).otherwise(F.concat("lang", F.lit("_untitled")))
+    groups = f.filter("status = 'analyzed'").select(k.alias("group_id"), "session_id", label.alias("label"), F.col("ai_confidence").alias("confidence"))
+    return relations.link_singletons(f.filter("status <> 'analyzed'").select("id", "session_id", "stem"), groups)
+
+
+# ---------------------------------------------------------------- names in several passes
+
+
+@query(r""", tokens AS (SELECT DISTINCT unnest(regexp_extract_all(lower(stem), '[a-z]{5,}')) AS token FROM files), known AS (SELECT map(list(token), list(canonical)) AS m FROM (SELECT token, min(token) OVER (PARTITION BY length(token)) AS canonical FROM tokens)),
+  parts AS (SELECT id, dir, extension, stem, regexp_extract_all(stem, '[a-zA-Z]{5,}') AS runs, string_split_regex(stem, '[a-zA-Z]{5,}') AS gaps FROM files),
+  said AS (SELECT *, list_aggregate(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(m[lower(runs[i])], runs[i], '')), 'string_agg', '') AS new, len(list_filter(runs, lambda r: m[lower(r)] <> lower(r))) AS hits FROM parts, known)
+SELECT id AS file_id, dir || '/' || new || extension AS proposed_value FROM said WHERE hits > 0""")
+def respelled_renames(spark, sf_dir):
+    """Words of files' names as spelling of the first word of their length."""
+    f = files(spark, sf_dir)
+    tokens = naming.token_frequency(f).select("token")
+    first = tokens.groupBy(F.length("token").alias("length")).agg(F.min("token").alias("canonical"))
+    canonical = tokens.withColumn("length", F.length("token")).join(first, "length").select("token", "canonical")
+    return naming.respelled(f.select(F.col("id").alias("file_id"), F.col("path").alias("proposed_value")), canonical)
