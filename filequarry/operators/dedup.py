@@ -43,20 +43,38 @@ def sign_hash(vector: Column) -> Column:
 BAND_BITS = 16
 
 
+def classes(rows: DataFrame, *key: str) -> DataFrame:
+    """id, class: rows (id) of equal ``key`` belong to the one of least id. A key with many rows is joined where they are."""
+    sizes = saved(rows.groupBy(*key).agg(F.min("id").alias("class"), F.count("*").alias("n")), "classes")
+    return join_hot(rows.select("id", *key), sizes, list(key), "n").select("id", "class")
+
+
+def class_groups(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """anchor, member of greedy groups over rows in ``classes`` (id, class), from ``pairs`` (a, b) between classes.
+
+    Equal rows are alike and alike to the same others. The first of them is an anchor, which the rest
+    follow, or it goes to an anchor before it, and so do they.
+    """
+    groups = greedy_groups(pairs.select("a", "b")).withColumnRenamed("member", "class")
+    sizes = classes.groupBy("class").agg(F.count("*").alias("n"))
+    near = join_hot(classes, saved(sizes.join(groups, "class", "left"), "anchors"), ["class"], "n")
+    return near.select(F.coalesce("anchor", "class").alias("anchor"), F.col("id").alias("member")).filter("anchor <> member")
+
+
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """a < b, distance for hashes (id, bits as a 0/1 string) at most ``most`` apart.
+    """a < b, distance, na, nb for hashes (id, bits as a 0/1 string) at most ``most`` apart; equal hashes are one, with
+    their least id and number.
 
     Of b bands, two hashes within the distance differ in at most most / b bits on one. One side offers
     all values that half of these bits can turn the band into, the other those of the rest, so the two
-    meet in an equi-join on a value between them. Equal hashes are represented once while pairs are
-    sought and expanded after.
+    meet in an equi-join on a value between them.
     """
     count = max(1, round(bits / BAND_BITS))
     cut = [round(k * bits / count) for k in range(count + 1)]
     spans = list(zip(cut, cut[1:]))
     words = F.array(*(F.conv(F.substring("bits", s + 1, e - s), 2, 10).cast("long") for s, e in spans))
-    distinct = hashes.filter("bits IS NOT NULL").select("bits").distinct()
-    coded = saved(distinct.select("bits", words.alias("words")), "hashes")
+    distinct = hashes.filter("bits IS NOT NULL").groupBy("bits").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    coded = saved(distinct.select(words.alias("words"), "id", "n"), "hashes")
     radius = most // count
 
     def met(name: str, flips: int) -> DataFrame:
@@ -71,10 +89,9 @@ def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     close = met("x", radius - radius // 2).join(met("y", radius // 2), ["band", "value"]).filter((F.col("x") != F.col("y")) & (distance <= most))
     # either may have been the side with more flips
     close = close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().withColumn("distance", distance.cast("int"))
-    near = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(coded.select(F.col("words").alias("x"), F.col("words").alias("y"), F.lit(0).alias("distance")))
-    owned = hashes.select("id", words.alias("words"))
-    one, two = owned.select(F.col("id").alias("a"), F.col("words").alias("x")), owned.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return one.join(near, "x").join(two, "y").filter("a < b").select("a", "b", "distance")
+    one, two = (coded.select(F.col("words").alias(w), F.col("id").alias(f"i{w}"), F.col("n").alias(f"n{w}")) for w in "xy")
+    ordered = close.join(one, "x").join(two, "y").select("distance", F.struct(F.col("ix").alias("id"), F.col("nx").alias("n")).alias("p"), F.struct(F.col("iy").alias("id"), F.col("ny").alias("n")).alias("q"))
+    return ordered.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), "distance", F.least("p", "q")["n"].alias("na"), F.greatest("p", "q")["n"].alias("nb"))
 
 
 def _masks(width: int, flips: int) -> list[int]:
@@ -82,37 +99,55 @@ def _masks(width: int, flips: int) -> list[int]:
     return [sum(1 << k for k in c) for n in range(min(flips, width) + 1) for c in combinations(range(width), n)]
 
 
-def tag_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a < b, jaccard of rows (id, block, tags) of one block whose tag sets have Jaccard >= ``least``.
+def tag_sets(rows: DataFrame) -> DataFrame:
+    """``rows`` with tags as sorted sets without nulls; those without tags are left out."""
+    return rows.withColumn("tags", F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull())))).filter(F.size("tags") > 0)
+
+
+def tag_pairs(rows: DataFrame, least: float, wild: str | None = None) -> DataFrame:
+    """a < b, jaccard, na, nb of rows (id, block, tags) of one block whose tag sets have Jaccard >= ``least``; equal sets
+    of a block are one, with their least id and number. Rows of the block ``wild`` meet those of every block.
 
     Prefix filter: of each set's tags, rarest first, only so many can be missed by a partner that
     similar, so pairs meet on rare tags and the frequent ones never make candidates.
     """
-    sets = rows.select("id", "block", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags")).filter(F.size("tags") > 0)
-    tags = sets.select("block", F.explode("tags").alias("tag")).groupBy("block", "tag").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", "block", F.size("tags").alias("n"), F.explode("tags").alias("tag")).join(tags, ["block", "tag"])
+    sets = tag_sets(rows.select("id", "block", "tags")).groupBy("block", "tags").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    sets = saved(sets, "sets")
+    within = ["tag"] if wild is not None else ["block", "tag"]
+    often = sets.select("block", F.explode("tags").alias("tag")).groupBy(*within).agg(F.count("*").alias("df"))
+    ranked = sets.select("id", "block", F.size("tags").alias("n"), F.explode("tags").alias("tag")).join(often, within)
     order = Window.partitionBy("id").orderBy("df", "tag")
     prefix = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     left, right = prefix.select(F.col("id").alias("a"), "block", "tag", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "block", "tag", F.col("n").alias("nb"))
-    close = left.join(right, ["block", "tag"]).filter(f"a < b AND least(na, nb) >= {least} * greatest(na, nb)").select("a", "b").distinct()
-    full = close.join(sets.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
+    close = left.join(right, ["block", "tag"]).filter("a < b").select("a", "b", "na", "nb")
+    if wild is not None:
+        any_ = left.filter(F.col("block") == wild).drop("block").join(right.drop("block"), "tag").filter("a <> b")
+        close = close.unionByName(any_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb"))
+    close = close.filter(f"least(na, nb) >= {least} * greatest(na, nb)").select("a", "b").distinct()
+    one, two = (sets.select(F.col("id").alias(k), F.col("tags").alias(f"t{k}"), F.col("copies").alias(f"n{k}")) for k in "ab")
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return full.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least)
+    return close.join(one, "a").join(two, "b").select("a", "b", jaccard.alias("jaccard"), "na", "nb").filter(F.col("jaccard") >= least)
 
 
 def length_band_pairs(rows: DataFrame, share: float = 0.10) -> DataFrame:
-    """a < b of rows (id, block, size) of one block whose sizes differ by at most ``share`` of the larger.
+    """a < b, sa, sb, na, nb of rows (id, block, size) of one block whose sizes differ, by at most ``share`` of the larger;
+    rows of one size are one, with their least id and number.
 
     Sizes fall into geometric buckets so wide that partners lie in the same or the next one: an
     equi-join on the bucket stands for the range join.
     """
+    sized = saved(rows.filter("size > 0").groupBy("block", "size").agg(F.min("id").alias("id"), F.count("*").alias("n")), "sizes")
+    return _in_band(sized, share)
+
+
+def _in_band(sized: DataFrame, share: float) -> DataFrame:
+    """a < b, sa, sb, na, nb of rows (id, block, size, n)."""
     width = -math.log(1 - share)
-    own = F.floor(F.log(F.col("size").cast("double")) / width)
-    sized = rows.filter("size > 0").withColumn("bucket", own)
-    left = sized.select(F.col("id").alias("a"), "block", F.col("size").alias("sa"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    right = sized.select(F.col("id").alias("b"), "block", F.col("size").alias("sb"), "bucket")
+    sized = sized.withColumn("bucket", F.floor(F.log(F.col("size").cast("double")) / width))
+    left = sized.select(F.col("id").alias("a"), "block", F.col("size").alias("sa"), F.col("n").alias("na"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    right = sized.select(F.col("id").alias("b"), "block", F.col("size").alias("sb"), F.col("n").alias("nb"), "bucket")
     near = F.abs(F.col("sa") - F.col("sb")) <= share * F.greatest("sa", "sb")
-    return left.join(right, ["block", "bucket"]).filter((F.col("a") < F.col("b")) & near).select("a", "b", "sa", "sb")
+    return left.join(right, ["block", "bucket"]).filter((F.col("a") < F.col("b")) & near).select("a", "b", "sa", "sb", "na", "nb")
 
 
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -127,12 +162,33 @@ def quick_ratio(a: Column, b: Column) -> Column:
     return 2.0 * F.aggregate(times, F.lit(0), lambda s, x: s + x) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
+def character_counts(text: Column) -> Column:
+    """How often each character comes, as a map."""
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.map_from_arrays(chars, F.transform(chars, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+
+
 def text_near_pairs(rows: DataFrame, least: float = 0.90, share: float = 0.10) -> DataFrame:
-    """a < b, similarity for rows (id, block, text) of one block with ratio >= ``least``."""
+    """a < b, similarity, na, nb for rows (id, block, text) of one block with ratio >= ``least``, the first text first;
+    equal texts are one, with their least id and number.
+
+    Characters are counted once a text; whole texts meet only where these counts allow the ratio.
+    """
     score = F.pandas_udf(ratio, "double")
-    pairs = length_band_pairs(rows.select("id", "block", F.length("text").alias("size")), share).select("a", "b")
-    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(rows.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.filter(quick_ratio(F.col("ta"), F.col("tb")) >= least).withColumn("similarity", score("ta", "tb")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    whole = rows.filter("text <> ''").groupBy("block", F.sha2("text", 256).alias("digest")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"), F.count("*").alias("n"))
+    whole = saved(whole.select("id", "block", "text", "n", F.length("text").alias("size"), character_counts(F.col("text")).alias("chars")), "texts")
+    pairs = _in_band(whole.select("id", "block", "size", "n"), share)
+    counts = [whole.select(F.col("id").alias(k), F.col("chars").alias(f"c{k}")) for k in "ab"]
+    both = F.aggregate(F.map_entries("ca"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("cb", e["key"]), F.lit(0))))
+    able = pairs.join(counts[0], "a").join(counts[1], "b").filter(2.0 * both / (F.col("sa") + F.col("sb")) >= least).select("a", "b", "na", "nb")
+    texts = [whole.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab"]
+    return able.join(texts[0], "a").join(texts[1], "b").withColumn("similarity", score("ta", "tb")).filter(F.col("similarity") >= least).select("a", "b", "similarity", "na", "nb")
+
+
+def text_near_groups(rows: DataFrame, least: float = 0.90, share: float = 0.10) -> DataFrame:
+    """anchor, member of greedy groups of rows (id, block, text) by :func:`text_near_pairs`."""
+    own = rows.filter("text <> ''")
+    return class_groups(classes(own.withColumn("digest", F.sha2("text", 256)), "block", "digest"), text_near_pairs(own, least, share))
 
 
 def name_pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -179,19 +235,39 @@ def name_pairs(rows: DataFrame, least: float) -> DataFrame:
     return full.filter(quick_ratio(F.col("ta"), F.col("tb")) >= least - 1e-9).withColumn("similarity", score("ta", "tb")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """id, family, description, tags in lower case, tags as sorted sets; rows without tags are left out."""
+    return tag_sets(rows.select("id", "family", F.lower(F.coalesce("description", F.lit(""))).alias("description"), F.transform("tags", F.lower).alias("tags")))
+
+
 def semantic_pairs(rows: DataFrame, least: float = 0.55) -> DataFrame:
-    """a < b, similarity for rows (id, family, description, tags): 0.4 ratio + 0.6 tag Jaccard >= ``least``.
+    """a < b, similarity, na, nb for rows (id, family, description, tags): 0.4 ratio + 0.6 tag Jaccard >= ``least``; rows
+    with equal family, description and tags are one, with their least id and number.
 
     The ratio adds at most 0.4, so pairs need a tag Jaccard of (least - 0.4) / 0.6 at least and
-    come from the tag join; a blank family matches every family.
+    come from the tag join; a blank family matches every family. ``least`` is at most 0.6, so equal tags are enough.
     """
+    if not 0.4 < least <= 0.6:
+        raise ValueError("least lies above 0.4 and is 0.6 at most")
     score = F.pandas_udf(ratio, "double")
-    tags = rows.select("id", F.lit(0).alias("block"), F.transform("tags", F.lower).alias("tags"))
-    pairs = tag_pairs(tags, (least - 0.4) / 0.6)
-    side = [rows.select(F.col("id").alias(k), F.col("family").alias("f" + k), F.lower(F.coalesce("description", F.lit(""))).alias("d" + k)) for k in "ab"]
-    full = pairs.join(side[0], "a").join(side[1], "b").filter("fa = fb OR fa = '' OR fb = ''")
+    whole = saved(described(rows).groupBy("family", "description", "tags").agg(F.min("id").alias("id"), F.count("*").alias("n")), "described")
+    sets = tag_pairs(whole.select("id", F.col("family").alias("block"), "tags"), (least - 0.4) / 0.6 - 1e-9, wild="").select("a", "b", "jaccard")
+    # pairs of sets stand for those of all that have them, and what has one set is alike in tags
+    own = saved(classes(whole.withColumn("block", F.col("family")), "block", "tags").join(whole.drop("tags"), "id"), "members")
+    same = own.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    both = sets.unionByName(same)
+    side = [own.select(F.col("class").alias(k), F.col("id").alias(f"i{k}"), F.col("description").alias(f"d{k}"), F.col("n").alias(f"n{k}")) for k in "ab"]
+    full = both.join(side[0], "a").join(side[1], "b").filter("a <> b OR ia < ib")
+    # the ratio isn't symmetric: the first text is that of the lesser id
+    full = full.select("jaccard", *(F.when(F.col("ia") < F.col("ib"), F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for c in "idn" for x, y in ("ab", "ba")))
     text = F.when((F.col("da") == "") | (F.col("db") == ""), 0.0).otherwise(score("da", "db"))
-    return full.withColumn("similarity", 0.4 * text + 0.6 * F.col("jaccard")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    close = full.withColumn("similarity", 0.4 * text + 0.6 * F.col("jaccard")).filter(F.col("similarity") >= least)
+    return close.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "similarity", "na", "nb")
+
+
+def semantic_groups(rows: DataFrame, least: float = 0.55) -> DataFrame:
+    """anchor, member of greedy groups by :func:`semantic_pairs`."""
+    return class_groups(classes(described(rows), "family", "description", "tags"), semantic_pairs(rows, least))
 
 
 def greedy_groups(pairs: DataFrame) -> DataFrame:

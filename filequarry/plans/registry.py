@@ -70,17 +70,18 @@ def dup_proposals(spark, sf_dir):
 SIGNS_SQL = "signs AS (SELECT vec_id AS id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM embeddings)"
 #: The vectors at hand have no pairs within the usual 8 bits; 16 shows some.
 SIGN_BITS = 16
-PAIRS_SQL = f"SELECT x.id AS a, y.id AS b, CAST(hamming(x.bits, y.bits) AS INT) AS distance FROM signs x JOIN signs y ON x.id < y.id AND hamming(x.bits, y.bits) <= {SIGN_BITS}"
+CLASSES_SQL = "classes AS (SELECT min(id) AS id, bits, count(*) AS n FROM signs GROUP BY bits)"
+PAIRS_SQL = f"SELECT x.id AS a, y.id AS b, CAST(hamming(x.bits, y.bits) AS INT) AS distance, x.n AS na, y.n AS nb FROM classes x JOIN classes y ON x.id < y.id AND hamming(x.bits, y.bits) <= {SIGN_BITS}"
 
 
-def sign_pairs(spark, sf_dir):
-    signs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), dedup.sign_hash(F.col("embedding")).alias("bits"))
-    return dedup.hamming_pairs(signs, SIGN_BITS)
+def signs(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), dedup.sign_hash(F.col("embedding")).alias("bits"))
 
 
-@query(f"WITH {SIGNS_SQL} {PAIRS_SQL}", uses_files=False)
+@query(f"WITH {SIGNS_SQL}, {CLASSES_SQL} {PAIRS_SQL}", uses_files=False)
 def near_hamming_pairs(spark, sf_dir):
-    return sign_pairs(spark, sf_dir)
+    """Between different hashes, each with its least id and how many rows have it."""
+    return dedup.hamming_pairs(signs(spark, sf_dir), SIGN_BITS)
 
 
 GREEDY_SQL = """
@@ -92,36 +93,39 @@ found AS (SELECT unnest(anchors) AS anchor FROM (SELECT anchors FROM step ORDER
 SELECT min(anchor) AS anchor, e.b AS member FROM edges e JOIN found ON found.anchor = e.a WHERE e.b NOT IN (SELECT anchor FROM found) GROUP BY e.b"""
 
 
-@query(f"WITH RECURSIVE {SIGNS_SQL}, edges AS ({PAIRS_SQL}), {GREEDY_SQL}", uses_files=False)
+@query(f"WITH RECURSIVE {SIGNS_SQL}, edges AS (SELECT x.id AS a, y.id AS b FROM signs x JOIN signs y ON x.id < y.id AND hamming(x.bits, y.bits) <= {SIGN_BITS}), {GREEDY_SQL}", uses_files=False)
 def near_hamming_groups(spark, sf_dir):
-    return dedup.greedy_groups(sign_pairs(spark, sf_dir))
+    own = signs(spark, sf_dir).filter("bits IS NOT NULL")
+    return dedup.class_groups(dedup.classes(own, "bits"), dedup.hamming_pairs(own, SIGN_BITS))
 
 
 @query("""
-SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS jaccard
-FROM (SELECT *, list_distinct(ai_tags) AS t FROM files) a JOIN (SELECT *, list_distinct(ai_tags) AS t FROM files) b ON a.dir = b.dir AND a.id < b.id
+, sets AS (SELECT dir, list_sort(list_distinct(ai_tags)) AS t, min(id) AS id, count(*) AS n FROM files WHERE len(ai_tags) > 0 GROUP BY 1, 2)
+SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS jaccard, a.n AS na, b.n AS nb FROM sets a JOIN sets b ON a.dir = b.dir AND a.id < b.id
 WHERE len(list_intersect(a.t, b.t)) * 2 >= len(list_distinct(list_concat(a.t, b.t)))""")
 def tag_jaccard_pairs(spark, sf_dir):
+    """Between different sets of tags of a folder, each with its least id and how many files have it."""
     return dedup.tag_pairs(files(spark, sf_dir).select("id", F.col("dir").alias("block"), F.col("ai_tags").alias("tags")), 0.5)
 
 
 @query("""
-SELECT a.id AS a, b.id AS b, a.size_bytes AS sa, b.size_bytes AS sb FROM files a JOIN files b ON a.dir = b.dir AND a.id < b.id
-WHERE abs(a.size_bytes - b.size_bytes) <= 0.1 * greatest(a.size_bytes, b.size_bytes)""")
+, sizes AS (SELECT dir, size_bytes AS s, min(id) AS id, count(*) AS n FROM files WHERE size_bytes > 0 GROUP BY 1, 2)
+SELECT a.id AS a, b.id AS b, a.s AS sa, b.s AS sb, a.n AS na, b.n AS nb FROM sizes a JOIN sizes b ON a.dir = b.dir AND a.id < b.id WHERE abs(a.s - b.s) <= 0.1 * greatest(a.s, b.s)""")
 def text_len_band_pairs(spark, sf_dir):
+    """Between different sizes in a folder, each with its least id and how many files have it."""
     return dedup.length_band_pairs(files(spark, sf_dir).select("id", F.col("dir").alias("block"), F.col("size_bytes").alias("size")))
 
 
 @query()
 def text_near_groups(spark, sf_dir):
     rows = files(spark, sf_dir).filter("size_bytes > 0 AND size_bytes <= 200000").select("id", F.col("dir").alias("block"), "text")
-    return dedup.greedy_groups(dedup.text_near_pairs(rows))
+    return dedup.text_near_groups(rows)
 
 
 @query()
 def semantic_groups(spark, sf_dir):
     rows = files(spark, sf_dir).filter("status = 'analyzed'").select("id", F.substring_index("mime_type", "/", 1).alias("family"), F.concat_ws(" ", "ai_tags").alias("description"), F.col("ai_tags").alias("tags"))
-    return dedup.greedy_groups(dedup.semantic_pairs(rows))
+    return dedup.semantic_groups(rows)
 
 
 # ---------------------------------------------------------------- reads
@@ -407,7 +411,11 @@ def folder_names(spark, sf_dir):
     return p.select("p_partkey", text.label_slug(F.col("p_type")).alias("label"), text.folder_name(F.col("p_name")).alias("folder"), text.generic_folder(odd).alias("generic"), text.tokens(F.col("p_name")).alias("tokens"))
 
 
-@query("""SELECT id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes % 1024 = 0 THEN (size_bytes // 1024) || ' KB' ELSE format('{:.1f} KB', size_bytes / 1024.0::DOUBLE) END AS shown FROM files WHERE size_bytes < 1048576""")
+SHOWN = "CASE WHEN size_bytes % {d} = 0 THEN (size_bytes // {d}) || ' {u}' ELSE format('{{:.1f}} {u}', size_bytes / {d}.0::DOUBLE) END"
+SHOWN_SQL = "CASE " + " ".join(f"WHEN size_bytes < {1 << 10 * (k + 1)} THEN " + SHOWN.format(d=1 << 10 * k, u=u) for k, u in enumerate(("B", "KB", "MB", "GB"))) + " ELSE " + SHOWN.format(d=1 << 40, u="TB") + " END"
+
+
+@query(f"SELECT id, {SHOWN_SQL} AS shown FROM files")
 def human_size(spark, sf_dir):
     return files(spark, sf_dir).select("id", text.human_size(F.col("size_bytes")).alias("shown"))
 
@@ -419,14 +427,6 @@ def path_parts(spark, sf_dir):
     return files(spark, sf_dir).select("id", "path", paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.suffix(p).alias("suffix"), paths.stem(p).alias("stem"), paths.folder_chain(p, 2).alias("chain"))
 
 
-@query("""SELECT dir, base, sep, count(*) AS n, min(num) AS lowest, max(num) AS highest, CAST(1 AS INT) AS width FROM (
-  SELECT id, dir, CASE id % 8 WHEN 1 THEN 'notes' WHEN 5 THEN 'report_' || lang || '_report' WHEN 6 THEN 'doc' WHEN 2 THEN 'Untitled' WHEN 7 THEN 'Quarterly   Budget #' END AS base,
-    CASE id % 8 WHEN 1 THEN '_' WHEN 5 THEN '_' WHEN 6 THEN '-' WHEN 2 THEN ' ' ELSE '' END AS sep,
-    CASE id % 8 WHEN 1 THEN id % 50 WHEN 5 THEN id % 9 WHEN 6 THEN id % 100 WHEN 2 THEN id % 7 ELSE id % 13 END AS num FROM files WHERE id % 8 IN (1, 2, 5, 6, 7)) GROUP BY dir, base, sep HAVING count(*) >= 2""")
-def sequence_detect(spark, sf_dir):
-    return naming.sequences(files(spark, sf_dir).filter("id % 8 IN (1, 2, 5, 6, 7)"))
-
-
 SERIES_SQL = ", found AS (" + " UNION ALL ".join(
     f"SELECT id, dir, {k} AS k, '{sep}' AS sep, trim(regexp_extract(stem, '{p}', 1)) AS base, regexp_extract(stem, '{p}', 2) AS digits FROM files"
     for k, (sep, p) in enumerate((("_", r"^(.+?)_(\d+)$"), ("-", r"^(.+?)-(\d+)$"), (" ", r"^(.+?)\s(\d+)$"), ("", r"^(.+?)(\d+)$")))
@@ -437,11 +437,16 @@ SELECT dir, base, sep, count(*) AS n, min(CAST(digits AS BIGINT)) AS lowest, max
 
 
 @query(SERIES_SQL)
-def sequence_detect_all(spark, sf_dir):
-    """Series of all files; ``sequence_detect`` is held to SQL that leaves three eighths of them out."""
+def sequence_detect(spark, sf_dir):
     return naming.sequences(files(spark, sf_dir))
 
 
+@query(SERIES_SQL)
+def sequence_detect_all(spark, sf_dir):
+    """The same by its earlier name."""
+    return sequence_detect(spark, sf_dir)
+
+
 @query("""SELECT f.id, p.primary_id FROM files f JOIN (SELECT dir, lower(stem) AS s, min(id) AS primary_id FROM files WHERE status = 'analyzed' GROUP BY 1, 2) p
 ON p.dir = f.dir AND p.s = lower(f.stem) WHERE f.id <> p.primary_id""")
 def stem_companions(spark, sf_dir):
