@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from filequarry.operators import actions, cascades, naming, relations
+from filequarry.operators import actions, cascades, naming, passes, relations
+from filequarry.plans.proposed import described, groups
 from filequarry.plans.registry import files, query, table
 
 # ---------------------------------------------------------------- folder renames
@@ -182,3 +183,20 @@ def respelled_renames(spark, sf_dir):
     first = tokens.groupBy(F.length("token").alias("length")).agg(F.min("token").alias("canonical"))
     canonical = tokens.withColumn("length", F.length("token")).join(first, "length").select("token", "canonical")
     return naming.respelled(f.select(F.col("id").alias("file_id"), F.col("path").alias("proposed_value")), canonical)
+
+
+def composed_renames(spark, sf_dir):
+    f = described(spark, sf_dir)
+    return f, passes.compose(f, passes.rename_passes("/corpus", groups(spark, sf_dir)), f.filter("id % 11 = 3").select(F.col("id").alias("file_id")))
+
+
+@query()
+def final_renames(spark, sf_dir):
+    """From files to the names they end with, by all passes."""
+    f, done = composed_renames(spark, sf_dir)
+    return passes.without_collisions(done.proposals, f)
+
+
+@query()
+def rename_outcomes(spark, sf_dir):
+    return composed_renames(spark, sf_dir)[1].outcomes
