@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from filequarry.functions import paths
 from filequarry.operators.proposing import numbered
+from filequarry.operators.scratch import ranked
 
 
 def selected(proposals: DataFrame, least: float = 0.7, with_modified: bool = True) -> DataFrame:
@@ -31,14 +32,6 @@ def validity(proposals: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("outcome", outcome).drop("has_source", "has_target")
 
 
-def cascade_folder_renames(files: DataFrame, renames: list[tuple[str, str]]) -> DataFrame:
-    """Paths after folder renames, applied in the order given (they are few)."""
-    path = F.col("path")
-    for old, new in renames:
-        path = F.when(path.startswith(old + "/"), F.concat(F.lit(new), F.substring(path, F.lit(len(old) + 1), F.length(path)))).otherwise(path)
-    return files.withColumn("path", path)
-
-
 def moves_after_renames(moves: DataFrame, renames: DataFrame) -> DataFrame:
     """``moves`` (file_id, current_value, proposed_value) as they read once ``renames`` (id and the same
     columns) have run: a renamed file is moved from its new path, under its new name. The first
@@ -73,10 +66,14 @@ def last_batch(log: DataFrame, key: str = "user_id", gap: int = 300) -> DataFram
 
 
 def undo_plan(log: DataFrame) -> DataFrame:
-    """Adds action and step: the log backwards; moves and renames back, trash restored, others skipped."""
+    """Adds action and step: the log backwards; moves and renames back, trash restored, others skipped.
+
+    step counts down in time, so the order survives a write; entries of one instant go by id, the last first.
+    """
     op = F.upper("operation")
     action = F.when(op.isin("MOVE", "RENAME"), "move_back").when(op.isin("DELETE", "TRASH"), "restore").when(op == "RENAME_FOLDER", "rename_folder_back").otherwise("skip")
-    return log.withColumn("action", action).orderBy(F.desc("ts"), F.desc("id"))
+    numbered_ = ranked(log.withColumns({"action": action, "_one": F.lit(1)}), ["_one"], [F.desc("ts"), F.desc("id")], "step")
+    return numbered_.drop("_one").orderBy("step")
 
 
 def without_stale(proposals: DataFrame, session_id: str) -> DataFrame:
@@ -111,9 +108,9 @@ def emptied_folders(sources: DataFrame, remaining: DataFrame, levels: int = 6) -
     return lineage(sources, levels).join(lineage(remaining, None).select("dir"), "dir", "left_anti").orderBy(F.desc("depth"), "dir")
 
 
-def trash_plan(files: DataFrame, root: str) -> DataFrame:
-    """file_id, current_value, proposed_value of files put into the root's trash folder; names met again are counted up."""
-    own = files.select(F.col("id").alias("file_id"), F.col("path").alias("current_value"), F.lit(f"{root}/.ddh_trash").alias("place"), "filename")
+def trash_plan(files: DataFrame, root: str, folder: str = ".trash") -> DataFrame:
+    """file_id, current_value, proposed_value of files put into the root's trash ``folder``; names met again are counted up."""
+    own = files.select(F.col("id").alias("file_id"), F.col("path").alias("current_value"), F.lit(f"{root}/{folder}").alias("place"), "filename")
     out = numbered(own, "place", "filename", ["file_id"], first=1)
     return out.select("file_id", "current_value", F.concat_ws("/", "place", "filename").alias("proposed_value"))
 

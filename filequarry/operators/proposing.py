@@ -178,14 +178,14 @@ def garbled_folders(files: DataFrame, root: str, renamed: DataFrame) -> DataFram
     return _proposals(fresh, F.concat(paths.parent(F.col("path")), F.lit("/"), "clean"), F.lit(0.75))
 
 
-def nonlatin_folders(files: DataFrame, root: str, renamed: DataFrame) -> DataFrame:
+def nonlatin_folders(files: DataFrame, root: str, renamed: DataFrame, trash: str = ".trash") -> DataFrame:
     """Renames of folders below ``root`` whose names hold anything but ASCII letters and digits: after the tags of
     their files, else transliterated (both 0.6), else non_latin_folder_<n>, counted in order of their paths (0.5).
 
     renamed: current_value of folders with a rename already, in any case. Hidden folders, those beginning with an
-    underscore and what lies in the trash stay.
+    underscore and what lies in the ``trash`` folder stay.
     """
-    odd = F.col("name").rlike("[^a-zA-Z0-9]") & F.col("name").rlike(r"[a-zA-Z0-9]|[^\x00-\x7f]") & ~F.col("name").rlike("^[._]") & ~F.col("path").contains("/.ddh_trash/")
+    odd = F.col("name").rlike("[^a-zA-Z0-9]") & F.col("name").rlike(r"[a-zA-Z0-9]|[^\x00-\x7f]") & ~F.col("name").rlike("^[._]") & ~F.col("path").contains(f"/{trash}/")
     known = renamed.select(F.lower(F.regexp_replace("current_value", r"[/\\]+$", "")).alias("key")).distinct()
     own = _folders(files, root).filter(odd).withColumn("key", F.lower("path")).join(known, "key", "left_anti")
     tagged = folder_names_from_tags(files, root=root).select(F.col("dir").alias("path"), F.col("name").alias("tagged"))

@@ -193,7 +193,7 @@ def emptied_folders(spark, sf_dir):
     return execution.emptied_folders(f.filter(gone), f.filter(~gone))
 
 
-@query("SELECT id AS file_id, path AS current_value, '/corpus/.ddh_trash/' || CASE WHEN k = 1 THEN filename ELSE stem || '_' || (k - 1) || extension END AS proposed_value FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS k FROM files WHERE id % 8 IN (4, 7))")
+@query("SELECT id AS file_id, path AS current_value, '/corpus/.trash/' || CASE WHEN k = 1 THEN filename ELSE stem || '_' || (k - 1) || extension END AS proposed_value FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS k FROM files WHERE id % 8 IN (4, 7))")
 def trash_plan(spark, sf_dir):
     return execution.trash_plan(files(spark, sf_dir).filter("stem LIKE 'My Report%' OR stem LIKE 'Quarterly%'"), "/corpus")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filequarry.functions import paths, text
 from filequarry.operators import dedup, execution, folders, naming, reads, relations
+from filequarry.sources import scan
 from filequarry.sources.catalog import FILES_SQL, files, table, with_best_date
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,22 @@ def dup_proposals(spark, sf_dir):
     return dedup.duplicate_proposals(members, marked)
 
 
+@query(f"""SELECT g.hash_md5 AS group_hash, coalesce(o.keep_id, g.keep_id) AS keep_file_id, count(*) AS members, CAST(count(*) FILTER (o.hash_md5 IS NOT NULL AND f.id % 3 <> 0) AS BIGINT) AS known FROM ({EXACT_SQL}) g
+LEFT JOIN (SELECT hash_md5, CASE WHEN min(id) % 2 = 0 THEN max(id) END AS keep_id FROM files WHERE id % 3 <> 0 GROUP BY hash_md5 HAVING count(*) > 1) o ON o.hash_md5 = g.hash_md5 JOIN files f ON f.hash_md5 = g.hash_md5 GROUP BY ALL""")
+def dup_upsert(spark, sf_dir):
+    """Groups known from two thirds of the files, half of them with a keeper, brought up to date with those of all."""
+    f = dated(spark, sf_dir)
+    kind = F.lit("exact").alias("dupe_type")
+    seen = f.filter("id % 3 <> 0").groupBy("hash_md5").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
+    old = seen.select(kind, F.col("hash_md5").alias("group_hash"), F.when(F.col("lo") % 2 == 0, F.col("hi")).alias("keep_file_id"))
+    new = dedup.exact_groups(f).select(kind, F.col("hash_md5").alias("group_hash"), F.col("keep_id").alias("keep_file_id"))
+    members = dedup.exact_members(f).select(kind, F.col("hash_md5").alias("group_hash"), "file_id", "similarity")
+    before = members.filter("file_id % 3 <> 0").join(old.select("group_hash"), "group_hash", "left_semi").withColumn("similarity", F.lit(0.5))
+    known = scan.upsert_members(before, members)
+    sizes = known.groupBy("group_hash").agg(F.count("*").alias("members"), F.count_if(F.col("similarity") == 0.5).alias("known"))
+    return scan.upsert_groups(old, new).join(sizes, "group_hash").select("group_hash", "keep_file_id", "members", "known")
+
+
 SIGNS_SQL = "signs AS (SELECT vec_id AS id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM embeddings)"
 #: The vectors at hand have no pairs within the usual 8 bits; 16 shows some.
 SIGN_BITS = 16

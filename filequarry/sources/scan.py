@@ -147,8 +147,8 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def keep_last(log: DataFrame, n: int) -> DataFrame:
-    """The last n entries."""
-    return log.orderBy(F.desc("ts")).limit(n)
+    """The last n entries, by time, then by what they hold."""
+    return log.orderBy(F.desc("ts"), F.desc(F.to_json(F.struct(*log.columns)))).limit(n)
 
 
 def upsert_groups(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -156,3 +156,9 @@ def upsert_groups(old: DataFrame, new: DataFrame) -> DataFrame:
     n = new.withColumnRenamed("keep_file_id", "fresh")
     both = old.join(n, ["dupe_type", "group_hash"], "full_outer")
     return both.select("dupe_type", "group_hash", F.coalesce("keep_file_id", "fresh").alias("keep_file_id"))
+
+
+def upsert_members(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Members (dupe_type, group_hash, file_id, similarity): those there are and the new ones, each once, the old similarity first."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("dupe_type", "group_hash", "file_id").agg(F.min_by("similarity", "_new").alias("similarity"))

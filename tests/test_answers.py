@@ -164,7 +164,7 @@ def test_likeness_equals_plain_count(spark):
 
 
 def test_folders_of_other_scripts(spark):
-    dirs = ["/r/漢字", "/r/.漢", "/r/_x y", "/r/--", "/r/done 1", "/r/a/漢字漢", "/r/.ddh_trash/b c", "/r/plain", "/other/x y", "/r/קב 1"]
+    dirs = ["/r/漢字", "/r/.漢", "/r/_x y", "/r/--", "/r/done 1", "/r/a/漢字漢", "/r/.trash/b c", "/r/plain", "/other/x y", "/r/קב 1"]
     files = spark.createDataFrame([(i, d, ["Sea side"] if d == "/r/a/漢字漢" else None) for i, d in enumerate(dirs)], "id long, dir string, ai_tags array<string>")
     done = spark.createDataFrame([("/R/DONE 1/",)], "current_value string")
     got = {r.current_value: (r.proposed_value, r.confidence) for r in proposing.nonlatin_folders(files, "/r", done).collect()}
