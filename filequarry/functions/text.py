@@ -69,6 +69,14 @@ TIMED = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".he
 DATED = [".pdf", ".docx", ".doc", ".odt", ".xlsx", ".xls", ".pptx", ".ppt", ".txt", ".md", ".rtf"]
 STRICT_PREFIX = r"(?U)^(\d+(?:[._]\d+)*)[\s_.\-]"
 LOOSE_PREFIX = r"^(\d+(?:\.\d+)*)"
+# Tags that say nothing.
+UNTELLING_TAGS = [
+    "file", "files", "document", "documents", "image", "images", "photo", "photos",
+    "picture", "pictures", "media", "content", "data", "stuff", "thing", "object",
+    "item", "items", "misc", "other", "unknown", "n_a", "na", "none", "general",
+    "various", "untitled", "default", "test", "sample",
+    "photo_object", "photo_place", "photo_scene", "image_file", "picture_file",
+]
 # End of fixed values.
 
 
@@ -180,12 +188,25 @@ def human_size(size: Column) -> Column:
     return out
 
 
-def clean_tags(tags: Column, place: Column, most: int = 15) -> Column:
-    """Trimmed lower-case tags of 3 to 40 characters, without repeats or what the folder's name says."""
-    said = F.filter(F.split(F.lower(place), r"(?U)[\s_\-.]+"), lambda t: F.length(t) >= 4)
-    low = F.transform(tags, lambda t: F.lower(_sub(t, r"^\s+|\s+$", "")))
-    good = F.filter(low, lambda t: (F.length(t) >= 3) & (F.length(t) <= 40) & ~F.exists(said, lambda p: t.contains(p) | p.contains(t)))
-    return F.slice(F.array_distinct(good), 1, most)
+def clean_tags(tags: Column, filename: Column, folder: Column, most: int = 15) -> Column:
+    """Trimmed tags, as they are written, of 40 characters at most, that say something: not generic, of three letters or more,
+    not what a word of four letters or more of the file's or folder's name says, in it or around it. Of tags that differ in
+    case or spaces the first stays. Null tags fall out."""
+    separators = r"(?U)[\s_\-.]+"
+    name = F.regexp_replace(F.coalesce(filename, F.lit("")), r"^(.+)\.[^.]+$", "$1")
+    said = F.filter(F.concat(F.split(F.lower(name), separators), F.split(F.lower(F.coalesce(folder, F.lit(""))), separators)), lambda t: F.length(t) >= 4)
+
+    def plain(tag: Column) -> Column:
+        return F.regexp_replace(F.lower(tag), r"(?U)\s+", "_")
+
+    def telling(tag: Column) -> Column:
+        echo = F.exists(said, lambda t: plain(tag).contains(t) | t.contains(plain(tag)))
+        return (F.length(tag) <= 40) & (F.length(plain(tag)) >= 3) & ~plain(tag).isin(UNTELLING_TAGS) & ~echo
+
+    trimmed = F.transform(F.filter(tags, lambda t: t.isNotNull()), lambda t: _sub(t, r"^\s+|\s+$", ""))
+    kept = F.filter(trimmed, telling)
+    first = F.filter(kept, lambda t, k: ~F.exists(F.slice(kept, F.lit(1), k), lambda u: plain(u) == plain(t)))
+    return F.slice(first, 1, most)
 
 
 def content_type(extension: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filequarry.functions import paths
+from filequarry.operators.scratch import ranked
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -108,9 +109,9 @@ def siblings(files: DataFrame, most: int = 7) -> DataFrame:
 
 
 def chunks(files: DataFrame, size: int = 100) -> DataFrame:
-    """Adds chunk: each folder's files by id in chunks of ``size``."""
-    place = F.row_number().over(Window.partitionBy("dir").orderBy("id"))
-    return files.withColumn("chunk", F.floor((place - 1) / size).cast("int"))
+    """Adds chunk: each folder's files by id in chunks of ``size``; a folder with many files is numbered in ranges."""
+    placed = ranked(files, ["dir"], ["id"], "place")
+    return placed.withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("int")).drop("place")
 
 
 def first_of_folder(files: DataFrame, most: int) -> DataFrame:

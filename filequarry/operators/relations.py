@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from filequarry.functions import paths, text
 from filequarry.operators.scratch import join_hot, ranked, saved
@@ -19,8 +19,9 @@ def prefix_clusters(files: DataFrame) -> DataFrame:
 
 def unique_labels(groups: DataFrame) -> DataFrame:
     """group_id, label: the second and later uses of a label in a session get _2, _3 ..."""
-    k = F.row_number().over(Window.partitionBy("session_id", "label").orderBy("group_id"))
-    return groups.select("group_id", "session_id", F.when(k > 1, F.concat_ws("_", "label", k)).otherwise(F.col("label")).alias("label"))
+    k = F.col("k")
+    numbered = ranked(groups.select("group_id", "session_id", "label"), ["session_id", "label"], ["group_id"], "k")
+    return numbered.select("group_id", "session_id", F.when(k > 1, F.concat_ws("_", "label", k)).otherwise(F.col("label")).alias("label"))
 
 
 def singletons(files: DataFrame, members: DataFrame) -> DataFrame:

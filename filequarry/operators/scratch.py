@@ -54,7 +54,7 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) ->
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """``rows`` with ``name``: 1, 2, ... within ``keys`` (without nulls) in ``order``, which tells rows apart.
+    """``rows`` with ``name``: 1, 2, ... within ``keys`` in ``order``, which tells rows apart.
 
     Rows are numbered within ranges of (keys, order), after the counts of the ranges before, so a key with
     many rows lies in many tasks. A range begins amid one key at most: no more counts than ranges are sent out.
@@ -63,6 +63,9 @@ def ranked(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFram
     here = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
     counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    before = saved(counts.withColumn("_before", before).filter("_before > 0").drop("_rows"), "before")
-    out = ranged.withColumn("_here", here).join(F.broadcast(before), ["_range", *keys], "left")
-    return out.withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_range", "_here", "_before")
+    before = saved(counts.withColumn("_before", before).filter("_before > 0").select("_before", F.col("_range").alias("_in"), *(F.col(k).alias(f"_of_{k}") for k in keys)), "before")
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = ranged.withColumn("_here", here).join(F.broadcast(before), same, "left")
+    return out.select(*rows.columns, (F.col("_here") + F.coalesce("_before", F.lit(0))).alias(name))

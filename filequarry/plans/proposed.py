@@ -165,10 +165,18 @@ def transliterated(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.transliterate(F.concat(F.lit("שלום "), "p_name", F.lit("-1!2"))).alias("latin"))
 
 
-@query("""SELECT id, list_filter(list_filter(l, lambda t, i: list_position(l, t) = i), lambda t: length(t) BETWEEN 3 AND 40)[1:15] AS tags FROM (
-  SELECT id, list_filter(list_transform(ai_tags, lambda t: lower(trim(t))), lambda t: NOT (contains('corpus', t) OR contains(t, 'corpus')) OR length(t) < 1) AS l FROM files)""")
+PLAIN_SQL = r"regexp_replace(lower(t), '\s+', '_', 'g')"
+
+
+@query(rf""", said AS (SELECT id, list_transform(list_concat(ai_tags, ['Photos', ' Old  Report', ' ' || ai_tags[1], repeat('x', 41), 'Quarterly', 'budget plan', 'NEW thing', 'new Thing']), lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')) AS tags,
+  list_filter(string_split_regex(lower(stem || ' ' || source || ' files'), '[\s_\-.]+'), lambda w: length(w) >= 4) AS names FROM files),
+kept AS (SELECT id, list_filter(tags, lambda t: length(t) <= 40 AND length({PLAIN_SQL}) >= 3 AND {PLAIN_SQL} NOT IN ({quoted(text.UNTELLING_TAGS)}) AND len(list_filter(names, lambda w: contains({PLAIN_SQL}, w) OR contains(w, {PLAIN_SQL}))) = 0) AS tags FROM said),
+keyed AS (SELECT id, tags, list_transform(tags, lambda t: {PLAIN_SQL}) AS k FROM kept)
+SELECT id, list_filter(tags, lambda t, i: list_position(k, k[i]) = i)[1:15] AS tags FROM keyed""")
 def clean_tags(spark, sf_dir):
-    return files(spark, sf_dir).select("id", text.clean_tags(F.col("ai_tags"), F.lit("Corpus")).alias("tags"))
+    f = files(spark, sf_dir)
+    more = F.array(F.lit("Photos"), F.lit(" Old  Report"), F.concat(F.lit(" "), F.get("ai_tags", F.lit(0))), F.lit("x" * 41), F.lit("Quarterly"), F.lit("budget plan"), F.lit("NEW thing"), F.lit("new Thing"))
+    return f.select("id", text.clean_tags(F.concat("ai_tags", more), F.col("filename"), F.concat("source", F.lit(" files"))).alias("tags"))
 
 
 @query(f"WITH {PROPOSALS_SQL}, s AS (SELECT *, 's' || (id % 3) AS session_id FROM proposals) SELECT id, proposal_type, status FROM s WHERE NOT (session_id = 's1' AND status = 'pending' AND proposal_type IN ('move', 'rename_folder'))", uses_files=False)

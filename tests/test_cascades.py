@@ -145,6 +145,6 @@ def test_actions_equal_one_by_one(spark):
 
 
 def test_ranks_of_a_key_in_many_ranges(spark):
-    rows = [("hot", i) for i in range(900)] + [(k, i) for k in "abc" for i in range(7)]
+    rows = [("hot", i) for i in range(900)] + [(None, i) for i in range(900)] + [(k, i) for k in "abc" for i in range(7)]
     got = ranked(spark.createDataFrame(rows, "k string, i long").repartition(5), ["k"], [F.desc("i")], "place")
-    assert {(r.k, r.i): r.place for r in got.collect()} == {(k, i): (900 if k == "hot" else 7) - i for k, i in rows}
+    assert {(r.k, r.i): r.place for r in got.collect()} == {(k, i): (900 if k in ("hot", None) else 7) - i for k, i in rows}
