@@ -196,17 +196,19 @@ def clean_tags(tags: Column, filename: Column, folder: Column, most: int = 15) -
     name = F.regexp_replace(F.coalesce(filename, F.lit("")), r"^(.+)\.[^.]+$", "$1")
     said = F.filter(F.concat(F.split(F.lower(name), separators), F.split(F.lower(F.coalesce(folder, F.lit(""))), separators)), lambda t: F.length(t) >= 4)
 
-    def plain(tag: Column) -> Column:
-        return F.regexp_replace(F.lower(tag), r"(?U)\s+", "_")
+    trimmed = F.transform(F.filter(tags, lambda t: t.isNotNull()), lambda t: _sub(t, r"^\s+|\s+$", ""))
+    both = F.struct(said.alias("said"), F.transform(trimmed, lambda t: F.struct(t.alias("tag"), F.regexp_replace(F.lower(t), r"(?U)\s+", "_").alias("plain"))).alias("tags"))
 
-    def telling(tag: Column) -> Column:
-        echo = F.exists(said, lambda t: plain(tag).contains(t) | t.contains(plain(tag)))
-        return (F.length(tag) <= 40) & (F.length(plain(tag)) >= 3) & ~plain(tag).isin(UNTELLING_TAGS) & ~echo
+    def telling(x: Column) -> Column:
+        echo = lambda t: F.exists(x["said"], lambda w: t["plain"].contains(w) | w.contains(t["plain"]))
+        return F.filter(x["tags"], lambda t: (F.length(t["tag"]) <= 40) & (F.length(t["plain"]) >= 3) & ~t["plain"].isin(UNTELLING_TAGS) & ~echo(t))
 
-    trimmed = F.transform(F.filter(tags, lambda t: t.isNotNull()), lambda t: _sub(t, r"^\s+|\s+$", ""))
-    kept = F.filter(trimmed, telling)
-    first = F.filter(kept, lambda t, k: ~F.exists(F.slice(kept, F.lit(1), k), lambda u: plain(u) == plain(t)))
-    return F.slice(first, 1, most)
+    def first(kept: Column) -> Column:
+        return F.filter(kept, lambda t, k: ~F.exists(F.slice(kept, F.lit(1), k), lambda u: u["plain"] == t["plain"]))
+
+    # arrays of one, so that each step is worked out once
+    kept = F.get(F.transform(F.transform(F.array(both), telling), first), F.lit(0))
+    return F.slice(F.transform(kept, lambda t: t["tag"]), 1, most)
 
 
 def content_type(extension: Column) -> Column:
