@@ -24,17 +24,28 @@ def followed(places: DataFrame, renames: DataFrame) -> DataFrame:
     The first step that fits a path or one of its folders is an equi-join on these; what it moved is open
     for later steps only, in another round. A round writes the paths that moved in the one before, no others.
     """
-    known = saved(renames.filter("old <> new").select("step", "old", "new"), "renames")
-    small = (known.agg(F.sum(F.octet_length("old") + F.octet_length("new") + 64)).first()[0] or 0) <= SMALL
-    open_ = saved(places.filter("path IS NOT NULL").select("path", F.col("before").cast("long").alias("before")).distinct().withColumns({"now": F.col("path"), "done": F.lit(-1 << 62)}), "open")
+    known = saved(renames.select("step", "old", "new"), "renames")
+    return _followed(places, known, _is_small(known))
+
+
+def _is_small(known: DataFrame) -> bool:
+    return (known.agg(F.sum(F.octet_length("old") + F.octet_length("new") + 64)).first()[0] or 0) <= SMALL
+
+
+def _followed(places: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """The same for written ``renames`` whose size has been looked at."""
+    known = known.filter("old <> new")
+    open_ = places.filter("path IS NOT NULL").select("path", F.col("before").cast("long").alias("before")).distinct().withColumns({"now": F.col("path"), "done": F.lit(-1 << 62)})
     rounds = [open_]
-    while not open_.isEmpty():
+    while True:
         each = open_.select("path", "before", "now", "done", F.explode(paths.with_ancestors(F.col("now"))).alias("old"))
         fit = each.join(F.broadcast(known), "old") if small else _fit(each, known)
         fit = fit.filter("step > done AND step < before")
         first = fit.groupBy("path", "before").agg(F.min_by(F.struct("step", "old", "new", "now"), "step").alias("f"))
         now = F.concat("f.new", F.substring("f.now", F.length("f.old") + 1, F.length("f.now")))
         open_ = saved(first.select("path", "before", now.alias("now"), F.col("f.step").alias("done")), "open")
+        if open_.isEmpty():
+            break
         rounds.append(open_)
     every = rounds[0]
     for more in rounds[1:]:
@@ -56,9 +67,9 @@ def settled(renames: DataFrame) -> DataFrame:
     """
     given = saved(renames.filter("old IS NOT NULL AND new IS NOT NULL").select(F.col("step").cast("long").alias("step"), "old", "new"), "renames")
     ends = given.select(F.col("old").alias("path"), F.col("step").alias("before")).unionByName(given.select(F.col("new").alias("path"), F.col("step").alias("before")))
-    current = given
+    current, small = given, _is_small(given)  # what renames make of each other may be longer, by a folder's name each
     while True:
-        now = saved(followed(ends, current), "followed")
+        now = _followed(ends, current, small)
         old, new = (now.select(F.col("path").alias(k), F.col("before").alias("step"), F.col("now").alias(f"{k}_now")) for k in ("old", "new"))
         again = saved(given.join(old, ["old", "step"]).join(new, ["new", "step"]).select("step", F.col("old_now").alias("old"), F.col("new_now").alias("new")), "renames")
         if again.join(current, ["step", "old", "new"], "left_anti").isEmpty():
