@@ -49,10 +49,20 @@ def misfits(files: DataFrame, root: str, most: int = 5, most_at_root: int = 20)
     whose tags (ai_tags) have none of the folder's eight theme tags, largest first. In the folder
     ``root`` every file, those with tags first, then the largest.
     """
-    files = files.withColumn("tags", F.transform(F.coalesce("ai_tags", F.array().cast("array<string>")), F.lower))
-    tags = files.select("id", "dir", F.explode(F.slice("tags", 1, 5)).alias("tag"))
+    tags = lowered_tags(files).select("id", "dir", F.explode(F.slice("tags", 1, 5)).alias("tag"))
     themes = top_per_folder(tags, "tag", 8).groupBy("dir").agg(F.collect_list("tag").alias("theme"))
     known = summary(files).select("dir", "n", "dominant").join(themes, "dir", "left")
+    return unfit(files, known, root, most, most_at_root).select("id", "dir", "category", "dominant", "by_category", "by_tags", "rank")
+
+
+def lowered_tags(files: DataFrame) -> DataFrame:
+    """Adds tags: those of ai_tags in lower case, none where it is null."""
+    return files.withColumn("tags", F.transform(F.coalesce("ai_tags", F.array().cast("array<string>")), F.lower))
+
+
+def unfit(files: DataFrame, known: DataFrame, root: str, most: int, most_at_root: int) -> DataFrame:
+    """The files that don't fit their folder (see ``misfits``), of which ``known`` tells n, dominant and theme; adds tags, by_category, by_tags, rank."""
+    files = lowered_tags(files)
     at_root = F.col("dir") == root
     by_category = F.coalesce((F.col("category") != F.col("dominant")) & (F.col("category") != "other"), F.lit(False))
     by_tags = (F.size("tags") > 0) & F.coalesce(~F.arrays_overlap("tags", "theme"), F.lit(False))
@@ -60,8 +70,7 @@ def misfits(files: DataFrame, root: str, most: int = 5, most_at_root: int = 20)
     odd = odd.filter(at_root | (F.col("n") >= 4) & (F.col("by_category") | F.col("by_tags")))
     first = F.when(at_root, F.size("tags") == 0).otherwise(~F.col("by_category"))
     rank = F.row_number().over(Window.partitionBy("dir").orderBy(first, F.desc(F.coalesce("size_bytes", F.lit(0))), "id"))
-    kept = odd.withColumn("rank", rank).filter(F.col("rank") <= F.when(at_root, most_at_root).otherwise(most))
-    return kept.select("id", "dir", "category", "dominant", "by_category", "by_tags", "rank")
+    return odd.withColumn("rank", rank).filter(F.col("rank") <= F.when(at_root, most_at_root).otherwise(most))
 
 
 def tree_delta(files: DataFrame, moves: DataFrame) -> DataFrame:
