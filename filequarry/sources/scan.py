@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filequarry.functions import paths
+from filequarry.sources import embedded, office
 
 # What a scan leaves out.
 SKIP_DIRS = ["System Volume Information", "$RECYCLE.BIN", "RECYCLER", ".git", ".svn", "__pycache__", "node_modules", ".Spotlight-V100", ".Trashes", ".fseventsd", "lost+found"]
 SKIP_EXTENSIONS = [".lnk", ".url", ".tmp", ".part", ".sys", ".dll", ".exe", ".com", ".ini", ".dat", ".log", ".db", ".db-shm", ".db-wal", ".ctb", ".3dmbak", ".plt"]
 SKIP_NAMES = [".DS_Store", "Thumbs.db", "desktop.ini", "._.DS_Store"]
+TEXT_EXTENSIONS = [".txt", ".md", ".csv", ".json", ".xml", ".yaml", ".yml", ".html", ".htm", ".rtf"]
 # End of fixed values.
 MIME_BY_EXTENSION = {".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".json": "application/json", ".html": "text/html", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".pdf": "application/pdf", ".zip": "application/zip", ".mp3": "audio/mpeg", ".mp4": "video/mp4"}
 MANIFEST = 120
@@ -99,21 +101,35 @@ def incremental(catalogue: DataFrame, scanned: DataFrame, force: bool = False) -
 
 
 def enrich(scanned: DataFrame) -> DataFrame:
-    """Adds MIME type, MD5 and SHA-256 of pending rows read with their content."""
+    """Adds MIME type, MD5, SHA-256 and the EXIF date (of images) of pending rows read with their content."""
     known = F.create_map(*(F.lit(x) for kv in MIME_BY_EXTENSION.items() for x in kv))
     magic = F.hex(F.substring("content", 1, 4))
     sniffed = F.when(magic.startswith("89504E47"), "image/png").when(magic.startswith("FFD8FF"), "image/jpeg").when(magic == "25504446", "application/pdf").when(magic == "504B0304", "application/zip")
     mime = F.coalesce(sniffed, F.try_element_at(known, F.col("extension")), F.lit("application/octet-stream"))
-    out = scanned.withColumns({"mime_type": mime, "hash_md5": F.md5("content"), "hash_sha256": F.sha2("content", 256)})
+    out = embedded.with_exif(scanned).withColumns({"mime_type": mime, "hash_md5": F.md5("content"), "hash_sha256": F.sha2("content", 256)})
     return out.withColumn("status", F.lit("enriched")).drop("content")
 
 
-def extract_text(rows: DataFrame, longest: int = 3000, largest: int = 100 << 20) -> DataFrame:
-    """Adds text: the first characters of plain text files, empty for the rest and for huge ones."""
-    utf8 = F.try_validate_utf8("content")
-    text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    plain = F.col("mime_type").startswith("text/") & (F.col("size_bytes") <= largest)
-    return rows.withColumn("text", F.when(plain, F.trim(F.substring(text, 1, longest))).otherwise(""))
+def enriched(catalogue: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The catalogue after enrichment: pending rows as ``enrich`` leaves them, with date_best; those whose file is gone
+    (its path isn't among ``scanned``, read with content) have status error and a message; other rows stay."""
+    known = [c for c in catalogue.columns if c not in ("mime_type", "hash_md5", "hash_sha256", "date_exif", "date_best", "error_message", "status")]
+    pending = catalogue.filter("status = 'pending'").select(known)
+    found = enrich(pending.join(scanned.select("path", "content"), "path"))
+    created = F.col("date_created") if "date_created" in catalogue.columns else F.lit(None)
+    found = found.withColumn("date_best", paths.best_date(F.col("date_exif").cast("timestamp"), F.col("date_modified").cast("timestamp"), created.cast("timestamp")))
+    gone = pending.join(scanned.select("path"), "path", "left_anti").withColumns({"status": F.lit("error"), "error_message": F.concat(F.lit("File not found: "), F.col("path"))})
+    rest = catalogue.filter("status IS NULL OR status <> 'pending'")
+    return rest.unionByName(found, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+
+
+def extract_text(rows: DataFrame, longest: int = office.LONGEST, largest: int = 100 << 20) -> DataFrame:
+    """Adds text: the first characters of plain text, DOCX and XLSX files, empty for the rest and for huge ones."""
+    kind = office.office_kind(F.col("extension"), F.col("mime_type"))
+    plain = F.col("mime_type").startswith("text/") | F.lower("extension").isin(TEXT_EXTENSIONS)
+    read = F.when(F.col("size_bytes") <= largest, F.col("content"))
+    text = F.when(kind.isNotNull(), office.office_text(read, kind)).when(plain, office.plain_text(read))
+    return rows.withColumn("text", F.coalesce(F.regexp_replace(F.substring(text, 1, longest), r"(?U)^\s+|\s+$", ""), F.lit("")))
 
 
 def zip_manifests(rows: DataFrame) -> DataFrame:
