@@ -7,7 +7,7 @@ import math
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types
 
 from filequarry.operators.scratch import join_hot, saved
 
@@ -55,10 +55,22 @@ def class_groups(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     Equal rows are alike and alike to the same others. The first of them is an anchor, which the rest
     follow, or it goes to an anchor before it, and so do they.
     """
-    groups = greedy_groups(pairs.select("a", "b")).withColumnRenamed("member", "class")
+    return _grouped(classes, greedy_groups(pairs.select("a", "b"))).select("anchor", "member")
+
+
+def scored_groups(classes: DataFrame, pairs: DataFrame, same: Column | None = None) -> DataFrame:
+    """``class_groups`` with similarity: that of ``pairs`` (a, b, similarity) between anchor and member, ``same`` (1; a
+    Column of ``classes``) for rows equal to their anchor."""
+    groups = greedy_groups(pairs.select("a", "b")).join(pairs.select(F.col("a").alias("anchor"), F.col("b").alias("member"), "similarity"), ["anchor", "member"])
+    scored = _grouped(classes.withColumn("same", F.lit(1.0) if same is None else same), groups)
+    return scored.select("anchor", "member", F.coalesce("similarity", "same").alias("similarity"))
+
+
+def _grouped(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """anchor, member of rows in ``classes`` whose class is in ``groups`` (anchor, member) or has several rows, with the columns of both."""
     sizes = classes.groupBy("class").agg(F.count("*").alias("n"))
-    near = join_hot(classes, saved(sizes.join(groups, "class", "left"), "anchors"), ["class"], "n")
-    return near.select(F.coalesce("anchor", "class").alias("anchor"), F.col("id").alias("member")).filter("anchor <> member")
+    near = join_hot(classes, saved(sizes.join(groups.withColumnRenamed("member", "class"), "class", "left"), "anchors"), ["class"], "n")
+    return near.withColumn("anchor", F.coalesce("anchor", "class")).withColumnRenamed("id", "member").filter("anchor <> member")
 
 
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -287,12 +299,75 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
     return pairs.join(anchors, "a").join(members, "b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("anchor")).select("anchor", "member")
 
 
-def duplicate_proposals(members: DataFrame, marked: DataFrame) -> DataFrame:
-    """file_id, keep_id, confidence: one proposal for each non-keeper not marked before; the first group wins.
+def rounded(value: Column, digits: int) -> Column:
+    """``value`` to ``digits`` places by what it is in binary, an exact tie to the even digit, which built-in rounding doesn't do."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else round(v, digits) for v in values.tolist()], dtype="float64")
+
+    return F.pandas_udf(run, types.DoubleType())(value)
+
+
+# Kinds of duplicates in the order in which they are found, the digits of their similarity (perceptual ones
+# have one similarity), what they are called, and which files count as text.
+KINDS = ["exact", "perceptual", "semantic", "content"]
+DIGITS = {"semantic": 2, "content": 3}
+PERCEPTUAL_SIMILARITY, LEAST_CONFIDENCE, LARGEST_TEXT = 0.95, 0.5, 200_000
+CALLED = {"exact": "exact byte-for-byte duplicate", "perceptual": "perceptual near-duplicate (visually identical)", "semantic": "semantic near-duplicate (similar AI tags/description)", "content": "near-identical text content"}
+TEXT_EXTENSIONS = [".txt", ".md", ".html", ".htm", ".xml", ".json", ".yaml", ".yml", ".csv", ".tsv", ".log", ".srt", ".vtt", ".rst", ".ini", ".cfg", ".py", ".js", ".ts", ".css", ".scss"]
+# End of fixed values.
+
+
+def text_candidate(mime: Column, extension: Column, size: Column) -> Column:
+    """Whether a file is compared by its text: not empty, not huge, of a text type or extension."""
+    ext = F.lower(F.coalesce(extension, F.lit("")))
+    ext = F.when((ext == "") | ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))
+    return F.coalesce((size > 0) & (size <= LARGEST_TEXT), F.lit(False)) & (F.coalesce(mime.startswith("text/"), F.lit(False)) | ext.isin(TEXT_EXTENSIONS))
+
+
+def group_members(groups: DataFrame, kind: str) -> DataFrame:
+    """kind, group_id, file_id, similarity, n: all members of greedy groups (anchor, member, similarity), the anchor among
+    them. A group has one similarity, the average of its members' to the anchor, and goes by its anchor, its least id.
+    """
+    similarity = rounded(F.avg("similarity"), DIGITS[kind]) if kind in DIGITS else F.lit(PERCEPTUAL_SIMILARITY)
+    sizes = saved(groups.groupBy(F.col("anchor").alias("group_id")).agg(similarity.alias("similarity"), (F.count("*") + 1).alias("n")), "sizes")
+    each = join_hot(groups.select(F.col("anchor").alias("group_id"), F.col("member").alias("file_id")), sizes, ["group_id"], "n")
+    all_ = each.unionByName(sizes.withColumn("file_id", F.col("group_id")))
+    return all_.select(F.lit(kind).alias("kind"), "group_id", "file_id", "similarity", "n")
+
+
+def with_keepers(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``members`` (kind, group_id, file_id, ...; keep_id where there is one already) with keep_id elected where it is
+    null; members without a file don't count, and a group of one is left out."""
+    if "keep_id" not in members.columns:
+        members = members.withColumn("keep_id", F.lit(None).cast("long"))
+    rank = keeper_rank(F.coalesce("date_best", "date_modified", "date_created"), F.col("path"), F.col("size_bytes"), F.col("id"))
+    known = members.join(files.select(F.col("id").alias("file_id"), rank.alias("rank")), "file_id")
+    groups = known.groupBy("kind", "group_id").agg(F.count("*").alias("known"), F.coalesce(F.max("keep_id"), F.min_by("file_id", "rank")).alias("keeper"))
+    keepers = saved(groups.filter("known > 1"), "keepers")
+    return join_hot(members, keepers, ["kind", "group_id"], "known").withColumn("keep_id", F.col("keeper")).drop("known", "keeper")
+
+
+def marks(members: DataFrame, marked: DataFrame, files: DataFrame, trash: str = "trash") -> DataFrame:
+    """file_id, kind, current_value, proposed_value, confidence, reasoning: one proposal for each member that isn't its
+    group's keeper and isn't in ``marked`` (file_id); the first group wins, by kind (see ``KINDS``), then by least id."""
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    chosen = duplicate_proposals(members.withColumn("group_id", F.struct(order.alias("order"), F.col("group_id").cast("string").alias("name"), F.col("similarity"))), marked, "group_id")
+    called = F.create_map(*(F.lit(x) for kv in CALLED.items() for x in kv))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("group_id.order").cast("int"))
+    own = files.select(F.col("id").alias("file_id"), F.col("path").alias("current_value"))
+    keep = files.select(F.col("id").alias("keep_id"), F.col("path").alias("keep_path"))
+    said = chosen.join(own, "file_id").join(keep, "keep_id", "left").withColumns({"kind": kind, "proposed_value": F.coalesce("keep_path", F.lit("(unknown)"))})
+    why = F.format_string(f"%s (similarity=%.2f). Will be moved to {trash}. Keeper: %s", called[F.col("kind")], F.coalesce("group_id.similarity", F.lit(0.0)), "proposed_value")
+    return said.select("file_id", "kind", "current_value", "proposed_value", "confidence", why.alias("reasoning"))
+
+
+def duplicate_proposals(members: DataFrame, marked: DataFrame, *more: str) -> DataFrame:
+    """file_id, keep_id, confidence, and columns ``more`` of members: one proposal for each non-keeper not marked before; the first group wins.
 
     members: group_id, file_id, keep_id, similarity, kind.
     """
     fresh = members.filter("file_id <> keep_id").join(marked.select("file_id"), "file_id", "left_anti")
-    confidence = F.when(F.col("kind") == "exact", 1.0).otherwise(F.greatest("similarity", F.lit(0.5)))
-    best = F.min_by(F.struct("keep_id", confidence.alias("confidence")), "group_id").alias("best")
-    return fresh.groupBy("file_id").agg(best).select("file_id", "best.keep_id", "best.confidence")
+    confidence = F.when(F.col("kind") == "exact", 1.0).otherwise(F.greatest("similarity", F.lit(LEAST_CONFIDENCE)))
+    best = F.min_by(F.struct("keep_id", confidence.alias("confidence"), *more), "group_id").alias("best")
+    return fresh.groupBy("file_id").agg(best).select("file_id", "best.keep_id", "best.confidence", *(f"best.{c}" for c in more))

@@ -515,4 +515,4 @@ def url_hierarchy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.size(F.split(path, "/")).alias("depth"))
 
 
-from filequarry.plans import answers, contents, profiled, proposed, reorganised  # noqa: E402, F401  (they register their queries here)
+from filequarry.plans import answers, contents, duplicates, profiled, proposed, reorganised  # noqa: E402, F401  (they register their queries here)
