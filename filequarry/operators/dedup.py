@@ -329,7 +329,8 @@ def group_members(groups: DataFrame, kind: str) -> DataFrame:
     """kind, group_id, file_id, similarity, n: all members of greedy groups (anchor, member, similarity), the anchor among
     them. A group has one similarity, the average of its members' to the anchor, and goes by its anchor, its least id.
     """
-    similarity = rounded(F.avg("similarity"), DIGITS[kind]) if kind in DIGITS else F.lit(PERCEPTUAL_SIMILARITY)
+    total = F.sum(F.col("similarity").cast("decimal(28,18)")).cast("double") if kind in DIGITS else None  # in decimals: the same in any order of rows
+    similarity = rounded(total / F.count("similarity"), DIGITS[kind]) if kind in DIGITS else F.lit(PERCEPTUAL_SIMILARITY)
     sizes = saved(groups.groupBy(F.col("anchor").alias("group_id")).agg(similarity.alias("similarity"), (F.count("*") + 1).alias("n")), "sizes")
     each = join_hot(groups.select(F.col("anchor").alias("group_id"), F.col("member").alias("file_id")), sizes, ["group_id"], "n")
     all_ = each.unionByName(sizes.withColumn("file_id", F.col("group_id")))
