@@ -64,3 +64,23 @@ def test_equal_rows_are_one(spark, copies):
     assert dedup.length_band_pairs(same.withColumnRenamed("id", "id").selectExpr("id", "block", "length(text) AS size")).collect() == []
     assert {tuple(r) for r in dedup.text_near_groups(same).collect()} == {(0, i) for i in range(1, copies)}
     assert {tuple(r) for r in dedup.class_groups(dedup.classes(same, "bits"), dedup.hamming_pairs(same, 8)).collect()} == {(0, i) for i in range(1, copies)}
+
+
+def test_hashes_compared_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HASH_BLOCK", 40)
+    rng = random.Random(4)
+    for bits, most in ((64, 16), (90, 24), (10, 4)):
+        base = [rng.getrandbits(bits) for _ in range(8)]
+        own = [(i, rng.choice(base) ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(0, min(bits, 14))))) for i in range(150)]
+        rng.shuffle(own)
+        first = {x: (min(i for i, y in own if y == x), sum(y == x for _, y in own)) for _, x in own}
+        want = sorted((a, b, (x ^ y).bit_count(), m, n) for x, (a, m) in first.items() for y, (b, n) in first.items() if a < b and (x ^ y).bit_count() <= most)
+        pairs = dedup.hamming_pairs(spark.createDataFrame([(i, f"{x:0{bits}b}") for i, x in own] + [(999, None)], "id long, bits string"), most, bits)
+        assert sorted(tuple(r) for r in pairs.collect()) == want and want
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_are_never_broadcast(spark):
+    pairs = dedup.hamming_pairs(spark.createDataFrame([(i, f"{i:064b}") for i in range(50)], "id long, bits string"), 8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
