@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 from filequarry.operators import dedup
+from filequarry.plans import registry
 
 
 def greedy(ids, alike):
@@ -84,3 +85,25 @@ def test_bands_are_never_broadcast(spark):
     pairs = dedup.hamming_pairs(spark.createDataFrame([(i, f"{i:064b}") for i in range(50)], "id long, bits string"), 8)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+
+
+def embeddings(spark, tmp_path, rng):
+    vectors = [[rng.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(4)]
+    vectors += [[-x if k < 5 else x for k, x in enumerate(v)] for v in vectors[:2]]
+    rows = [(i, vectors[rng.randrange(6)] if i % 9 else None) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return {i: v for i, v in rows if v}
+
+
+def test_pairs_of_hashes_tell_every_row(spark, tmp_path):
+    of = embeddings(spark, tmp_path, random.Random(5))
+    got = registry.QUERIES["near_hamming_pairs"](spark, str(tmp_path)).collect()
+    first = {i: min(j for j in of if of[j] == of[i]) for i in of}
+    assert {(r.b, r.a) for r in got if r.distance == 0} == {(i, a) for i, a in first.items() if i != a}
+    apart = lambda a, b: sum(x != y for x, y in zip(of[a], of[b]))
+    # all pairs of rows follow from those of classes and their members
+    members = {a: [i for i in of if first[i] == a] for a in first.values()}
+    links = {tuple(sorted((i, j))) for r in got if r.distance for i in members[r.a] for j in members[r.b]} | {(i, j) for own in members.values() for i in own for j in own if i < j}
+    assert links == {(i, j) for i in of for j in of if i < j and apart(i, j) <= 16}
+    sizes = {i: len(m) for m in members.values() for i in m}
+    assert all((r.na, r.nb) == (sizes[r.a], sizes[r.b]) for r in got)
