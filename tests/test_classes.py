@@ -107,3 +107,28 @@ def test_pairs_of_hashes_tell_every_row(spark, tmp_path):
     assert links == {(i, j) for i in of for j in of if i < j and apart(i, j) <= 16}
     sizes = {i: len(m) for m in members.values() for i in m}
     assert all((r.na, r.nb) == (sizes[r.a], sizes[r.b]) for r in got)
+
+
+def documents(spark, tmp_path, texts):
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return {i: ("en" if i % 2 else "de", t) for i, t in enumerate(texts)}
+
+
+def links(got, of, same):
+    """All pairs of rows that pairs of classes and members stand for."""
+    first = {i: min(j for j in of if of[j] == of[i]) for i in of}
+    assert sorted((r.b, r.a) for r in got if same(r)) == sorted((i, a) for i, a in first.items() if i != a)
+    members = {a: [i for i in of if first[i] == a] for a in first.values()}
+    assert all((r.na, r.nb) == (len(members[first[r.a]]), len(members[first[r.b]])) for r in got)
+    return {tuple(sorted((i, j))) for r in got if not same(r) for i in members[r.a] for j in members[r.b]} | {(i, j) for own in members.values() for i in own for j in own if i < j}
+
+
+def test_pairs_of_tags_tell_every_file(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(70)] + [None, None, "", ""]
+    of = {i: (d, frozenset(t.split(" ")[:6])) for i, (d, t) in documents(spark, tmp_path, texts).items() if t is not None}
+    got = registry.QUERIES["tag_jaccard_pairs"](spark, str(tmp_path)).collect()
+    alike = {(i, j) for i, (d, s) in of.items() for j, (e, t) in of.items() if i < j and d == e and 2 * len(s & t) >= len(s | t)}
+    assert links(got, of, lambda r: r.jaccard == 1) == alike
