@@ -132,3 +132,12 @@ def test_pairs_of_tags_tell_every_file(spark, tmp_path):
     got = registry.QUERIES["tag_jaccard_pairs"](spark, str(tmp_path)).collect()
     alike = {(i, j) for i, (d, s) in of.items() for j, (e, t) in of.items() if i < j and d == e and 2 * len(s & t) >= len(s | t)}
     assert links(got, of, lambda r: r.jaccard == 1) == alike
+
+
+def test_pairs_of_sizes_tell_every_file(spark, tmp_path):
+    rng = random.Random(7)
+    texts = ["x" * rng.choice((1, 9, 10, 11, 40, 43, 44, 47)) for _ in range(60)] + ["", "", "", "", None, None]
+    of = {i: (d, len(t)) for i, (d, t) in documents(spark, tmp_path, texts).items() if t is not None}
+    got = registry.QUERIES["text_len_band_pairs"](spark, str(tmp_path)).collect()
+    alike = {(i, j) for i, (d, s) in of.items() for j, (e, t) in of.items() if i < j and d == e and abs(s - t) <= 0.1 * max(s, t)}
+    assert links(got, of, lambda r: r.sa == r.sb) == alike
