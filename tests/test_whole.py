@@ -111,3 +111,11 @@ def test_collisions_equal_settling_one_by_one(spark):
     df = spark.createDataFrame(wanted, "id long, dir string, stem string, ext string, original string, current string")
     got = {r.id: r.final for r in naming.resolve_collisions(df, spark.createDataFrame(there, "dir string, filename string")).collect()}
     assert got == want
+
+
+def test_spelling_broadcasts_no_tokens(spark, monkeypatch):
+    plans, write = {}, naming.saved
+    monkeypatch.setattr(naming, "saved", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or write(df, label))
+    got = naming.spelling(spark.createDataFrame([("abcdefgh", 3), ("abcdefgi", 1), ("abcdefgi" * 3, 2), ("abcdefgi" * 3 + "x", 1)], "token string, n long"))
+    assert {tuple(r) for r in got.collect()} == {("abcdefgi", "abcdefgh"), ("abcdefgi" * 3 + "x", "abcdefgi" * 3)}
+    assert plans["near"].count("SortMergeJoin") == 2 and not any("BroadcastHashJoin" in p for p in plans.values())
