@@ -179,3 +179,15 @@ def test_siblings_of_a_large_folder(spark):
         near = sorted(x for x in rows if x[1] == d and x[0] != r.id)
         kind = [[x[2] for x in near if (x[3].lower() == e.lower()) is same][:7] for same in (True, False)]
         assert r.names == kind[0] + kind[1]
+
+
+def test_near_names_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["report", "notes", "Übersicht", "plan\U0001f600", "a", "quarterly_budget", "x" * 70]
+    texts = [(i, rng.choice("pqr"), "_".join(rng.choices(words, k=rng.randint(1, 3))) + rng.choice(("", "_1", "_27"))) for i in range(150)]
+    texts = [(i, b, "".join(c for c in t if rng.random() > 0.07)) for i, b, t in texts] + [(900, "p", ""), (901, "p", ""), (902, "p", None)]
+    want = {i for i, b, s in texts for j, c, t in texts if i != j and b == c and s and t and difflib.SequenceMatcher(None, s, t).ratio() >= 0.8}
+    for size in (4096, 16):
+        monkeypatch.setattr(dedup, "NAME_BLOCK", size)
+        near = dedup.near_names(spark.createDataFrame(texts, "id long, block string, text string"), 0.8)
+        assert sorted(r.id for r in near.collect()) == sorted(want) and 20 < len(want) < 150

@@ -119,3 +119,22 @@ def test_spelling_broadcasts_no_tokens(spark, monkeypatch):
     got = naming.spelling(spark.createDataFrame([("abcdefgh", 3), ("abcdefgi", 1), ("abcdefgi" * 3, 2), ("abcdefgi" * 3 + "x", 1)], "token string, n long"))
     assert {tuple(r) for r in got.collect()} == {("abcdefgi", "abcdefgh"), ("abcdefgi" * 3 + "x", "abcdefgi" * 3)}
     assert plans["near"].count("SortMergeJoin") == 2 and not any("BroadcastHashJoin" in p for p in plans.values())
+
+
+def test_one_name_wanted_by_many_files(spark):
+    n = 6000
+    rows = [(i, "d", "x", ".a", "none", f"x_{n - i}.a" if i % 2 else "y.a") for i in range(n)]
+    taken, want = {f"x_{k}.a" for k in (3, 5, n - 1)}, {}
+    counter = 0
+    for i, *_, current in rows:
+        name = "x.a"
+        if name in taken and name != current:
+            k = int(current[2:-2]) if current != "y.a" else None
+            while f"x_{counter + 1}.a" in taken and f"x_{counter + 1}.a" != current:
+                counter += 1
+            name = current if k and k <= counter else f"x_{counter + 1}.a"
+        taken.add(name)
+        want[i] = name
+    df = spark.createDataFrame(rows, "id long, dir string, stem string, ext string, original string, current string")
+    got = naming.resolve_collisions(df, spark.createDataFrame([("d", f"x_{k}.a") for k in (3, 5, n - 1)], "dir string, filename string"))
+    assert {r.id: r.final for r in got.collect()} == want
