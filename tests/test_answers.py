@@ -191,3 +191,11 @@ def test_near_names_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(dedup, "NAME_BLOCK", size)
         near = dedup.near_names(spark.createDataFrame(texts, "id long, block string, text string"), 0.8)
         assert sorted(r.id for r in near.collect()) == sorted(want) and 20 < len(want) < 150
+
+
+def test_names_of_one_folder_go_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "NAME_BLOCK", 10)
+    rows = spark.range(200).selectExpr("id", "'d' AS block", "concat('name_', id) AS text")
+    dealt = dedup._dealt(rows)
+    assert max(r["count"] for r in dealt.groupBy("block", "p", "q").count().collect()) < 80
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
