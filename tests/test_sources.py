@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from filequarry.functions import paths, text
 from filequarry.operators import dedup, execution, naming
-from filequarry.sources import scan
+from filequarry.sources import catalog, scan
 from filequarry.streaming import sessions
 from pyspark.sql import functions as F
 
@@ -107,3 +107,12 @@ def test_ingest_reads_new_files_once(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).write.mode("append").parquet(str(tmp_path / "in"))
         sessions.ingest(spark, sessions.read_events(spark, str(tmp_path / "in"), "id long"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_texts_do_not_pass_through_the_join_of_files(spark):
+    told = catalog.files(spark, "/root/testdata/sf0.001").select("id", "status", "size_bytes", "hash_md5", "ai_tags")
+    node = told._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    names = [node.children().head().output().apply(k).name() for k in range(node.children().head().output().size())]
+    assert sorted(names) == ["ai_tags", "hash_md5", "id", "size_bytes"]
