@@ -1,7 +1,7 @@
 """Composed passes against a plain loop; names from files to the end."""
 
 import pytest
-from filequarry.operators import passes
+from filequarry.operators import passes, proposing
 from filequarry.plans import registry, reorganised
 from pyspark.sql import functions as F
 
@@ -54,6 +54,12 @@ def test_names_from_files_to_the_end(spark, composed):
     assert all(r.proposed_value.rsplit("/", 1)[0] == rows[i].dir and r.current_value == rows[i].path for i, r in final.items())
 
 
+def test_a_failed_pass_is_no_result(spark, monkeypatch):
+    monkeypatch.setattr(proposing, "rename_proposals", lambda files, *more: files.filter(F.raise_error(F.lit("no")).isNotNull()))
+    with pytest.raises(RuntimeError, match="pass content failed"):
+        registry.QUERIES["final_renames"](spark, SF).collect()
+
+
 def test_nothing_to_do(spark):
     files = spark.range(0).selectExpr("id", "'' AS path")
     done = passes.compose(files, [])
