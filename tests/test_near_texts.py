@@ -40,3 +40,23 @@ def test_unlike_texts_of_the_same_characters_do_not_meet(spark):
     texts = [". ".join(" ".join(rng.choices(words, k=9)).capitalize() for _ in range(25)) for _ in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.lit("f").alias("block"), "text", F.length("text").alias("size"))
     assert near_texts.candidates(rows, 0.9, 0.1).count() * 20 < 60 * 59 / 2
+
+
+def test_marks_take_less_room_than_texts():
+    rng = random.Random(10)
+    words = ["".join(rng.choices(["th", "er", "in", "and", "on", "re", "ti", "bo", "ku", "wa", "gy"], k=3)) for _ in range(400)]
+    frequent = near_texts._codes("aeinrt ")
+    for lines, cells in ((9, 1 << 12), (100, 1 << 16)):
+        text = ". ".join(" ".join(rng.choices(words, k=9)).capitalize() for _ in range(lines))
+        _, asked, *_ = marks = near_texts.text_marks(text, frequent, 0.9, cells)
+        assert asked and sum(len(m) for m in marks if isinstance(m, bytes)) < len(text)
+
+
+def test_copies_meet_their_anchor_only(spark):
+    rng = random.Random(12)
+    letters = "aeinrst hdlou.,TXYZ"
+    base = ["".join(rng.choices(letters, k=150)) for _ in range(2)]
+    rows = spark.createDataFrame([(i, "f", edited(rng, base[i % 2], letters, 0.03)) for i in range(50)], "id long, block string, text string")
+    pairs, scored = dedup.text_near_pairs(rows), dedup.text_anchor_pairs(rows)
+    assert scored.count() * 5 < pairs.count()
+    assert set(dedup.greedy_groups(scored).collect()) == set(dedup.greedy_groups(pairs).collect())
