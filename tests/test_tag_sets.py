@@ -1,6 +1,7 @@
 """Sets of tags meet on several tags at once: no pair is lost, and frequent tags alone make no candidates."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from filequarry.operators import dedup
@@ -22,3 +23,19 @@ def test_frequent_tags_make_no_candidates(spark):
     rows = [(i, "x", ["the", "of", f"a{i}", f"b{i}", f"c{i}", f"d{i}"]) for i in range(200)]
     sets = spark.createDataFrame(rows, "id long, block string, tags array<string>")
     assert dedup.tag_candidates(sets, 0.25).count() == 0
+
+
+def test_pairs_are_scored_over_all_tasks(spark):
+    rng = random.Random(13)
+    rows = [(i, "text", " ".join(t), t) for i in range(60) for t in [rng.sample(["red", "blue", "green", "old", "new"], 3)]]
+    pairs = dedup.semantic_pairs(spark.createDataFrame(rows, "id long, family string, description string, tags array<string>"))
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1 and pairs.count()
+
+
+def test_likeness_is_exact_where_it_counts():
+    rng = random.Random(14)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randint(0, 12))) for _ in "ab")
+        jaccard = rng.choice([0.25, 1 / 3, 0.5, 0.6, 1.0])
+        want = 0.4 * (SequenceMatcher(None, a, b).ratio() if a and b else 0.0) + 0.6 * jaccard
+        assert dedup.likeness(a, b, jaccard, 0.55) == (want if want >= 0.55 else pytest.approx(0, abs=0.55))
