@@ -109,6 +109,13 @@ def test_pairs_of_hashes_tell_every_row(spark, tmp_path):
     assert all((r.na, r.nb) == (sizes[r.a], sizes[r.b]) for r in got)
 
 
+def test_all_pairs_of_rows_are_listed(spark, tmp_path):
+    of = embeddings(spark, tmp_path, random.Random(15))
+    apart = lambda a, b: sum(x != y for x, y in zip(of[a], of[b]))
+    got = sorted(tuple(r) for r in registry.QUERIES["near_hamming_row_pairs"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, j, apart(i, j)) for i in of for j in of if i < j and apart(i, j) <= 16) and {0, 5} <= {d for _, _, d in got}
+
+
 def documents(spark, tmp_path, texts):
     rows = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
